@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkstrata.llm import packing, piece_bpe, quality_knn, simhash_cover, substring_dedup
+from sparkstrata.llm.common import materialize
+from sparkstrata.llm import packing, piece_bpe, quality_knn, rotation_codes, simhash_blocks, simhash_cover, substring_dedup
 
 
 def vocabulary(name: str) -> str:
@@ -19,9 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _hex(column: str):
+    return F.lpad(F.lower(F.hex(column)), 16, "0")
+
+
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = materialize(simhash_blocks.with_edits(table(spark, sf_dir, "documents")), "edits")
+    near = simhash_blocks.near_groups(prints)
+    return prints.join(near, ["hi", "lo"], "left").select(
+        "doc_id", "n_chars", "edited_sha256", F.concat(_hex("hi"), _hex("lo")).alias("fingerprint"),
+        F.concat(_hex("edited_hi"), _hex("edited_lo")).alias("edited_fingerprint"), "near_edited", "near_next", "near_id",
+    )
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_cover.near_groups(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,13 +51,40 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotation_codes.near_links(table(spark, sf_dir, "embeddings"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op5_sentencepiece, op7_quality_classifier, op8_packing, op10_substring_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_document_fingerprints,
+        op4_simhash_near_dedup,
+        op5_sentencepiece,
+        op7_quality_classifier,
+        op8_packing,
+        op9_embedding_near_dedup,
+        op10_substring_dedup,
+    )
+}
 
 ORACLE_SQL = {
+    "op9_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: x * x)) > 0),
+        link AS (
+            SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+        reach AS (SELECT u, w FROM link UNION SELECT r.u, l.w FROM reach r JOIN link l ON r.w = l.u)
+        SELECT e.vec_id, CAST((SELECT count(*) FROM link WHERE u = e.vec_id) AS BIGINT) AS n_links,
+               least(e.vec_id, coalesce((SELECT min(w) FROM reach WHERE u = e.vec_id), e.vec_id)) AS component_id,
+               e.vec_id = least(e.vec_id, coalesce((SELECT min(w) FROM reach WHERE u = e.vec_id), e.vec_id)) AS kept
+        FROM embeddings e""",
     "op10_substring_dedup": r"""
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM documents),
         s AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d WHERE len(w) >= 13),
