@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkstrata.llm.common import materialize
-from sparkstrata.llm import packing, piece_bpe, quality_knn, rotation_codes, simhash_blocks, simhash_cover, substring_dedup
+from sparkstrata.llm import packing, page_difference, piece_bpe, quality_knn, rotation_codes, separator_scan, simhash_blocks, simhash_cover, substring_dedup
 
 
 def vocabulary(name: str) -> str:
@@ -33,6 +33,13 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return separator_scan.count_documents(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_cover.near_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
@@ -42,6 +49,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_difference.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_knn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
@@ -63,8 +74,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_document_fingerprints,
+        op3_token_counts,
         op4_simhash_near_dedup,
         op5_sentencepiece,
+        op6_html_extraction,
         op7_quality_classifier,
         op8_packing,
         op9_embedding_near_dedup,
