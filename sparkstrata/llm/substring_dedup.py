@@ -34,7 +34,10 @@ GRAM = 5
 #: Most bits of the anchor table that is broadcast (64 MB).
 MOST_BITS = 1 << 29
 #: A task packs what it has gathered after so many words.
-FLUSH_WORDS = 4_000_000
+FLUSH_WORDS = 2_000_000
+
+SUFFIXES = "part long, place long, anchor binary, hash binary, at binary, owner binary, text_hash binary"
+PLACES = "place long, owner binary, text_hash binary, at binary"
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -94,7 +97,7 @@ def _slots(anchor: np.ndarray, bits: int, per: int) -> tuple[np.ndarray, np.ndar
 
 
 def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, th, at): positions of windows that also start in a document with a smaller id.
+    """(doc_id, th, at): positions of windows that also start in a document with a smaller id, a row for a document.
 
     th is the text's hash, so that rows that share a doc_id stay apart; such rows
     count as one document. at is a packed array of 32-bit word positions. Rows
@@ -171,7 +174,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     held = spark.sparkContext.broadcast(bytes(filled))
 
     def candidates(batches):
-        schema = arrow_schema("part long, doc_id long, th long, anchor binary, hash binary, at binary, owner binary, text_hash binary")
+        schema = arrow_schema(SUFFIXES)
         bitset = np.frombuffer(held.value, np.uint8)
         found: list[tuple] = []
 
@@ -186,14 +189,14 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             starts = runs(a, h)
             least = np.repeat(d[starts[:-1]], np.diff(starts))
             later = d > least
-            yield from _by_document(d[later], t[later], at[later], schema)
+            yield from _by_place(d[later], t[later], at[later], bits, schema)
             a, h, at, d, t = (x[~later] for x in (a, h, at, d, t))
             cut = np.searchsorted(_part(a, bits), np.arange((1 << bits) + 1))
             rows = {k: [] for k in schema.names}
             for p in range(1 << bits):
                 if cut[p] < cut[p + 1]:
                     s = slice(cut[p], cut[p + 1])
-                    for k, x in (("part", p), ("doc_id", None), ("th", None), *((k, v[s].tobytes()) for k, v in (("anchor", a), ("hash", h), ("at", at), ("owner", d), ("text_hash", t)))):
+                    for k, x in (("part", p), ("place", None), *((k, v[s].tobytes()) for k, v in (("anchor", a), ("hash", h), ("at", at), ("owner", d), ("text_hash", t)))):
                         rows[k].append(x)
             yield record_batch(rows, schema)
 
@@ -214,29 +217,38 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             yield from flush()
 
     second = materialize(
-        docs.mapInArrow(candidates, "part long, doc_id long, th long, anchor binary, hash binary, at binary, owner binary, text_hash binary"), "suffixes"
+        docs.mapInArrow(candidates, SUFFIXES), "suffixes"
     )
 
     def trees(batches):
-        schema = arrow_schema("doc_id long, th long, at binary")
         for _, (a, h, at, d, t) in _groups(batches, 5):
             a, h, at, d, t = a.view(U), h.view(U), at.view(np.int32), d.view(np.int64), t.view(np.int64)
             order = np.lexsort((d, h, a))
             d, t, at = d[order], t[order], at[order]
             starts = runs(a[order], h[order])
             later = d > np.repeat(d[starts[:-1]], np.diff(starts))
-            yield from _by_document(d[later], t[later], at[later], schema)
+            yield from _by_place(d[later], t[later], at[later], bits, arrow_schema(PLACES))
+
+    def documents(batches):
+        schema = arrow_schema("doc_id long, th long, at binary")
+        for _, (d, t, at) in _groups(batches, 3):
+            d, t, at = d.view(np.int64), t.view(np.int64), at.view(np.int32)
+            order = np.lexsort((at, t, d))
+            d, t, at = d[order], t[order], at[order]
+            starts = runs(d, t)
+            yield record_batch({"doc_id": d[starts[:-1]], "th": t[starts[:-1]], "at": [at[i:j].tobytes() for i, j in zip(starts[:-1], starts[1:])]}, schema)
 
     packed = second.where("part is not null").select("part", "anchor", "hash", "at", "owner", "text_hash")
-    found = packed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(trees, "doc_id long, th long, at binary")
-    return found.unionByName(second.where("part is null").select("doc_id", "th", "at"))
+    found = packed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(trees, PLACES)
+    found = found.unionByName(second.where("part is null").select("place", "owner", "text_hash", "at"))
+    return found.repartition(n, "place").sortWithinPartitions("place").mapInArrow(documents, "doc_id long, th long, at binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n: int):
-    """(part, concatenated packed columns) of rows sorted by part."""
+    """(key, concatenated packed columns) of rows sorted by their first column."""
     part, cols = None, None
     for b in batches:
-        keys = b.column("part").to_pylist()
+        keys = b.column(0).to_pylist()
         blobs = [b.column(k + 1).to_pylist() for k in range(n)]
         for k, p in enumerate(keys):
             if p != part:
@@ -249,31 +261,34 @@ def _groups(batches: Iterator[pa.RecordBatch], n: int):
         yield part, [np.frombuffer(b"".join(c), np.uint8) for c in cols]
 
 
-def _by_document(d: np.ndarray, t: np.ndarray, at: np.ndarray, schema: pa.Schema):
-    """A row for each document with its packed positions."""
+def _by_place(d: np.ndarray, t: np.ndarray, at: np.ndarray, bits: int, schema: pa.Schema):
+    """Packed rows of documents' positions for each of 2^bits groups of documents."""
     if not len(d):
         return
-    order = np.lexsort((at, t, d))
+    place = (mix(d.view(U) ^ t.view(U)) >> U(64 - bits)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
     d, t, at = d[order], t[order], at[order]
-    starts = runs(d, t)
-    rows = {k: [None] * (len(starts) - 1) for k in schema.names}
-    rows |= {"doc_id": d[starts[:-1]], "th": t[starts[:-1]], "at": [at[i:j].tobytes() for i, j in zip(starts[:-1], starts[1:])]}
+    cut = np.searchsorted(place[order], np.arange((1 << bits) + 1))
+    rows = {k: [] for k in schema.names}
+    for p in range(1 << bits):
+        if cut[p] < cut[p + 1]:
+            s = slice(cut[p], cut[p + 1])
+            own = {"place": p, "owner": d[s].tobytes(), "text_hash": t[s].tobytes(), "at": at[s].tobytes()}
+            for k in rows:
+                rows[k].append(own.get(k))
     yield record_batch(rows, schema)
 
 
-def covered(n_words: int, at: list[bytes] | None, window: int = WINDOW) -> np.ndarray:
+def covered(n_words: int, at: bytes, window: int = WINDOW) -> np.ndarray:
     """Which of a document's words lie in a window that starts at one of the packed positions."""
-    edge = np.zeros(n_words + 1, np.int32)
-    for x in at or ():
-        p = np.frombuffer(x, np.int32)
-        np.add.at(edge, p, 1)
-        np.add.at(edge, p + window, -1)
+    p = np.frombuffer(at, np.int32)
+    edge = np.bincount(p, minlength=n_words + 1) - np.bincount(p + window, minlength=n_words + 1)
     return np.cumsum(edge[:n_words]) > 0
 
 
 def with_repeats(docs: DataFrame, columns: list[str] | None = None, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The documents (doc_id, text and any other ``columns``) with ``at``, the packed positions of their repeated windows, or null."""
-    found = repeated_words(docs, window, gram).groupBy("doc_id", "th").agg(F.collect_list("at").alias("at"))
+    found = repeated_words(docs, window, gram)
     own = id_text(docs, *(columns or [])).withColumn("th", F.xxhash64("text"))
     n = n_partitions(docs.sparkSession)
     return own.repartition(n, "doc_id", "th").join(found, ["doc_id", "th"], "left").drop("th")
