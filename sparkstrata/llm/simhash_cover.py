@@ -169,3 +169,14 @@ def near_groups(docs: DataFrame, k: int = 3) -> DataFrame:
     labels = connected_components(near_edges(distinct.where("id is not null")))
     found = distinct.join(labels, distinct.id == labels.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return prints.join(found, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, that of the smallest doc_id.
+
+    Rows without doc_id can't be told apart and stay, as do rows that repeat the
+    kept document's doc_id.
+    """
+    groups = near_groups(docs, k)
+    gone = materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return docs.join(gone, docs.doc_id.cast("long") == gone.gone, "left_anti")
