@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkstrata.llm.common import materialize
-from sparkstrata.llm import packing, page_difference, piece_bpe, quality_knn, rotation_codes, separator_scan, simhash_blocks, simhash_cover, substring_dedup
+from sparkstrata.llm import context_mixing, packing, page_difference, piece_bpe, quality_knn, rotation_codes, separator_scan, simhash_blocks, simhash_cover, substring_dedup
 
 
 def vocabulary(name: str) -> str:
@@ -33,6 +33,10 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,6 +78,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_document_fingerprints,
+        op2_lm_scoring,
         op3_token_counts,
         op4_simhash_near_dedup,
         op5_sentencepiece,
