@@ -251,7 +251,7 @@ def smart_truncate(c: Column, terms: Column, most: int = 300) -> Column:
     near = F.array_distinct(F.flatten(F.transform(hits, lambda k: F.sequence(F.greatest(k - 10, F.lit(1)), F.least(k + 10, n)))))
     numbered = F.transform(F.array_sort(near), lambda k: F.concat(F.lit("L"), k.cast("string"), F.lit(": "), F.element_at(own, k.cast("int"))))
     relevant = F.concat(F.lit("... [Showing relevant sections] ...\n\n"), F.array_join(numbered, "\n"))
-    ends = F.array_join(F.concat(F.slice(own, 1, 150), F.array(F.lit("\n... omitted ...\n")), F.slice(own, -50, 50)), "\n")
+    ends = F.array_join(F.concat(F.slice(own, 1, 150), F.array(F.lit("\n... omitted ...\n")), F.slice(own, F.greatest(n - 49, F.lit(1)), F.lit(50))), "\n")
     return F.when(n <= most, c).when(F.size(hits) > 0, relevant).otherwise(ends)
 
 

@@ -111,7 +111,7 @@ def merge_clusters(clusters: DataFrame, edges: DataFrame, has_infra: bool = Fals
         out = merge_greedily(dict(zip(pdf.a[alone], pdf.n[alone])), {(a, b): n for a, b, n in zip(pdf.a[~alone], pdf.b[~alone], pdf.n[~alone])}, goal, most)
         return pd.DataFrame([(c, f"module_{int(x[:3])}", x[4:]) for c, x in out.items()], columns=["cluster", "module_id", "name"])
 
-    table = sums.unionByName(pairs).groupBy(F.lit(1)).applyInPandas(merged, "cluster string, module_id string, name string")
+    table = sums.unionByName(pairs).withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(merged, "cluster string, module_id string, name string")
     return clusters.join(table, "cluster").select("id", "module_id", "name")
 
 

@@ -246,7 +246,7 @@ def requested_paths(requested: DataFrame, paths: DataFrame) -> DataFrame:
 def barrel_functions(barrels: DataFrame, functions: DataFrame, most: int = 10) -> DataFrame:
     """Functions (file, name, ord) of the first targets of barrels (id, barrel_targets), with the barrel and the file they come from."""
     targets = barrels.select("id", F.posexplode(F.slice("barrel_targets", 1, most)).alias("pos", "file"))
-    return targets.join(functions, "file").select(F.col("id").alias("barrel"), F.col("file").alias("source_file"), "name", "pos", "ord")
+    return targets.join(functions.select("file", "name", "ord"), "file").select(F.col("id").alias("barrel"), F.col("file").alias("source_file"), "name", "pos", "ord")
 
 
 def file_index(paths: DataFrame) -> DataFrame:
