@@ -46,14 +46,20 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of few rows each, so that a task holds the derived data of few texts at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Apply ``fn`` (record batch to columns) to every Arrow batch of ``df``."""
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield record_batch(fn(batch), arrow)
+        for batch in sliced(batches):
+            yield record_batch(fn(batch), arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -79,9 +85,15 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def id_text(docs: DataFrame, *others: str) -> DataFrame:
-    """doc_id as long, text as string with null made empty, and other columns as they are."""
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *others)
+def id_text(docs: DataFrame, others: list[str] | None = None) -> DataFrame:
+    """doc_id as long and text as string with null made empty; ``others`` go into one struct, rest, so that their names can't clash."""
+    rest = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")] if others else []
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *rest)
+
+
+def unpacked(df: DataFrame, others: list[str]) -> list:
+    """The columns that `id_text` put into rest."""
+    return [df["rest"].getField(c).alias(c) for c in others]
 
 
 def lower_ascii(column):

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkstrata.llm.common import arrow_schema, id_text, record_batch
+from sparkstrata.llm.common import arrow_schema, id_text, record_batch, sliced
 
 #: The mark that stands for a blank in pieces (fixed value of the library).
 BLANK = "▁"
@@ -212,7 +212,7 @@ def encode_digest(docs: DataFrame, model: str) -> DataFrame:
         own = piece_encoder(model)
         sha256 = hashlib.sha256
         end = str(own.eos).encode()
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for d, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 found = own.parts(text)

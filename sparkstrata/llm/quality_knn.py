@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkstrata.llm.common import arrow_schema, id_text, record_batch, texts
+from sparkstrata.llm.common import arrow_schema, id_text, record_batch, sliced, texts
 
 #: Most labelled rows of each class whose vectors are broadcast. They are those
 #: with the least hash of doc_id, so the choice doesn't depend on the partitions.
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) ->
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [features(t) for t in texts(b)]
             cols = {"doc_id": b.column("doc_id"), "ids": [x.astype(np.int32).tobytes() for x, _ in found], "weights": [w.astype(np.float32).tobytes() for _, w in found]}
             yield record_batch(cols, arrow)
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) ->
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) and any other ``columns`` of every document, from its whole text alone.
+    """(doc_id, text, held_out, score, predicted) of every document, from its whole text alone, and any other ``columns`` in the struct rest.
 
     The score is the share of label 1 among the votes of the nearest labelled
     documents, 0.5 if no label can be learned from. Null text is empty and is
@@ -149,13 +149,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, columns: list[str] | None
     """
     model = fit(docs, labels)
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2 * ROWS_PER_CLASS vectors and the axes: 3 MB
-    own = id_text(docs, *(columns or [])).withColumn("held_out", held_out())
+    own = id_text(docs, columns).withColumn("held_out", held_out())
     schema = own.withColumn("score", F.lit(0.5)).withColumn("predicted", F.lit(1)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in sliced(batches):
             found = [features(t) for t in texts(b)]
             score = held.value.score(found) if held.value else np.full(len(found), 0.5)
             cols = {c: b.column(c) for c in b.schema.names}

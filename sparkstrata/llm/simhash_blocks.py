@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkstrata.llm.common import arrow_schema, group_labels, id_text, materialize, mix, n_partitions, record_batch, runs
+from sparkstrata.llm.common import arrow_schema, group_labels, id_text, materialize, mix, n_partitions, record_batch, runs, sliced
 from sparkstrata.llm.components import connected_components
 from sparkstrata.llm.ordered import in_ranges
 
@@ -31,13 +31,6 @@ RADIUS = 3
 #: A bucket of more fingerprints is dealt out again by a further block.
 BUCKET = 1024
 
-WORDS: dict[bytes, tuple[int, float]] = {}
-
-
-def _weight(word: bytes) -> float:
-    """Longer words say more about a text than short ones, which are often function words."""
-    return float(min(len(word), 16)) ** 1.5
-
 
 def fingerprint(text: str) -> tuple[int, int]:
     """The two halves of a text's fingerprint; a text without words has 0.
@@ -48,17 +41,9 @@ def fingerprint(text: str) -> tuple[int, int]:
     words = text.lower().encode().split()
     if not words:
         return 0, 0
-    cache = WORDS
-    if len(cache) > 300_000:
-        cache.clear()
-    found = []
-    for w in words:
-        x = cache.get(w)
-        if x is None:
-            x = cache[w] = (xxhash.xxh64_intdigest(w), _weight(w))
-        found.append(x)
-    h = np.array([x for x, _ in found], np.uint64)
-    weight = np.array([x for _, x in found])
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    # longer words say more about a text than short ones, which are often function words
+    weight = np.minimum(np.fromiter(map(len, words), np.float64, len(words)), 16) ** 1.5
     pairs = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
     terms, first, count = np.unique(np.concatenate([h, pairs]), return_index=True, return_counts=True)
     w = np.concatenate([weight, (weight[:-1] + weight[1:]) / 2])[first] * (1 + np.log(count))
@@ -110,7 +95,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (part, side, doc_id, text, fingerprint)
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for part, side, d, text in zip(*(b.column(c).to_pylist() for c in ("part", "side", "doc_id", "text"))):
                 if side < 0:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkstrata.llm.common import arrow_schema, id_text, materialize, mix, n_partitions, record_batch, runs, texts
+from sparkstrata.llm.common import arrow_schema, id_text, materialize, mix, n_partitions, record_batch, runs, sliced, texts, unpacked
 
 WINDOW = 13
 GRAM = 5
@@ -41,20 +41,10 @@ PLACES = "place long, owner binary, text_hash binary, at binary"
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
-WORDS: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    cache, digest = WORDS, xxhash.xxh64_intdigest
-    if len(cache) > 400_000:
-        cache.clear()
-    out = []
-    for w in words:
-        h = cache.get(w)
-        if h is None:
-            h = cache[w] = digest(w)
-        out.append(h)
-    return np.array(out, U)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), U, len(words))
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -84,7 +74,7 @@ def _part(anchor: np.ndarray, bits: int) -> np.ndarray:
 
 def _documents(batches: Iterator[pa.RecordBatch], window: int):
     """(doc_id, words) of each row that has an id and a whole window."""
-    for b in batches:
+    for b in sliced(batches):
         for d, t in zip(b.column("doc_id").to_pylist(), texts(b)):
             if d is not None and len(words := t.split()) >= window:
                 yield d, t, words
@@ -287,9 +277,9 @@ def covered(n_words: int, at: bytes, window: int = WINDOW) -> np.ndarray:
 
 
 def with_repeats(docs: DataFrame, columns: list[str] | None = None, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The documents (doc_id, text and any other ``columns``) with ``at``, the packed positions of their repeated windows, or null."""
+    """The documents (doc_id, text, other ``columns`` in rest) with ``at``, the packed positions of their repeated windows, or null."""
     found = repeated_words(docs, window, gram)
-    own = id_text(docs, *(columns or [])).withColumn("th", F.xxhash64("text"))
+    own = id_text(docs, columns).withColumn("th", F.xxhash64("text"))
     n = n_partitions(docs.sparkSession)
     return own.repartition(n, "doc_id", "th").join(found, ["doc_id", "th"], "left").drop("th")
 
@@ -307,7 +297,7 @@ def dedup_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for d, text, at in zip(b.column("doc_id").to_pylist(), texts(b), b.column("at").to_pylist()):
                 words = text.split()
@@ -335,11 +325,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     out = with_repeats(docs, others, window)
-    schema = out.select("doc_id", "text", *others).schema
+    own = ["doc_id", "text", *(["rest"] if others else [])]
+    schema = out.select(*own).schema
     word = re.compile(rb"[^\x20\x09-\x0D]+")
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             new, keep = [], []
             for text, at in zip(texts(b), b.column("at").to_pylist()):
                 if at:
@@ -352,10 +343,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 else:
                     keep.append(True)
                     new.append(text.decode())
-            cols = {c: b.column(c) for c in ("doc_id", *others)} | {"text": pa.array(new, pa.string())}
-            yield pa.RecordBatch.from_pydict({c: cols[c] for c in ("doc_id", "text", *others)}).filter(pa.array(keep))
+            cols = {c: b.column(c) for c in own} | {"text": pa.array(new, pa.string())}
+            yield pa.RecordBatch.from_pydict(cols).filter(pa.array(keep))
 
-    out = out.select("doc_id", "text", *others, "at").mapInArrow(run, schema)
+    out = out.select(*own, "at").mapInArrow(run, schema)
+    out = out.select("doc_id", "text", *unpacked(out, others))
     if "n_chars" in others:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
