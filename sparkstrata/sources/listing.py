@@ -23,7 +23,7 @@ def file_contents(spark: SparkSession, root: str, wanted: DataFrame | None = Non
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.split(":", 1)[-1].rstrip("/")
     plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    out = files.select(F.substr(plain, F.lit(len(base) + 2)).alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    out = files.select(F.substr(plain, F.lit(len(base) + 2)).alias("path"), F.decode("content", "UTF-8").alias("content"))
     return out if wanted is None else out.join(wanted.select("path").distinct(), "path", "left_semi")
 
 
