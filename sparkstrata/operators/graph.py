@@ -41,8 +41,8 @@ def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def dedup_edges(edges: DataFrame, merge_symbols: bool = False) -> DataFrame:
-    """One edge of each (source, target, kind), the first by ``ord``; with ``merge_symbols`` it gets the symbols of all."""
-    first = first_of(edges, ["source", "target", "kind"], ["ord"])
+    """One edge of each (source, target, kind), the first by ``ord`` (of equals one that isn't type-only); with ``merge_symbols`` it gets the symbols of all."""
+    first = first_of(edges, ["source", "target", "kind"], ["ord", *[c for c in ["is_type_only"] if c in edges.columns]])
     if not merge_symbols:
         return first
     symbols = edges.groupBy("source", "target", "kind").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("symbols")))).alias("symbols"))

@@ -38,7 +38,7 @@ R4 = "(floor(({}) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE)"
 # ---- edges and degrees
 
 
-@query(sql("supply", "SELECT source, target, kind, min(ord) AS ord, min_by(is_type_only, ord) AS is_type_only FROM supply GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY source, target, kind")))
+@query(sql("supply", "SELECT source, target, kind, min(ord) AS ord, min_by(is_type_only, ord * 2 + CAST(is_type_only AS INTEGER)) AS is_type_only FROM supply GROUP BY source, target, kind"))
 def edge_dedup(spark, d):
     return graph.dedup_edges(supply(spark, d)).select("source", "target", "kind", "ord", "is_type_only")
 
@@ -602,7 +602,7 @@ def snippet_select(spark, d):
     return budget.select_functions(candidates, f.select(g.alias("file"), F.col("id").alias("function_id"), "name", "is_exported", "ord"), ["ring"])
 
 
-@query("SELECT min_by(doc_id, doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY trim(text)".replace("min_by(doc_id, doc_id)", "min(doc_id)").replace(", count(*) AS n", ""))
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY trim(text)")
 def snippet_dedup(spark, d):
     s = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("function_id"), F.col("text").alias("body"), F.col("doc_id").alias("ord"))
     return budget.dedup_snippets(s).select("doc_id")
