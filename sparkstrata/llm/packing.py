@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -12,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkstrata.llm.common import arrow_schema, id_text, materialize, record_batch, texts
+from sparkstrata.llm.common import arrow_schema, id_text, materialize, record_batch, sliced, texts
 
 #: Tokens in a sequence.
 MAX_TOKENS = 4096
@@ -20,34 +22,44 @@ MAX_TOKENS = 4096
 STEP = 8
 #: Most pieces in the combinations that the least squares choose from.
 DEPTH = 3
-#: A worker keeps the ids of so many words.
-CACHE_WORDS = 300_000
+#: A worker keeps the ids of so many words (about 110 MB).
+CACHE_WORDS = 500_000
 
 
-class WordIds:
-    """Ids of a `tokenizers` vocabulary whose tokens never cross white space, word by word with a cache."""
+#: A word that ends in a letter, and marks after it other than apostrophes: their tokens are apart.
+LETTERS_AND_MARKS = re.compile(rb"([A-Za-z\x80-\xff]*[A-Za-z])([!-&(-/:-@\[-`{-~]+)")
+
+
+class WordIds(dict):
+    """Ids of words by a `tokenizers` vocabulary that lower-cases and whose tokens never cross white space.
+
+    Maps UTF-8 words to their ids as little-endian unsigned 32-bit numbers. Words
+    that aren't there yet are put together from their letters, lower-cased if
+    they are ASCII, and the marks after them, which recur more often.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes) -> bytes:
-        """The ids of a UTF-8 text as little-endian unsigned 32-bit numbers."""
-        words = text.split()
-        cache = self.cache
-        parts = list(map(cache.get, words))
-        if None in parts:
-            missing = list({w for w, p in zip(words, parts) if p is None})
-            ids = self.tokenizer.encode_batch([w.decode() for w in missing], add_special_tokens=False)
-            new = {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(missing, ids)}
-            room = CACHE_WORDS - len(cache)
-            if room > 0:
-                cache.update({w: x for w, x in list(new.items())[:room] if len(w) <= 64})
-            parts = [new[w] if p is None else p for w, p in zip(words, parts)]
-        return b"".join(parts)
+
+    def __missing__(self, word: bytes) -> bytes:
+        if m := LETTERS_AND_MARKS.fullmatch(word):
+            ids = self[m[1]] + self[m[2]]
+        elif word.isascii() and (low := word.lower()) != word:
+            ids = self[low]
+        else:
+            own = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(own)}I", *own)
+        if len(self) < CACHE_WORDS and len(word) <= 48:
+            self[word] = ids
+        return ids
+
+    def many(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text."""
+        for t in texts:
+            yield b"".join(map(self.__getitem__, t.split()))
 
 
 ENCODERS: dict[str, WordIds] = {}
@@ -146,7 +158,7 @@ def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return out
 
 
-def token_pieces(docs: DataFrame, encoder: Callable[[], Callable[[bytes], bytes]], end_id: int, size: int = MAX_TOKENS, step: int = STEP) -> DataFrame:
+def token_pieces(docs: DataFrame, encoder: Callable[[], WordIds], end_id: int, size: int = MAX_TOKENS, step: int = STEP) -> DataFrame:
     """The pieces of every document: whole windows first, then the rest.
 
     Besides the piece's own columns, ``bin`` is its rounded length and
@@ -158,12 +170,12 @@ def token_pieces(docs: DataFrame, encoder: Callable[[], Callable[[bytes], bytes]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         seen = np.zeros(-(-size // step) + 1, np.int64)
-        encode = encoder()
+        encode = encoder().many
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in sliced(batches):
             rows = []
-            for d, text in zip(b.column("doc_id").to_pylist(), texts(b)):
-                data = encode(text) + end
+            for d, ids in zip(b.column("doc_id").to_pylist(), encode(texts(b))):
+                data = ids + end
                 n = len(data) // 4
                 for start in range(0, n, size):
                     length = min(size, n - start)
