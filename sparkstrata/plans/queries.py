@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkstrata.functions import classify as C
 from sparkstrata.functions import text as T
-from sparkstrata.operators import budget, cluster, deadcode, evaluate, graph, index, rank, resolve, search
+from sparkstrata.operators import budget, cluster, context, deadcode, evaluate, graph, index, rank, resolve, search
 from sparkstrata.plans.views import copurchase, file_edges, files, functions, sql, supply, table, trade
 from sparkstrata.sources import extract as X
 from sparkstrata.sources import listing
@@ -734,3 +734,63 @@ def extracted_code(spark, d):
     name = F.regexp_replace("p_name", " ", "_")
     body = F.concat(F.lit("import os, json\nfrom .core import load as l\n\nclass "), F.initcap(F.regexp_replace("p_name", " .*", "")), F.lit(":\n    def "), name, F.lit("(self):\n        return self.run(json.dumps(os.getcwd()))\n\nif __name__ == '__main__':\n    main()\n"))
     return X.extract(f.select(F.col("id").alias("path"), body.alias("content"), F.lit("python").alias("language"))).select("file", "what", "name", "kind", "start_line", F.array_join("calls", ",").alias("calls"))
+
+
+# ---- contexts
+
+
+@query(sql("files", """, f AS (SELECT * FROM files WHERE NOT regexp_matches(lower(id), '\\.d\\.ts$|(^|/)(dist|build|out|node_modules|vendor|coverage|__generated__)/|\\.min\\.') AND NOT regexp_matches(lower(id), '(^|/)(docs?|mkdocs|examples?|samples?|demos?)/')
+    AND NOT regexp_matches(lower(id), '(^|/)(test|tests|testing|__tests__|__mocks__|spec|specs)/') AND NOT regexp_matches(lower(label), '\\.(test|spec)\\.[a-z]+$')) SELECT id, CASE WHEN partkey % 3 = 0 THEN id ELSE id || ': ' || camel END AS line FROM f"""))
+def compact_map(spark, d):
+    return context.compact_map(files(spark, d).select("id", F.lit(False).alias("is_barrel")), functions(spark, d).where("ord % 3 <> 0"))
+
+
+def _intents(spark):
+    issues = spark.createDataFrame([(1, "SmallRing breaks the api", "See `hotBolt` in smallring1.ts, it fails when the widget is old"), (2, "Gear is large", "")], "query long, title string, body string")
+    return issues.select("query", T.search_intent(F.col("title"), F.col("body"), F.array().cast("array<string>")).alias("i")).select("query", "i.*")
+
+
+def _named_files(spark, d):
+    return files(spark, d).select("id", F.array(F.col("p_name")).alias("function_names"), F.array(F.col("p_type")).alias("structure_names"))
+
+
+def _barrels(spark, d):
+    return files(spark, d).where("partkey = 50").select("id").withColumn("target", F.col("id"))
+
+
+@query()
+def issue_pipeline(spark, d):
+    return context.map_issues(_intents(spark), _named_files(spark, d), rank.both_ways(file_edges(spark, d)), _barrels(spark, d))
+
+
+@query()
+def chat_context(spark, d):
+    fn = functions(spark, d).select("file", F.col("id").alias("function_id"), "name", "is_exported", "ord", F.lit(1).alias("start_line"), F.lit(3).alias("end_line"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("partkey"), F.col("text").alias("content"))
+    contents = files(spark, d).join(docs, "partkey").select(F.col("id").alias("file"), "content")
+    x = context.chat_context(_intents(spark), _named_files(spark, d), rank.both_ways(file_edges(spark, d)), _barrels(spark, d), fn, contents, "none")
+    return x.select("query", "id", "function_id", F.length("body").alias("chars"), "acc")
+
+
+@query(sql("file_edges functions", "SELECT x.id, relation, f.file FROM (SELECT source AS id, 'caller' AS relation FROM call_edges WHERE target = (SELECT min(target) FROM call_edges) UNION SELECT target, 'callee' FROM call_edges WHERE source = (SELECT min(target) FROM call_edges)) x JOIN functions f ON x.id = f.id", more=CALLS))
+def callers_callees(spark, d):
+    f = functions(spark, d)
+    e = graph.cut_lineage(graph.resolve_calls(_calls(spark, d), f))
+    return context.callers_and_callees(e, f, e.agg(F.min("target")).first()[0])
+
+
+@query(sql("files", "SELECT id, label FROM files WHERE contains(lower(label), 'ring') OR contains(lower(id), 'ring')"))
+def highlighted_files(spark, d):
+    return context.highlighted(files(spark, d).select("id", "label"), "Ring")
+
+
+@query(sql("copurchase", "SELECT CAST(id AS VARCHAR) AS id, nth, CAST(greatest((SELECT count(*) FROM f) - 12, 0) AS BIGINT) AS n_more FROM (SELECT *, row_number() OVER (ORDER BY hop_forward, id) AS nth FROM f) WHERE nth <= 12", True, WALK))
+def focus_limited_side(spark, d):
+    side = graph.walk(copurchase(spark, d), _start(spark), 2).where("hop > 0")
+    return context.limited_side(side, ["hop", "id"]).select(F.col("id").cast("string").alias("id"), "nth", "n_more")
+
+
+@query(sql("files", "SELECT f.id, CAST(m.confidence AS BIGINT) AS confidence FROM files f LEFT JOIN (SELECT id, max(size) AS confidence FROM files WHERE partkey % 4 = 0 GROUP BY id) m ON f.id = m.id"))
+def issue_highlight(spark, d):
+    f = files(spark, d)
+    return context.with_confidence(f.select("id"), f.where("partkey % 4 = 0").select("id", F.col("size").cast("long").alias("confidence")))
