@@ -43,14 +43,14 @@ def bm25(terms: DataFrame, wanted: DataFrame, k1: float = K1, b: float = B) -> D
     counts = terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
     lengths = counts.groupBy("id").agg(F.sum("tf").alias("dl"))
     whole = lengths.agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
-    asked = F.broadcast(wanted.select("term").distinct())  # as many rows as the queries have terms
+    asked = wanted.select("term").distinct()
     mine = counts.join(asked, "term", "left_semi")
     df = mine.groupBy("term").agg(F.count("*").alias("df"))
     n, avg = F.greatest(F.col("n"), F.lit(1)), F.col("total") / F.greatest(F.col("n"), F.lit(1))
-    x = mine.join(F.broadcast(df), "term").join(lengths, "id").crossJoin(F.broadcast(whole))  # one row
+    x = mine.join(df, "term").join(lengths, "id").crossJoin(F.broadcast(whole))  # one row
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avg))
-    scored = x.select("id", "term", part.alias("part")).join(F.broadcast(wanted), "term")
+    scored = x.select("id", "term", part.alias("part")).join(wanted, "term")
     return scored.groupBy("query", "id").agg(F.sum(F.col("weight") * F.col("part")).alias("bm25"))
 
 

@@ -67,12 +67,13 @@ def resolve_scripts(imports: DataFrame, paths: DataFrame, aliases: DataFrame | N
         own = plain.where((s == own_package) | s.startswith(f"{own_package}/"))
         base = base.unionByName(own.select("dir", "specifier", F.when(s == own_package, "src").otherwise(F.substring(s, len(own_package) + 2, 1 << 20)).alias("base"), F.lit(1).alias("rank")))
     if packages is not None:
-        p = plain.withColumn("name", package_name(s)).join(F.broadcast(packages.select("name", "source")), "name")  # a repository's packages are few
+        p = plain.withColumn("name", package_name(s)).join(packages.select("name", "source"), "name")
         rest = F.substr(s, F.length("name") + 2)
         base = base.unionByName(p.select("dir", "specifier", normalised_path(F.concat_ws("/", "source", F.when(rest != "", rest))).alias("base"), F.lit(2).alias("rank")))
     explicit = plain.select("dir", "specifier").where(F.lit(False))
     if aliases is not None:
-        a = plain.crossJoin(F.broadcast(aliases)).where(s.startswith(F.col("prefix")))  # a repository's aliases are few
+        starts = F.transform(F.sequence(F.lit(1), F.length(s)), lambda n: F.substr(s, F.lit(1), n))
+        a = plain.withColumn("prefix", F.explode(starts)).join(aliases, "prefix")  # a prefix join by equality
         longest = 1000 - F.length("prefix")
         rest = F.when(F.col("is_wildcard"), F.substr(s, F.length("prefix") + 1)).otherwise("")
         base = base.unionByName(a.select("dir", "specifier", normalised_path(F.concat_ws("/", "target", F.when(rest != "", rest))).alias("base"), (3 + longest).alias("rank")))
@@ -135,7 +136,7 @@ def resolve_python(imports: DataFrame, paths: DataFrame) -> DataFrame:
     up = F.array_join(F.slice(dirs, F.lit(1), F.greatest(F.size(dirs) - (F.col("dots") - 1), F.lit(0))), "/")
     roots = python_roots(paths).withColumn("depth", F.when(F.col("root") == "", 0).otherwise(F.size(F.split("root", "/"))))
     relative = x.where("dots > 0").withColumn("root", up).withColumn("depth", F.lit(0))
-    absolute = x.where("dots = 0").crossJoin(F.broadcast(roots))  # a repository's roots are few
+    absolute = x.where("dots = 0").crossJoin(roots)  # a repository's roots are few
     placed = relative.unionByName(absolute)
     segments = F.filter(F.split("specifier", r"\."), lambda s: s != "")
     names = F.filter(F.transform("symbols", lambda s: F.trim(F.element_at(F.split(s, " as "), 1))), lambda s: ~s.startswith("*"))
@@ -181,7 +182,7 @@ def resolve_go(imports: DataFrame, paths: DataFrame, modules: DataFrame, most: i
     files = own.withColumn("n", F.row_number().over(Window.partitionBy("dir").orderBy("path"))).where(F.col("n") <= most).drop("n")
     local = x.where(s.rlike(r"^\.\.?/")).select("file", "specifier", normalised_path(F.concat_ws("/", folder(F.col("file")), "specifier")).alias("dir"))
     prefixes = x.where(~s.rlike(r"^\.\.?/")).select("file", "specifier", F.explode(F.concat(ancestors(s), F.array("specifier"))).alias("module"))
-    hit = prefixes.join(F.broadcast(modules), "module")  # a repository's modules are few
+    hit = prefixes.join(modules, "module")
     best = hit.groupBy("file", "specifier").agg(F.max_by(F.struct("module", "dir"), F.length("module")).alias("m"))
     rest = F.substr(s, F.length("m.module") + 2)
     inside = best.select("file", "specifier", F.concat_ws("/", F.when(F.col("m.dir") != "", F.col("m.dir")), F.when(rest != "", rest)).alias("dir"))
@@ -202,7 +203,7 @@ def resolve_includes(includes: DataFrame, paths: DataFrame) -> DataFrame:
     roots = paths.select(F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.when(F.lower(F.element_at(parts, i.cast("int"))).isin(INCLUDE_NAMES), F.array_join(F.slice(parts, F.lit(1), i), "/"))), lambda r: r.isNotNull())).alias("root")).distinct()
     roots = roots.unionByName(spark.createDataFrame([("",)], "root string")).distinct().withColumn("depth", F.when(F.col("root") == "", 0).otherwise(F.size(F.split("root", "/"))))
     near = x.select("file", "specifier", normalised_path(F.concat_ws("/", "dir", "spec")).alias("candidate"), F.struct(F.lit(-1).alias("depth"), F.lit("").alias("root")).alias("ord"))
-    under = x.crossJoin(F.broadcast(roots)).select("file", "specifier", normalised_path(F.concat_ws("/", "root", "spec")).alias("candidate"), F.struct("depth", "root").alias("ord"))  # few roots
+    under = x.crossJoin(roots).select("file", "specifier", normalised_path(F.concat_ws("/", "root", "spec")).alias("candidate"), F.struct("depth", "root").alias("ord"))  # few roots
     direct = existing(near.unionByName(under), paths, ["file", "specifier"])
     named = paths.select("path", base_name(F.col("path")).alias("base"))
     ends = x.join(direct, ["file", "specifier"], "left_anti").withColumn("base", base_name(F.col("spec"))).join(named, "base")

@@ -29,7 +29,7 @@ def search(entries: DataFrame, queries: DataFrame, limit: int | None = 50, thres
     kinds = tokens.select("token").distinct()
     near = kinds.crossJoin(F.broadcast(asked.select("qt").distinct())).select("token", "qt", token_similarity(F.col("qt"), F.col("token")).alias("sim")).where("sim > 0")  # query tokens are few
     best = tokens.join(near, "token").groupBy("id", "qt").agg(F.max("sim").alias("sim"))
-    hits = best.join(F.broadcast(asked), "qt").groupBy("query", "id").agg(F.max("n_tokens").alias("n_tokens"), F.sum(F.round(F.col("sim") * 10).cast("long")).alias("tenths"), F.countDistinct("qt").alias("n_matched"))
+    hits = best.join(asked, "qt").groupBy("query", "id").agg(F.max("n_tokens").alias("n_tokens"), F.sum(F.round(F.col("sim") * 10).cast("long")).alias("tenths"), F.countDistinct("qt").alias("n_matched"))
     x = hits.join(own.drop("tokens"), "id")
     ratio = F.col("n_matched") / F.col("n_tokens")
     name, query = F.lower("name"), F.lower(F.trim("query"))
@@ -75,7 +75,7 @@ def map_issue(entries: DataFrame, queries: DataFrame, most: int = 10) -> DataFra
         )
         parts = got if parts is None else parts.unionByName(got)
     sums = parts.groupBy("query", "file").agg(F.sum("part").alias("s"), F.array_sort(F.collect_list("reason")).alias("r"))
-    scored = sums.join(F.broadcast(names), "query").select(F.col("issue").alias("query"), "file", F.least(F.lit(100.0), half_up(F.col("s"))).cast("long").alias("score"), F.transform("r", lambda x: x["text"]).alias("reasons"))
+    scored = sums.join(names, "query").select(F.col("issue").alias("query"), "file", F.least(F.lit(100.0), half_up(F.col("s"))).cast("long").alias("score"), F.transform("r", lambda x: x["text"]).alias("reasons"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "file")).cast("long")).where(F.col("rank") <= most)
 
 
