@@ -23,11 +23,29 @@ from sparkstrata.llm.common import arrow_schema, id_text, record_batch, sliced
 #: The mark that stands for a blank in pieces (fixed value of the library).
 BLANK = "▁"
 #: A worker keeps the ids of so many chunks.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 700_000
+#: A chunk that ends in a letter, and the marks after it.
+LETTERS_AND_MARKS = re.compile(r"(.*[^\W\d_])([!-/:-@\[-`{-~]+)")
 #: Chunks that merges never cross: no piece has a blank after another character, and none has a line end.
 CHUNK = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 
 
+class Chunks(dict):
+    """(decimal ids, decoded bytes) of chunks; those that aren't there yet are encoded when asked for."""
+
+    def __init__(self, encoder: "PieceEncoder"):
+        self.encoder = encoder
+
+    def __missing__(self, chunk: str) -> tuple[bytes, bytes]:
+        x = self.encoder.joined(chunk)
+        if x is None:
+            ids = self.encoder.chunk_ids(chunk)
+            x = " ".join(map(str, ids)).encode(), self.encoder.chunk_bytes(ids)
+        if len(self) < CACHE_CHUNKS and len(chunk) <= 64:
+            self[chunk] = x
+        return x
+
+
 class PieceEncoder:
     def __init__(self, path: str):
         import ahocorasick
@@ -45,7 +63,7 @@ class PieceEncoder:
             raise ValueError("pieces with inner blanks or line ends need other chunks")
         self.known = {p for p in self.ids if len(p) == 1}
         self.fits: dict[int, bool] = {}
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.cache = Chunks(self)
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             if self.remerge(p) == [i]:  # other pieces can't come out of merges
@@ -144,20 +162,17 @@ class PieceEncoder:
         """(decimal ids, decoded bytes) of each chunk of a text, which gets a leading blank as the library gives it."""
         if not text:
             return []
-        chunks = CHUNK.findall(" " + text.replace(BLANK, " "))
-        cache = self.cache
-        found = list(map(cache.get, chunks))
-        if None in found:
-            for k, x in enumerate(found):
-                if x is None:
-                    chunk = chunks[k]
-                    if (x := cache.get(chunk)) is None:
-                        ids = self.chunk_ids(chunk)
-                        x = (" ".join(map(str, ids)).encode(), self.chunk_bytes(ids))
-                        if len(cache) < CACHE_CHUNKS and len(chunk) <= 64:
-                            cache[chunk] = x
-                    found[k] = x
-        return found
+        return list(map(self.cache.__getitem__, CHUNK.findall(" " + text.replace(BLANK, " "))))
+
+    def joined(self, chunk: str) -> tuple[bytes, bytes] | None:
+        """What a chunk's letters and the marks after them give together, if the pieces where they meet are compatible."""
+        m = LETTERS_AND_MARKS.fullmatch(chunk)
+        if not m or chunk.startswith("  "):
+            return None
+        (a, x), (b, y) = self.cache[m[1]], self.cache[m[2]]
+        if self.compatible(int(a.rsplit(b" ", 1)[-1]), int(b.split(b" ", 1)[0])):
+            return a + b" " + b, x + y
+        return None
 
     def encode(self, text: str) -> list[int]:
         """All ids of a text, with the end id."""
