@@ -14,6 +14,8 @@ SKIP_EXTENSIONS = (
 ).split()
 SKIP_ENDS = ".min.js .min.ts .bundle.js .chunk.js .generated.ts .generated.js package-lock.json yarn.lock pnpm-lock.yaml".split()
 SOURCE_EXTENSIONS = ".js .ts .jsx .tsx .mjs .cjs .py .go .c .cpp .cc .cxx .c++ .h .hpp .hh .hxx".split()
+#: Folders of tests of other languages than scripts.
+TEST_FOLDERS = "test tests testing __tests__ spec unittests unit_tests".split()
 #: Starts of the names of configuration files.
 CONFIG_STARTS = "jest vite webpack tsdown rollup eslint prettier lint-staged babel next nuxt tailwind postcss".split()
 #: Segments of folders whose files count as unused more easily, and of shared code; stems that a framework finds by name.
@@ -89,7 +91,7 @@ def parse_mode(path: Column, size: Column) -> Column:
         .when(size < 500 * 1024, "full")
         .otherwise("imports-only")
     )
-    reason = F.when((mode == "imports-only") & ~name.endswith(".d.ts") & (size > 2 * 1024 * 1024), "large file")
+    reason = F.when(name.endswith(".d.ts") & (mode != "skip"), "type definition file (imports only)").when((mode == "imports-only") & (size > 2 * 1024 * 1024), "large file - imports only for performance")
     return F.struct(mode.alias("mode"), reason.alias("reason"))
 
 
@@ -107,13 +109,13 @@ def file_kind(path: Column, exports_component: Column | None = None) -> Column:
 
 
 def file_kind_other(path: Column, language: Column) -> Column:
-    """test, declaration or source of a Python, Go or C-family file."""
+    """test, config, declaration or source of a Python, Go or C-family file."""
     name = F.lower(base_name(path))
-    in_tests = F.arrays_overlap(F.split(F.lower(path), "/"), strings(["test", "tests", "testing", "__tests__"]))
-    python = F.when(in_tests | name.rlike(r"^test_.+\.py$|_test\.py$") | (name == "conftest.py"), "test").when(name.isin("setup.py", "conf.py", "settings.py"), "config").otherwise("source")
+    in_tests = F.arrays_overlap(F.split(F.lower(path), "/"), strings(TEST_FOLDERS))
+    python = F.when(in_tests | name.startswith("test_") | name.endswith("_test.py") | (name == "conftest.py"), "test").when(name.isin("setup.py", "conf.py", "settings.py"), "config").otherwise("source")
     go = F.when(name.endswith("_test.go"), "test").otherwise("source")
-    header = name.rlike(r"\.(h|hpp|hh|hxx)$")
-    c = F.when(in_tests | name.rlike(r"^test_|_tests?\.[a-z+]+$"), "test").when(header, "declaration").otherwise("source")
+    c_test = in_tests | name.startswith("test_") | name.rlike(r"(_test|_tests|\.test)\.(c|cc|cpp|cxx)$")
+    c = F.when(c_test, "test").when(name.rlike(r"\.(h|hpp|hh|hxx)$"), "declaration").otherwise("source")
     return F.when(language == "python", python).when(language == "go", go).when(language.isin("c", "cpp"), c).otherwise(F.lit("source"))
 
 
@@ -203,7 +205,7 @@ def has_startup_call(calls: Column) -> Column:
 
 
 def has_route_call(calls: Column) -> Column:
-    return F.arrays_overlap(calls, strings(["get", "post", "put", "delete", "patch", "use", "all", "handle"]))
+    return F.arrays_overlap(calls, strings(["get", "post", "put", "patch", "delete", "head", "options", "all", "handle"]))
 
 
 def schema_hit(path: Column, role: Column, is_barrel: Column, n_structures: Column, n_functions: Column, in_degree: Column, out_degree: Column) -> Column:
@@ -228,15 +230,17 @@ def shown(kinds: list[str], languages: list[str], kind: Column, language: Column
     return by_kind & (F.lit(True) if not languages else language.isin(languages))
 
 
-def function_marker(language: Column, is_declaration: Column, is_exported: Column, visibility: Column, is_static: Column) -> Column:
-    """The short mark of a function's visibility, by language."""
-    c_family = language.isin("c", "cpp")
+def function_marker(language: Column, is_declaration: Column, is_exported: Column) -> Column:
+    """The short mark of a function's visibility, by language: what is out of the ordinary there."""
+    scripts, c_family = language.isin("typescript", "javascript"), language.isin("c", "cpp")
     return (
-        F.when(is_declaration, "decl")
-        .when(visibility == "private", "private")
-        .when(c_family & is_static, "static")
-        .when(~c_family & is_exported & language.isin("typescript", "javascript"), "exp")
-        .when(~c_family & is_exported, "exported")
+        F.when(is_declaration & c_family, "decl")
+        .when(scripts & is_exported, "exp")
+        .when(scripts, None)
+        .when(language == "go", F.when(is_exported, "exported"))
+        .when(language == "python", F.when(~is_exported, "private"))
+        .when(c_family, F.when(~is_exported, "static"))
+        .when(is_exported, "exp")
     )
 
 

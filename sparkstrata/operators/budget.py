@@ -58,17 +58,17 @@ def queue_positions(jobs: DataFrame) -> DataFrame:
 def select_functions(candidates: DataFrame, functions: DataFrame, tokens: list[str]) -> DataFrame:
     """(file, function_id, name, nth): the functions shown of each candidate file (file, source).
 
-    A pull request's files show up to four exported functions, or any if none is
-    exported; keyword and navigated files up to four whose names contain a
-    token, else three exported; others three exported. ``functions`` has (file,
-    function_id, name, is_exported, ord).
+    A pull request's files show up to four exported functions; keyword and
+    navigated files up to four whose names contain a token, else three exported;
+    others three exported. Where none is exported any will do. ``functions`` has
+    (file, function_id, name, is_exported, ord).
     """
     has = F.exists(F.array(*[F.lit(t) for t in tokens]), lambda t: F.lower("name").contains(t)) if tokens else F.lit(False)
     x = candidates.join(functions, "file").withColumn("hit", has)
     w = Window.partitionBy("file")
     any_exported, any_hit = F.bool_or("is_exported").over(w), F.bool_or("hit").over(w)
     wanted = F.col("source").isin("keyword", "gemini")
-    ok = F.when(F.col("source") == "pr", F.when(any_exported, F.col("is_exported")).otherwise(True)).when(wanted & any_hit, F.col("hit")).otherwise(F.col("is_exported"))
+    ok = F.when(wanted & any_hit, F.col("hit")).otherwise(F.col("is_exported") | ~any_exported)
     most = F.when((F.col("source") == "pr") | (wanted & any_hit), 4).otherwise(3)
     x = x.withColumn("ok", ok).withColumn("most", most).where("ok")
     nth = F.row_number().over(w.orderBy("ord", "function_id"))

@@ -151,7 +151,7 @@ def cluster_summary(module_files: DataFrame, externals: DataFrame) -> DataFrame:
 
 
 #: Files that stand for a repository's infrastructure.
-KEY_FILES = "package.json README.md tsconfig.json Dockerfile docker-compose.yml .env.example".split()
+KEY_FILES = "readme.md package.json docker-compose.yml dockerfile tsconfig.json drizzle.config.ts drizzle.config.js eslint.config.js .eslintrc.js next.config.js".split()
 
 
 def representatives(module_files: DataFrame, proposed: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def representatives(module_files: DataFrame, proposed: DataFrame) -> DataFrame:
     proposed files (module_id, id) that are in the module, else the two first.
     """
     w = Window.partitionBy("module_id").orderBy(F.desc("importance"), "id")
-    key = F.when(F.col("module_id") == "module_infra", base_name(F.col("id")).isin(KEY_FILES)).otherwise(F.coalesce("p", F.lit(False)))
+    key = F.when(F.col("module_id") == "module_infra", F.lower(base_name(F.col("id"))).isin(KEY_FILES)).otherwise(F.coalesce("p", F.lit(False)))
     x = module_files.join(proposed.select("module_id", "id", F.lit(True).alias("p")).distinct(), ["module_id", "id"], "left").withColumn("key", key)
     x = x.withColumn("any", F.bool_or("key").over(Window.partitionBy("module_id"))).withColumn("n", F.row_number().over(w))
     x = x.withColumn("nk", F.sum(F.col("key").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -15,7 +15,7 @@ from sparkstrata.functions.text import base_name, folder, normalised_path, share
 
 #: Ends that complete a script import, in order; names of include folders; most files of a Go package.
 SCRIPT_ENDS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
-INCLUDE_NAMES = ["include", "inc", "includes", "headers", "src", "source", "lib"]
+INCLUDE_NAMES = ["include", "inc", "includes", "headers", "src", "lib", "source"]
 HEADER_ENDS = [".h", ".hpp", ".hh", ".hxx"]
 GO_FILES = 30
 

@@ -592,7 +592,7 @@ def line_budget(spark, d):
 @query(sql("functions", """, c AS (SELECT DISTINCT file, CASE WHEN ord % 3 = 0 THEN 'pr' WHEN ord % 3 = 1 THEN 'keyword' ELSE 'barrel' END AS source, ord % 25 AS g FROM functions), f AS (SELECT 'g' || (ord % 25) AS file, id AS function_id, name, is_exported, ord FROM functions),
     x AS (SELECT f.*, s.source, contains(lower(name), 'ring') AS hit FROM f JOIN (SELECT 'g' || g AS file, min(source) AS source FROM c GROUP BY g) s USING (file)),
     y AS (SELECT *, bool_or(is_exported) OVER (PARTITION BY file) AS ae, bool_or(hit) OVER (PARTITION BY file) AS ah FROM x),
-    z AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ord, function_id) AS nth, CASE WHEN source = 'pr' OR (source = 'keyword' AND ah) THEN 4 ELSE 3 END AS most FROM y WHERE CASE WHEN source = 'pr' THEN (CASE WHEN ae THEN is_exported ELSE true END) WHEN source = 'keyword' AND ah THEN hit ELSE is_exported END)
+    z AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ord, function_id) AS nth, CASE WHEN source = 'pr' OR (source = 'keyword' AND ah) THEN 4 ELSE 3 END AS most FROM y WHERE CASE WHEN source = 'keyword' AND ah THEN hit ELSE is_exported OR NOT ae END)
     SELECT file, function_id, name, nth FROM z WHERE nth <= most"""))
 def snippet_select(spark, d):
     f = functions(spark, d)

@@ -158,3 +158,16 @@ def test_listing_and_artifacts(spark, tmp_path):
     assert spark.read.parquet(out).count() == 1
     metadata = {(r.what, r.name): r.paths for r in C.repository_metadata(spark.createDataFrame([("Dockerfile",), ("backend/x.ts",), (".github/workflows/a.yml",)], "path string")).collect()}
     assert metadata == {("docker", "Dockerfile"): ["Dockerfile"], ("zone", "backend"): ["backend"], ("ci", "github-actions"): [".github/workflows"]}
+
+
+@pytest.mark.parametrize("path, language, exported, declared, kind, mark", [
+    ("a/unittests/x.py", "python", True, False, "test", None),
+    ("setup.py", "python", False, False, "config", "private"),
+    ("x_tests.cpp", "cpp", False, False, "test", "static"),
+    ("inc/x.h", "c", True, True, "declaration", "decl"),
+    ("x_test.go", "go", True, False, "test", "exported"),
+    ("x.rs", "rust", True, False, "source", "exp"),
+])
+def test_kinds_and_marks_by_language(spark, path, language, exported, declared, kind, mark):
+    got = one(spark, lambda p, g, e, d: F.struct(C.file_kind_other(p, g).alias("kind"), C.function_marker(g, d, e).alias("mark")), path, language, exported, declared)
+    assert (got.kind, got.mark) == (kind, mark)
