@@ -205,7 +205,7 @@ def has_startup_call(calls: Column) -> Column:
 
 
 def has_route_call(calls: Column) -> Column:
-    return F.arrays_overlap(calls, strings(["get", "post", "put", "patch", "delete", "head", "options", "all", "handle"]))
+    return F.arrays_overlap(calls, strings(["get", "post", "put", "patch", "delete", "head", "options", "all", "use", "route", "handle"]))
 
 
 def schema_hit(path: Column, role: Column, is_barrel: Column, n_structures: Column, n_functions: Column, in_degree: Column, out_degree: Column) -> Column:
