@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkstrata.llm import shingle_sets
 from sparkstrata.llm.common import arrow_schema, group_labels, id_text, map_batches, materialize, n_partitions, record_batch, runs, texts
 from sparkstrata.llm.components import connected_components
 
@@ -172,11 +173,12 @@ def near_groups(docs: DataFrame, k: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, that of the smallest doc_id.
+    """``docs`` with one document of each group of near copies, that of the smallest doc_id.
 
-    Rows without doc_id can't be told apart and stay, as do rows that repeat the
+    Near copies are texts whose ``k``-word shingle sets have a Jaccard similarity
+    of 0.8 or more, which fingerprints within ``RADIUS`` bits don't reach. Rows without doc_id can't be told apart and stay, as do rows that repeat the
     kept document's doc_id.
     """
-    groups = near_groups(docs, k)
+    groups = shingle_sets.copy_groups(docs, k)
     gone = materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     return docs.join(gone, docs.doc_id.cast("long") == gone.gone, "left_anti")

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkstrata.llm import simhash_blocks, simhash_cover, substring_dedup
+from sparkstrata.llm import shingle_sets, simhash_blocks, simhash_cover, substring_dedup
 from sparkstrata.llm.common import group_labels
 from sparkstrata.llm.components import connected_components
 from sparkstrata.llm.ordered import in_ranges
@@ -73,6 +73,37 @@ def test_keep_one(docs, no_docs):
     assert simhash_cover.near_groups(no_docs).count() == 0
 
 
+def plain_shingles(text, k=5):
+    w = text.encode().lower().split()
+    return {b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or {b" ".join(w)}
+
+
+@pytest.mark.parametrize("block", [1 << 21, 2000])
+def test_copies_equal_all_pairs_by_jaccard(spark, block):
+    r = np.random.default_rng(14)
+    texts = []
+    for n in (40, 120, 300, 700):
+        for _ in range(4):
+            base = [f"w{x}" for x in r.integers(0, 5000, n)]
+            texts += [" ".join(base)] * 2
+            for edits in (1, 1, 2, 3, 5, 8, 14):
+                own = list(base)
+                for at in r.choice(n, max(1, edits * n // 200), replace=False):
+                    own[at] = f"x{r.integers(1000)}"
+                texts.append(" ".join(own[: n - int(r.integers(0, 4))]))
+    texts = [texts[k] for k in r.permutation(len(texts))]
+    sets = [plain_shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    unequal = [(i, j) for i, j in pairs if sets[i] != sets[j]]
+    assert len(unequal) > 100 and any(len(sets[i] & sets[j]) < 0.9 * len(sets[i] | sets[j]) for i, j in unequal)
+    label = group_labels(len(sets), np.array([i for i, _ in pairs]), np.array([j for _, j in pairs]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in shingle_sets.copy_groups(docs, block=block).collect()}
+    assert got == dict(enumerate(label.tolist()))
+    if block > 2000:
+        assert {x.doc_id for x in simhash_cover.keep_one(docs).collect()} == set(label.tolist())
+
+
 @pytest.mark.parametrize("most", [1_000_000, 5])
 def test_components(spark, most):
     r = np.random.default_rng(3)
