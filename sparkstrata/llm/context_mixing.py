@@ -193,10 +193,9 @@ class Spelling:
             slots = [((c ^ node) & U32(SPELL_SLOTS - 1)).astype(np.int64) for c in contexts]
             yield k, slots, bit.astype(np.float32)
 
-    def predict(self, k: int, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        x = np.stack([self.stretch[o][s] for o, s in enumerate(slots)])
+    def mixed(self, k: int, x: np.ndarray) -> np.ndarray:
         p = 1 / (1 + np.exp(-np.clip(self.weights[k] @ x, -12, 12)))
-        return np.clip(p, 1e-5, 1 - 1e-5), x
+        return np.clip(p, 1e-5, 1 - 1e-5)
 
     def learn(self, words: list[bytes], times: np.ndarray) -> None:
         """Predict the bits of words from what is known so far, refine the weights, then count them."""
@@ -204,16 +203,15 @@ class Spelling:
         size = np.diff(np.append(starts, len(codes)))
         kinds, at = np.unique(codes, return_inverse=True)
         n = np.bincount(at, np.repeat(times.astype(float), size)).astype(np.float32)
-        seen = self.ones.any()
-        self.stretch = _odds(self.zeros, self.ones)
         for k, slots, bit in self.events(kinds):
-            if seen:
-                p, x = self.predict(k, slots)
-                self.weights[k] += RATE * 8 * (x @ ((bit - p) * n)) / n.sum()
+            x = np.stack([_odds(self.zeros[o][s], self.ones[o][s]) for o, s in enumerate(slots)])
+            for _ in range(2):
+                p = self.mixed(k, x)
+                self.weights[k] += RATE * 4 * (x @ ((bit - p) * n)) / n.sum()
+            one = n * bit
             for o, s in enumerate(slots):
-                one = np.bincount(s, n * bit, SPELL_SLOTS).astype(np.float32)
-                self.ones[o] += one
-                self.zeros[o] += np.bincount(s, n, SPELL_SLOTS).astype(np.float32) - one
+                np.add.at(self.ones[o], s, one)
+                np.add.at(self.zeros[o], s, n - one)
         self.stretch = None
 
     def costs(self, words: list[bytes]) -> np.ndarray:
@@ -224,7 +222,7 @@ class Spelling:
         kinds, at = np.unique(codes, return_inverse=True)
         cost = np.zeros(len(kinds))
         for k, slots, bit in self.events(kinds):
-            p, _ = self.predict(k, slots)
+            p = self.mixed(k, np.stack([self.stretch[o][s] for o, s in enumerate(slots)]))
             cost += np.log(np.where(bit > 0, p, 1 - p))
         return np.add.reduceat(cost[at], starts)
 
@@ -319,9 +317,9 @@ class Model:
             total += float(np.log(np.where(s, p, 1 - p)).sum())
         return total
 
-    def run(self, odds: np.ndarray, weights: np.ndarray, node: np.ndarray, sign: np.ndarray, gates: np.ndarray, slots: list[np.ndarray]) -> float:
-        """Log probability of a run of events; ``weights`` are refined in place after each block but the last."""
-        total, at, block = 0.0, 0, 1024
+    def run(self, odds: np.ndarray, weights: np.ndarray, node: np.ndarray, sign: np.ndarray, gates: np.ndarray, slots: list[np.ndarray], carry: bool = False) -> float:
+        """Log probability of a run of events; ``weights`` are refined in place after each block, after the last one too if they are carried on."""
+        total, at, block = 0.0, 0, 512
         n_nodes = len(self.offsets)
         own = np.full(2 * n_nodes if len(node) > block else 0, 0.4, np.float32)
         while at < len(node):
@@ -339,11 +337,12 @@ class Model:
             against = np.exp(-z)
             total -= float(np.log1p(against).sum(dtype=np.float64))
             at += block
-            block *= 4
-            if at < len(node):
+            block *= 2
+            if carry or at < len(node):
                 error = against / (1 + against) * b * (RATE / np.sqrt(np.bincount(gate, minlength=N_DEPTHS * 2) + 16.0)).astype(np.float32)[gate]
                 for k in range(len(x)):
                     weights[k] += np.bincount(gate, error * x[k], N_DEPTHS * 2).astype(np.float32)
+            if at < len(node):
                 np.add.at(own, nd + (b > 0) * n_nodes, np.float32(1))
         return total
 
@@ -517,7 +516,11 @@ def train(docs: DataFrame, bits: int) -> tuple[Model, DataFrame]:
     chunk_size = 1 << 14
 
     def learn(batches):
-        """Online: each batch of documents is predicted by what the task has seen, refines the weights, and is then counted."""
+        """Online: each batch of documents is predicted by what the task has seen, refines the weights, and is then counted.
+
+        Batches grow from one document, so that only a task's first, before which
+        all log-odds are 0, refines nothing.
+        """
         m = Model.__new__(Model)
         m.__dict__ = dict(held.value.__dict__)
         m.zeros, m.ones, m.weights = m.zeros.copy(), m.ones.copy(), m.weights.copy()
@@ -525,23 +528,18 @@ def train(docs: DataFrame, bits: int) -> tuple[Model, DataFrame]:
         own = Vocabulary(None)
         own.model = _Leaves(m)
         events = 0
-        times = np.zeros(0, np.int64)
-
-        def spell() -> None:
-            """Learn the spelling of the rare words so far, a share of them at a time."""
-            rare = np.flatnonzero(times)
-            words = list(own.codes)
-            for part in np.array_split(rare, 2):
-                if len(part):
-                    m.spelling.learn([words[k] for k in part], times[part])
+        words: list[bytes] = []
+        size = 1
 
         for b in batches:
-            for at in range(0, b.num_rows, 512):
+            at = 0
+            while at < b.num_rows:
                 if len(own.codes) > own.MOST:
-                    spell()
                     own.clear()
-                    times = np.zeros(0, np.int64)
-                numbers = own.number(texts(b.slice(at, 512)))
+                    words = []
+                numbers = own.number(texts(b.slice(at, size)))
+                at, size = at + size, min(2 * size, 256)
+                words += list(islice(reversed(own.codes), len(own.codes) - len(words)))[::-1]
                 odds = [_odds(m.zeros[k], m.ones[k]) for k in range(N_CONTEXTS)] if events else None
                 rare, bits, all_slots = [], [], []
                 for group in _together(numbers):
@@ -550,7 +548,7 @@ def train(docs: DataFrame, bits: int) -> tuple[Model, DataFrame]:
                     own_events, slots, firsts = m.steps(leaves, tokens, starts)
                     if odds:
                         for i, j in zip(firsts, np.append(firsts[1:], len(own_events[0]))):
-                            m.run(odds, m.weights, *(x[i:j] for x in own_events), [x[i:j] for x in slots])
+                            m.run(odds, m.weights, *(x[i:j] for x in own_events), [x[i:j] for x in slots], carry=True)
                     bits.append(own_events[1])
                     all_slots.append(slots)
                     r = leaves == m.escape
@@ -562,12 +560,11 @@ def train(docs: DataFrame, bits: int) -> tuple[Model, DataFrame]:
                     m.zeros[k] += both[:SLOTS]
                     m.ones[k] += both[SLOTS:]
                 events += len(bit)
-                more = np.bincount(np.concatenate(rare), minlength=len(own.codes))
-                more[: len(times)] += times
-                times = more
+                kinds, times = np.unique(np.concatenate(rare), return_counts=True)
+                if len(kinds):
+                    m.spelling.learn([words[k] for k in kinds], times)
         if not events:
             return
-        spell()
         tables = [*zip(m.zeros, m.ones), *zip(m.spelling.zeros, m.spelling.ones)]
         for t, (zeros, ones) in enumerate(tables):
             on = np.flatnonzero(zeros + ones > 0)

@@ -234,6 +234,25 @@ def test_language_model_is_a_distribution():
     assert 0 < total < 1
 
 
+def test_short_texts_refine_all_weights(spark, monkeypatch):
+    """Tasks of few short documents train the weights too, from every document but a task's first."""
+    monkeypatch.setattr(context_mixing, "CODE_WORDS", 20)
+    r = random.Random(15)
+    stock = [f"word{k}" for k in range(60)]
+    docs = spark.createDataFrame([(" ".join(stock[min(r.randrange(60), r.randrange(60))] for _ in range(r.randint(5, 40))),) for _ in range(60)], "text string").coalesce(1)
+    model, _ = context_mixing.train(docs, 4)
+    fresh = context_mixing.Model(np.array([1], np.uint64), np.array([1]), 2, 2, 1)
+    for k in range(context_mixing.N_CONTEXTS):
+        assert (model.weights[k] != fresh.weights[k]).sum() >= 4
+    assert (model.spelling.weights != fresh.spelling.weights).any(axis=1).sum() >= 6
+    model.ready()
+    long_ = np.array(r.choices(range(5), k=400), np.int32)
+    events, slots, _ = model.steps(long_, np.arange(400), np.array([0]))
+    weights = model.weights.copy()
+    model.run(model.stretch, weights, *events, slots, carry=True)
+    assert len(events[0]) > 600 and (weights[-1] != model.weights[-1]).any()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></ul></nav>
 <!-- ad --><div class="ad">Buy &amp; save</div><div id="cookie-notice">We use cookies</div><div class="layout has-sidebar"><article class="post"><h1>Title &eacute;</h1>
 <p>First <b>bold</b>&nbsp;text<br>goes
