@@ -10,9 +10,10 @@ together leave for the spelling.
 
 A bit of the code has several predictors, each the counts of ones and zeros that
 training found in a slot chosen by hashing a context with the node of the code:
-no context, the word before, and the last very common word (which tells the
-language); one more counts the nodes in the document so far. Their log-odds are mixed by weights that the node's depth and the strength
-of the word-before slot choose (the gate), and p = sigmoid(weights . log-odds). The
+no context, the word before, the two words before, and the last very common
+word (which tells the language); one more counts the nodes in the document so
+far. Their log-odds are mixed by weights that the node's depth and the strength
+of the two-word slot choose (the gate), and p = sigmoid(weights . log-odds). The
 weights are refined online, block by block: in training from the bits seen so
 far, in scoring from the start of the document on, so a score depends on the
 document and the trained model alone. The bits of spelled words have predictors
@@ -39,14 +40,14 @@ from pyspark.sql import functions as F
 from sparkstrata.llm.common import arrow_schema, id_text, materialize, mix, n_partitions, record_batch, runs, sliced, texts
 
 #: Words of the code; most words whose exact counts every task holds.
-CODE_WORDS = 4094
+CODE_WORDS = 8190
 HELD_WORDS = 1 << 18
 #: Slots of each predictor's table.
 SLOTS = 1 << 19
 SPELL_SLOTS = 1 << 19
 #: Last words of a context are among so many of the commonest.
 COMMON = 64
-N_CONTEXTS = 3  # predictors with slots; the document's own counts are one more
+N_CONTEXTS = 4  # predictors with slots; the document's own counts are one more
 N_DEPTHS = 16
 RATE = 0.02
 #: What a word's count outside the code gives up for the spelling.
@@ -250,7 +251,7 @@ class Model:
         self.leaves = leaf[by]
         self.zeros = np.zeros((N_CONTEXTS, SLOTS), np.float32)
         self.ones = np.zeros((N_CONTEXTS, SLOTS), np.float32)
-        self.weights = np.tile(np.array([0.3, 0.3, 0.3, 0.1], np.float32)[:, None], (1, N_DEPTHS * 2))
+        self.weights = np.tile(np.array([0.3, 0.3, 0.15, 0.3, 0.1], np.float32)[:, None], (1, N_DEPTHS * 2))
         self.spelling = Spelling()
         self.stretch: np.ndarray | None = None
 
@@ -284,6 +285,9 @@ class Model:
         prev = np.full(n, self.end, U32)
         prev[1:] = leaves[:-1]
         prev[starts] = self.end
+        prev2 = np.full(n, self.end, U32)
+        prev2[1:] = prev[:-1]
+        prev2[starts] = self.end
         last = np.full(n, -1)
         last[1:] = np.maximum.accumulate(np.where(leaves < COMMON, index, -1))[:-1]
         topic = np.where(last >= first_of, leaves[last], COMMON).astype(U32)
@@ -295,7 +299,7 @@ class Model:
         at += np.arange(len(at))
         node, spread = self.nodes[at], self.spread[at]
         slots = [node]
-        for salt, context in ((1 << 20, prev), (2 << 20, topic)):
+        for salt, context in ((1 << 20, prev), (2 << 20, prev * U32(8209) + prev2), (3 << 20, topic)):
             own = np.repeat((_spread(context[new] + U32(salt)) & U32(SLOTS - 1)).astype(np.int64), size)
             own ^= spread
             slots.append(own)
@@ -328,7 +332,7 @@ class Model:
             x = [odds[k][slots[k][s]] for k in range(N_CONTEXTS)]
             if at:  # before that the document says nothing yet
                 x.append(np.log(own[nd + n_nodes] / own[nd]))
-            gate = gates[s] + (np.abs(x[1]) > 1)
+            gate = gates[s] + (np.abs(x[2]) > 1)
             z = weights[0][gate] * x[0]
             for k in range(1, len(x)):
                 z += weights[k][gate] * x[k]

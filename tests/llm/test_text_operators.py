@@ -253,6 +253,18 @@ def test_short_texts_refine_all_weights(spark, monkeypatch):
     assert len(events[0]) > 600 and (weights[-1] != model.weights[-1]).any()
 
 
+def test_second_word_before_decides():
+    """A word that only the two words before tell: their predictor alone sees it."""
+    model = context_mixing.Model(np.array([11, 22, 33, 44], np.uint64), np.array([9, 9, 9, 9]), 40, 5, 4)
+    leaves = np.array([0, 2, 3, model.end, 1, 2, 3, model.end])
+    (node, _, _), slots, _ = model.steps(leaves, np.array([0, 2, 3, -1, 1, 2, 3, -2]), np.array([0, 4]))
+    third = [sum(model.offsets[x + 1] - model.offsets[x] for x in leaves[:k]) for k in (2, 6)]
+    a, b = int(third[0]), int(third[1])
+    assert node[a] == node[b] and slots[1][a] == slots[1][b]
+    assert slots[2][a] != slots[2][b]
+    assert len(model.weights) == 5 and context_mixing.CODE_WORDS >= 8190
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></ul></nav>
 <!-- ad --><div class="ad">Buy &amp; save</div><div id="cookie-notice">We use cookies</div><div class="layout has-sidebar"><article class="post"><h1>Title &eacute;</h1>
 <p>First <b>bold</b>&nbsp;text<br>goes
