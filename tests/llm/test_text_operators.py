@@ -285,6 +285,15 @@ def test_shared_lines_of_unmarked_pages_go(spark):
     assert got == {k: f"Story number {k} with words" for k in range(6)} | {9: "Site name\n\nLone\n\nAll rights"}
 
 
+def test_runs_of_one_path_have_partners(spark):
+    page = lambda body: f"<html><body><div>Site name</div><div><p>{body}</p></div><div>All rights</div></body></html>"
+    urls = ["http://h/a", *["http://h/m"] * 600, "http://h/z", *[f"http://q/list?page={k}" for k in range(5)], *["http://lone/x"] * 3]
+    rows = [(k, u, page(f"Story number {k} with words")) for k, u in enumerate(urls)]
+    got = {r.page_id: r.text for r in page_difference.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    story = {k: f"Story number {k} with words" for k in range(len(urls))}
+    assert got == {k: f"Site name\n\n{t}\n\nAll rights" if "lone" in urls[k] else t for k, t in story.items()}
+
+
 def test_common_lines_is_longest():
     r = random.Random(12)
     for _ in range(300):
