@@ -31,7 +31,6 @@ SKIPPED_CALLS = {
 }
 CONTROL = {"if", "for", "while", "switch", "return", "catch", "sizeof", "do", "else", "case", "defined", "function", "import", "require", "super", "func", "go", "defer", "select", "range", "await", "new", "typeof"}
 SUITES, CASES = {"describe", "suite", "context"}, {"it", "test", "specify"}
-RECOVER_LINES = 4000
 
 
 def _row(file: str, what: str, name: str, **more) -> dict:
@@ -90,10 +89,10 @@ def python_rows(file: str, text: str) -> list[dict]:
     return [r | {"analysis_confidence": "high"} for r in out]
 
 
-def closing_line(lines: list[str], start: int, most: int = RECOVER_LINES) -> int | None:
+def closing_line(lines: list[str], start: int) -> int | None:
     """Index of the line that closes the first brace from line ``start``; strings and comments are skipped."""
     depth, opened, block = 0, False, False
-    for k in range(start, min(len(lines), start + most)):
+    for k in range(start, len(lines)):
         text, i = lines[k], 0
         while i < len(text):
             c = text[i]

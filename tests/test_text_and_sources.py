@@ -171,3 +171,10 @@ def test_listing_and_artifacts(spark, tmp_path):
 def test_kinds_and_marks_by_language(spark, path, language, exported, declared, kind, mark):
     got = one(spark, lambda p, g, e, d: F.struct(C.file_kind_other(p, g).alias("kind"), C.function_marker(g, d, e).alias("mark")), path, language, exported, declared)
     assert (got.kind, got.mark) == (kind, mark)
+
+
+def test_long_functions_are_extracted_whole(spark):
+    lines = ["func Long() {", *["\tx := 1"] * 5000, "}"]
+    assert extract.closing_line(lines, 0) == 5001
+    got = extract.extract(spark.createDataFrame([("a.go", "package a\n\n" + "\n".join(lines) + "\n", "go")], "path string, content string, language string")).collect()
+    assert "Long" in {r.name for r in got if r.kind == "function"}
