@@ -1,15 +1,25 @@
 """Substring deduplication over prefix-partitioned suffix trees.
 
-Only suffixes (word positions) that can repeat take part. Each window of
-``WINDOW`` words has one anchor, the five-word gram in it with the least hash,
-so equal windows have equal anchors. A first pass groups anchors by hash prefix
-and keeps those that occur in two or more documents; a bit table of them, of
-bounded size, lets the second pass drop every other suffix (a false positive
-only keeps a suffix longer than needed). The remaining suffixes are split into
-groups by the leading bits of their anchor's hash, as many bits as make a group
-fit in memory. A group's suffix tree is built as a sorted suffix array: the
-first level of internal nodes are the anchors, the nodes at depth ``WINDOW``
-below them are the repeats, and each carries the smallest document that has it.
+A suffix starts at every word. Only suffixes that can repeat take part: the
+anchor of a suffix is the five-word gram with the least hash among its first
+``WINDOW`` words, so suffixes that agree on ``WINDOW`` words agree on it. A first
+pass counts the documents of each anchor and keeps the anchors of two or more; a
+bit table of them, of bounded size, lets the second pass drop every other suffix
+(a false positive only keeps a suffix longer than needed).
+
+The remaining suffixes are split by a prefix of variable length. It is taken from
+the anchor's hash rather than from the first word, so that suffixes that start
+at neighbouring words mostly stay together and share one copy of their words
+(a segment). As many leading bits count as the first pass's counts need to make
+a group fit in ``GROUP_BYTES``, whatever the number of partitions; an anchor that
+alone would fill a large part of a group has its prefix extended by the whole
+window, of which a task sends one copy only. A group's suffix tree is its sorted
+suffix array with the lengths of common prefixes: its nodes of depth ``WINDOW``
+or more are the runs of suffixes whose neighbours share that many words, and a
+node gives the least document below it. A longer maximal repeat has a node for
+each of its windows; a document joins them again, as it drops what they cover.
+
+Words are compared by their 64-bit hashes, windows word by word.
 
 Rows that are shuffled hold packed arrays, one row for a task and group, in which
 a task has already reduced every repeat to its smallest document, so a passage
@@ -35,8 +45,12 @@ GRAM = 5
 MOST_BITS = 1 << 29
 #: A task packs what it has gathered after so many words.
 FLUSH_WORDS = 2_000_000
+#: Bytes of a group of anchors or of suffixes, which one task holds in memory at a time.
+GROUP_BYTES = 16 << 20
+#: An anchor of more documents than this share of an average group has its prefix extended, from so many documents on.
+HOT_SHARE, HOT_LEAST = 8, 64
 
-SUFFIXES = "part long, place long, anchor binary, hash binary, at binary, owner binary, text_hash binary"
+SUFFIXES = "part long, place long, owner binary, text_hash binary, at binary, size binary, words binary"
 PLACES = "place long, owner binary, text_hash binary, at binary"
 
 U = np.uint64
@@ -57,15 +71,14 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def windows(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor and hash of each window of a document."""
-    h = word_hashes(words)
+def anchors_of(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """Anchor of each window of a document's word hashes."""
     grams = gram_hashes(h, gram)
-    n = len(words) - window + 1
+    n = len(h) - window + 1
     anchor = grams[:n].copy()
     for j in range(1, window - gram + 1):
         np.minimum(anchor, grams[j : j + n], out=anchor)
-    return anchor, gram_hashes(h, window)
+    return anchor
 
 
 def _part(anchor: np.ndarray, bits: int) -> np.ndarray:
@@ -86,45 +99,69 @@ def _slots(anchor: np.ndarray, bits: int, per: int) -> tuple[np.ndarray, np.ndar
     return (low & U(per - 1)).astype(np.int64), (mix(low) & U(per - 1)).astype(np.int64)
 
 
-def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, th, at): positions of windows that also start in a document with a smaller id, a row for a document.
+def _bits(spark, n_bytes: int) -> int:
+    """Leading bits that make groups of ``GROUP_BYTES`` of so many bytes, and one or more for each partition."""
+    return max(4, (n_partitions(spark) - 1).bit_length() + 1, (-(-n_bytes // GROUP_BYTES) - 1).bit_length())
 
-    th is the text's hash, so that rows that share a doc_id stay apart; such rows
-    count as one document. at is a packed array of 32-bit word positions. Rows
-    without id or with fewer words than a window give no rows.
-    """
-    spark = docs.sparkSession
-    n = n_partitions(spark)
-    bits = max(4, (n - 1).bit_length() + 1)
-    docs = id_text(docs)
+
+class _Bloom:
+    """A bit table of anchors, two bits each, filled by groups of their leading bits."""
+
+    def __init__(self, spark, rows: DataFrame, bits: int, n: int, most: int):
+        """``rows``: (part, anchor), packed anchors by group; ``n`` of them; ``most`` bits."""
+        per = self.per = max(1024, min(most, 1 << (16 * max(n, 1)).bit_length()) >> bits)
+        self.bits = bits
+
+        def table(batches):
+            for b in batches:
+                for p, blob in zip(b.column("part").to_pylist(), b.column("anchor").to_pylist()):
+                    own = np.zeros(per, bool)
+                    for slot in _slots(np.frombuffer(blob, U), bits, per):
+                        own[slot] = True
+                    yield record_batch({"part": [p], "bits": [np.packbits(own).tobytes()]}, arrow_schema("part long, bits binary"))
+
+        filled = bytearray((per << bits) // 8)
+        for row in rows.select("part", "anchor").mapInArrow(table, "part long, bits binary").toLocalIterator():
+            filled[row.part * per // 8 : (row.part + 1) * per // 8] = row.bits
+        self.held = spark.sparkContext.broadcast(bytes(filled))  # at most ``most`` bits, 1,024 for each group at least
+
+    def has(self, anchor: np.ndarray) -> np.ndarray:
+        bitset = np.frombuffer(self.held.value, np.uint8)
+        part = _part(anchor, self.bits) * self.per
+        out = np.ones(len(anchor), bool)
+        for slot in _slots(anchor, self.bits, self.per):
+            slot += part
+            out &= (bitset[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
+        return out
+
+
+def shared_anchors(docs: DataFrame, bits: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(part, n, documents, anchor, times): of each group, the anchors that two or more documents of (doc_id, text) have, and of how many."""
+    n = n_partitions(docs.sparkSession)
+    schema = arrow_schema("part long, anchor binary, doc binary, times binary")
 
     def anchors(batches):
-        schema = arrow_schema("part long, anchor binary, doc binary")
+        found, owners, n_words = [], [], 0
 
-        def packed(found, owners):
+        def flush():
             a, d = np.concatenate(found), np.concatenate(owners)
+            found.clear(), owners.clear()
             order = np.lexsort((d, a))
             a, d = a[order], d[order]
             at = runs(a)
             first, last = at[:-1], at[1:] - 1
-            two = last[d[last] != d[first]]
-            keep = np.sort(np.concatenate([first, two]))  # the smallest and the largest document tell whether there are two
-            a, d = a[keep], d[keep]
+            times = np.minimum(np.diff(at), 65535).astype(np.uint16)
+            two = np.flatnonzero(d[last] != d[first])  # the smallest and the largest document tell whether there are two
+            place, kept = np.concatenate([first, last[two]]), np.concatenate([times, np.zeros(len(two), np.uint16)])
+            order = np.argsort(place, kind="stable")
+            a, d, times = a[place[order]], d[place[order]], kept[order]
             cut = np.searchsorted(_part(a, bits), np.arange((1 << bits) + 1))
-            for p in range(1 << bits):
-                if cut[p] < cut[p + 1]:
-                    s = slice(cut[p], cut[p + 1])
-                    yield p, a[s].tobytes(), d[s].tobytes()
-
-        found, owners, n_words = [], [], 0
-
-        def flush():
-            rows = list(packed(found, owners))
-            found.clear(), owners.clear()
-            return record_batch(dict(zip(("part", "anchor", "doc"), zip(*rows))), schema)
+            on = np.flatnonzero(np.diff(cut)).tolist()
+            cols = {k: [v[cut[p] : cut[p + 1]].tobytes() for p in on] for k, v in (("anchor", a), ("doc", d), ("times", times))}
+            return record_batch({"part": on} | cols, schema)
 
         for d, _, words in _documents(batches, window):
-            a = np.unique(windows(words, window, gram)[0])
+            a = np.unique(anchors_of(word_hashes(words), window, gram))
             found.append(a)
             owners.append(np.full(len(a), d, np.int64))
             n_words += len(words)
@@ -134,90 +171,150 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         if found:
             yield flush()
 
-    first = docs.mapInArrow(anchors, "part long, anchor binary, doc binary")
+    out_schema = "part long, n long, documents long, anchor binary, times binary"
 
     def shared(batches):
-        """Of each group: its anchors that two or more documents have."""
-        for p, cols in _groups(batches, 2):
-            a, d = cols[0].view(U), cols[1].view(np.int64)
+        for p, cols in _groups(batches, 3):
+            a, d, times = cols[0].view(U), cols[1].view(np.int64), cols[2].view(np.uint16)
             order = np.lexsort((d, a))
             a, d = a[order], d[order]
             at = runs(a)
-            keep = a[at[:-1]][d[at[:-1]] != d[at[1:] - 1]]
-            yield record_batch({"part": [p], "n": [len(keep)], "anchor": [keep.tobytes()]}, arrow_schema("part long, n long, anchor binary"))
+            sums = np.add.reduceat(times[order].astype(np.int64), at[:-1])
+            two = d[at[:-1]] != d[at[1:] - 1]
+            keep, sums = a[at[:-1]][two], np.minimum(sums[two], (1 << 32) - 1)
+            yield record_batch({"part": [p], "n": [len(keep)], "documents": [int(sums.sum())], "anchor": [keep.tobytes()], "times": [sums.astype(np.uint32).tobytes()]}, arrow_schema(out_schema))
+
+    first = docs.mapInArrow(anchors, "part long, anchor binary, doc binary, times binary")
+    return first.repartition(n, "part").sortWithinPartitions("part").mapInArrow(shared, out_schema)
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of spans of the given sizes, laid end to end."""
+    upto = np.cumsum(size)
+    return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(start - (upto - size), size)
+
+
+def suffix_nodes(words: np.ndarray, start: np.ndarray, owner: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(order, least): the suffix array of ``words`` at ``start``, and of each its node's least owner.
 
-    kept = materialize(first.repartition(n, "part").sortWithinPartitions("part").mapInArrow(shared, "part long, n long, anchor binary"), "anchors")
-    total = kept.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    per = max(1024, min(MOST_BITS, 1 << (16 * max(total, 1)).bit_length()) >> bits)
+    Suffixes are sorted by their first ``window`` words, then by owner; a node of
+    depth ``window`` is a run whose neighbours' common prefix has that length.
+    """
+    order = np.lexsort((owner, *(words[start + j] for j in range(window - 1, -1, -1))))
+    at = start[order]
+    common = np.zeros(max(len(at) - 1, 0), np.int64)  # length of the common prefix with the suffix before
+    open_ = np.ones(len(common), bool)
+    for j in range(window):
+        w = words[at + j]
+        open_ &= w[1:] == w[:-1]
+        common += open_
+    first = np.append(True, common < window) if len(at) else np.zeros(0, bool)
+    nodes = np.flatnonzero(first)
+    least = np.repeat(owner[order][nodes], np.diff(np.append(nodes, len(at))))
+    return order, least
+
+
+def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc_id, th, at): positions of windows that also start in a document with a smaller id, a row for a document.
 
-    def table(batches):
+    th is the text's hash, so that rows that share a doc_id stay apart; such rows
+    count as one document. at is a packed array of 32-bit word positions. Rows
+    without id or with fewer words than a window give no rows.
+    """
+    spark = docs.sparkSession
+    n = n_partitions(spark)
+    docs = id_text(docs)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    bits = _bits(spark, size)  # an anchor takes 18 bytes and comes for every fifth word or so
+    kept = materialize(shared_anchors(docs, bits, window, gram), "anchors")
+    total = kept.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents")).first()
+    repeat = _Bloom(spark, kept, bits, total.n, MOST_BITS)
+    fine = _bits(spark, total.documents * (window - gram + window) * 8)  # a segment's words
+    hot_from = max(HOT_LEAST, total.documents // ((1 << fine) * HOT_SHARE))
+
+    def hot_ones(batches):
+        schema = arrow_schema("part long, n long, anchor binary")
         for b in batches:
-            for p, blob in zip(b.column("part").to_pylist(), b.column("anchor").to_pylist()):
-                own = np.zeros(per, bool)
-                for slot in _slots(np.frombuffer(blob, U), bits, per):
-                    own[slot] = True
-                yield record_batch({"part": [p], "bits": [np.packbits(own).tobytes()]}, arrow_schema("part long, bits binary"))
+            for p, a, times in zip(*(b.column(c).to_pylist() for c in ("part", "anchor", "times"))):
+                a = np.frombuffer(a, U)[np.frombuffer(times, np.uint32) > hot_from]
+                if len(a):
+                    yield record_batch({"part": [p], "n": [len(a)], "anchor": [a.tobytes()]}, schema)
 
-    filled = bytearray((per << bits) // 8)  # at most MOST_BITS / 8 bytes
-    for row in kept.mapInArrow(table, "part long, bits binary").toLocalIterator():
-        filled[row.part * per // 8 : (row.part + 1) * per // 8] = row.bits
-    held = spark.sparkContext.broadcast(bytes(filled))
+    hot_rows = materialize(kept.select("part", "anchor", "times").mapInArrow(hot_ones, "part long, n long, anchor binary"), "hot")
+    hot = _Bloom(spark, hot_rows, bits, hot_rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n, MOST_BITS >> 3)
 
     def candidates(batches):
         schema = arrow_schema(SUFFIXES)
-        bitset = np.frombuffer(held.value, np.uint8)
         found: list[tuple] = []
+        n_words = 0
 
         def flush():
             """Each repeat's smallest document goes to its group; this task's others are known to repeat."""
-            a, h = np.concatenate([x[2] for x in found]), np.concatenate([x[3] for x in found])
-            at = np.concatenate([x[4] for x in found])
-            size = [len(x[2]) for x in found]
-            d, t = np.repeat(np.array([x[0] for x in found], np.int64), size), np.repeat(np.array([x[1] for x in found], np.int64), size)
-            order = np.lexsort((d, h, a))
-            a, h, at, d, t = a[order], h[order], at[order], d[order], t[order]
-            starts = runs(a, h)
-            least = np.repeat(d[starts[:-1]], np.diff(starts))
-            later = d > least
-            yield from _by_place(d[later], t[later], at[later], bits, schema)
-            a, h, at, d, t = (x[~later] for x in (a, h, at, d, t))
-            cut = np.searchsorted(_part(a, bits), np.arange((1 << bits) + 1))
+            doc, th, words, a, on = (list(x) for x in zip(*found))
+            base = np.cumsum([0, *map(len, words)])[:-1]
+            words, size = np.concatenate(words), [len(x) for x in a]
+            at, a = np.concatenate(on), np.concatenate(a)
+            start = at + np.repeat(base, size)
+            d, t = np.repeat(np.array(doc, np.int64), size), np.repeat(np.array(th, np.int64), size)
+            whole = gram_hashes(words, window)[start]
+            order = np.lexsort((d, whole, a))
+            p = start[order]
+            new = (np.diff(a[order]) != 0) | (np.diff(whole[order]) != 0)
+            for j in range(window):
+                w = words[p + j]
+                new |= w[1:] != w[:-1]
+            nodes = np.append(0, np.flatnonzero(new) + 1)
+            later = np.zeros(len(p), bool)
+            later[order] = d[order] > np.repeat(d[order][nodes], np.diff(np.append(nodes, len(p))))
+            yield from _by_place(d[later], t[later], at[later], fine, schema)
+            start, at, a, d, t, whole = (x[~later] for x in (start, at, a, d, t, whole))
+            much = hot.has(a)
+            prefix = np.where(much, mix(a ^ whole), a)
+            # segments: neighbouring suffixes of one prefix that a document has
+            new = np.append(True, (np.diff(start) != 1) | (np.diff(prefix) != 0) | (d[1:] != d[:-1]) | (t[1:] != t[:-1]))
+            first = np.flatnonzero(new)
+            n_starts = np.diff(np.append(first, len(start)))
+            part = _part(prefix[first], fine)
+            order = np.argsort(part, kind="stable")
+            first, n_starts, part = first[order], n_starts[order], part[order]
+            length = n_starts + window - 1
+            packed = words[_spans(start[first], length)]
+            ends = np.append(0, np.cumsum(length))
+            cut = np.append(np.flatnonzero(np.append(True, np.diff(part) != 0)), len(part))
             rows = {k: [] for k in schema.names}
-            for p in range(1 << bits):
-                if cut[p] < cut[p + 1]:
-                    s = slice(cut[p], cut[p + 1])
-                    for k, x in (("part", p), ("place", None), *((k, v[s].tobytes()) for k, v in (("anchor", a), ("hash", h), ("at", at), ("owner", d), ("text_hash", t)))):
-                        rows[k].append(x)
+            for i, j in zip(cut[:-1], cut[1:]):
+                s = first[i:j]
+                own = {"owner": d[s], "text_hash": t[s], "at": at[s], "size": n_starts[i:j].astype(np.int32), "words": packed[ends[i] : ends[j]]}
+                for k in rows:
+                    rows[k].append(int(part[i]) if k == "part" else own[k].tobytes() if k in own else None)
             yield record_batch(rows, schema)
 
-        n_words = 0
-        for d, text, words in _documents(batches, window):
-            a, h = windows(words, window, gram)
-            part, (x, y) = _part(a, bits) * per, _slots(a, bits, per)
-            x, y = part + x, part + y
-            on = np.flatnonzero((bitset[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & (bitset[y >> 3] >> (7 - (y & 7)).astype(np.uint8)) & 1)
-            n_words += len(words)
+        for d, text, own in _documents(batches, window):
+            h = word_hashes(own)
+            a = anchors_of(h, window, gram)
+            on = np.flatnonzero(repeat.has(a))
+            n_words += len(h)
             if len(on):
                 th = xxhash.xxh64_intdigest(text, 42)
-                found.append((d, th - (1 << 64) if th >> 63 else th, a[on], h[on], on.astype(np.int32)))
+                found.append((d, th - (1 << 64) if th >> 63 else th, h, a[on], on.astype(np.int32)))
             if n_words >= FLUSH_WORDS and found:
                 yield from flush()
                 found, n_words = [], 0
         if found:
             yield from flush()
 
-    second = materialize(
-        docs.mapInArrow(candidates, SUFFIXES), "suffixes"
-    )
+    second = materialize(docs.mapInArrow(candidates, SUFFIXES), "suffixes")
 
     def trees(batches):
-        for _, (a, h, at, d, t) in _groups(batches, 5):
-            a, h, at, d, t = a.view(U), h.view(U), at.view(np.int32), d.view(np.int64), t.view(np.int64)
-            order = np.lexsort((d, h, a))
-            d, t, at = d[order], t[order], at[order]
-            starts = runs(a[order], h[order])
-            later = d > np.repeat(d[starts[:-1]], np.diff(starts))
-            yield from _by_place(d[later], t[later], at[later], bits, arrow_schema(PLACES))
+        for _, (d, t, at, size, words) in _groups(batches, 5):
+            d, t, at, size, words = d.view(np.int64), t.view(np.int64), at.view(np.int32), size.view(np.int32), words.view(U)
+            ends = np.cumsum(size.astype(np.int64) + window - 1)
+            start = _spans(ends - size - window + 1, size)
+            inside = start - np.repeat(ends - size - window + 1, size)
+            d, t, at = np.repeat(d, size), np.repeat(t, size), np.repeat(at, size) + inside.astype(np.int32)
+            order, least = suffix_nodes(words, start, d, window)
+            later = order[d[order] > least]
+            yield from _by_place(d[later], t[later], at[later], fine, arrow_schema(PLACES))
 
     def documents(batches):
         schema = arrow_schema("doc_id long, th long, at binary")
@@ -228,7 +325,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             starts = runs(d, t)
             yield record_batch({"doc_id": d[starts[:-1]], "th": t[starts[:-1]], "at": [at[i:j].tobytes() for i, j in zip(starts[:-1], starts[1:])]}, schema)
 
-    packed = second.where("part is not null").select("part", "anchor", "hash", "at", "owner", "text_hash")
+    packed = second.where("part is not null").select("part", "owner", "text_hash", "at", "size", "words")
     found = packed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(trees, PLACES)
     found = found.unionByName(second.where("part is null").select("place", "owner", "text_hash", "at"))
     return found.repartition(n, "place").sortWithinPartitions("place").mapInArrow(documents, "doc_id long, th long, at binary")

@@ -208,3 +208,25 @@ def test_remove_repeats_keeps_the_rest_of_the_text(spark):
     assert out.columns == d.columns
     got = {r.doc_id: (r.text, r["at"]) for r in out.collect()}
     assert got == {1: (f"head\n{p}  tail", "x"), 2: ("other  bend\n\nend", "y"), 4: ("", "n")}
+
+
+@pytest.mark.parametrize("hot", [0, 1 << 40])
+def test_extended_prefixes_give_the_same_repeats(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT_LEAST", hot)
+    monkeypatch.setattr(substring_dedup, "HOT_SHARE", 1 << 40)
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 4096)
+    got = sorted(tuple(x) for x in substring_dedup.dedup_digest(docs).collect() if x.doc_id is not None)
+    assert got == plain_removal([(x.doc_id, x.text) for x in docs.collect() if x.doc_id is not None])
+
+
+def test_suffix_nodes_are_repeats():
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 3, 400).astype(np.uint64)
+    start = np.sort(rng.choice(380, 200, replace=False))
+    owner = rng.integers(0, 50, 200)
+    order, least = substring_dedup.suffix_nodes(words, start, owner, 5)
+    keys = [(*words[s : s + 5].tolist(), o) for s, o in zip(start, owner)]
+    assert [keys[k] for k in order] == sorted(keys)
+    for k, x in zip(order, least):
+        assert x == min(o for key, o in zip(keys, owner) if key[:5] == keys[k][:5])
+    assert [len(x) for x in substring_dedup.suffix_nodes(words, start[:0], owner[:0], 5)] == [0, 0]
