@@ -2,71 +2,25 @@
 
 from __future__ import annotations
 
-import bisect
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkstrata.llm.common import n_partitions
 
-#: Sampled keys for each range.
-PER_RANGE = 40
-
 
-def in_ranges(df: DataFrame, key: str, ties: list[str], wrap: bool = False, group: str | None = None) -> DataFrame:
-    """``df`` dealt by ranges of ``key`` and sorted, with ``part`` and ``side``.
+def in_ranges(df: DataFrame, keys: list[str], ties: list[str]) -> DataFrame:
+    """``df`` dealt by ranges of ``keys``, sorted in them by ``keys`` and ``ties``, with the range's number in ``part``.
 
-    Rows of a range stand together, sorted by ``key`` and ``ties``, with side 0.
-    Before them stand the last rows of the range before (side -1) and after them
-    the first of the next (side 1), so each row has its neighbours in its own
-    range. With ``wrap`` the first range follows the last. With ``group``, a column
-    in whose order ``key`` sorts too, the copies are instead the nearest rows of
-    another group than the range's first and last row, from however far. Range limits come
-    from a sample of keys and only say how rows are dealt; what is collected is
-    bounded by the number of shuffle partitions. ``key`` must not be null.
+    Ranges follow each other in the order of ``part``, null keys first. Rows
+    that agree on all ``keys`` share a range, so ``keys`` should hold something
+    that tells rows with a common first key apart. A row's neighbours are in its
+    range but for the first and last row, which the caller passes on: two rows
+    for each range, whatever the input.
     """
-    n = n_partitions(df.sparkSession)
-    keys = df.select(key, *([group] if group else []))
-    total = keys.count()
-    share = min(1.0, PER_RANGE * n / max(total, 1))
-    drawn = sorted(r[0] for r in keys.sample(share, 11).collect()) if share < 1 else sorted(r[0] for r in keys.collect())
-    limits = sorted({drawn[k * len(drawn) // n] for k in range(1, n)}) if drawn else []
-
-    def part_of(values: pd.Series) -> pd.Series:
-        return pd.Series([bisect.bisect_right(limits, v) for v in values], dtype="int32")
-
-    at = F.pandas_udf(part_of, "int")
-    ends = [] if group else sorted((r.part, r.first, r.last) for r in keys.select(at(key).alias("part"), key).groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last")).collect())
-    if group:
-        # each range's first and last key, group and key of the nearest other group inside
-        dealt = keys.select(at(key).alias("part"), key, F.col(group).alias("g"))
-        edge = dealt.groupBy("part").agg(F.min("g").alias("low"), F.max("g").alias("high"))
-        inner = dealt.join(F.broadcast(edge), "part").groupBy("part", "low", "high").agg(
-            F.min(key).alias("first"), F.max(key).alias("last"),
-            F.min(F.when(F.col("g") != F.col("low"), F.col(key))).alias("second"), F.max(F.when(F.col("g") != F.col("high"), F.col(key))).alias("before"),
-        )
-        edges = sorted(inner.collect(), key=lambda r: r.part)
-    copies: dict = {}  # key: [(range, side)] of the ranges that also need its rows
-    for k in range(len(edges) if group else 0):
-        for side, others in ((-1, range(k - 1, -1, -1)), (1, range(k + 1, len(edges)))):
-            own = edges[k].low if side < 0 else edges[k].high
-            for j in others:
-                end, nearest, inside = (edges[j].high, edges[j].last, edges[j].before) if side < 0 else (edges[j].low, edges[j].first, edges[j].second)
-                found = nearest if end != own else inside
-                if found is not None:
-                    copies.setdefault(found, []).append((edges[k].part, side))
-                    break
-    for k, (_, first, last) in enumerate(ends):
-        if k or wrap:
-            copies.setdefault(first, []).append((ends[k - 1][0], 1))
-        if k + 1 < len(ends):
-            copies.setdefault(last, []).append((ends[k + 1][0], -1))
+    dealt = df.repartitionByRange(n_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys, *ties)
+    return dealt.withColumn("part", F.spark_partition_id())
 
-    def places_of(values: pd.Series) -> pd.Series:
-        return pd.Series([[bisect.bisect_right(limits, v) * 4 + 1, *(p * 4 + 1 + s for p, s in copies.get(v, ()))] for v in values])
 
-    places = F.pandas_udf(places_of, "array<int>")
-    out = df.withColumn("place", F.explode(places(key)))
-    out = out.withColumn("part", F.expr("place div 4").cast("int")).withColumn("side", F.col("place") % 4 - 1).drop("place")
-    return out.repartition(n, "part").sortWithinPartitions("part", "side", key, *ties)
+def in_one_task(borders: DataFrame, *keys: str) -> DataFrame:
+    """The rows that ranges pass on, sorted in one partition: their number is bounded by that of the ranges."""
+    return borders.repartition(1).sortWithinPartitions(*keys)

@@ -25,7 +25,7 @@ def _hex(column: str):
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = materialize(simhash_blocks.with_edits(table(spark, sf_dir, "documents")), "edits")
+    prints = simhash_blocks.with_edits(table(spark, sf_dir, "documents"))
     near = simhash_blocks.near_groups(prints)
     return prints.join(near, ["hi", "lo"], "left").select(
         "doc_id", "n_chars", "edited_sha256", F.concat(_hex("hi"), _hex("lo")).alias("fingerprint"),

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sparkstrata.llm.common import arrow_schema, group_labels, id_text, materialize, mix, n_partitions, record_batch, runs, sliced
 from sparkstrata.llm.components import connected_components
-from sparkstrata.llm.ordered import in_ranges
+from sparkstrata.llm.ordered import in_one_task, in_ranges
 
 #: Bits of a fingerprint.
 BITS = 128
@@ -87,31 +87,57 @@ def with_edits(docs: DataFrame) -> DataFrame:
     after the last the first; the edit puts as many code points of it (or all)
     in place of the last floor(n_chars / 2). Null text is empty; empty texts
     have fingerprint 0. Rows without doc_id come before all others; rows that
-    share a doc_id are ordered by text. A lone row is its own next.
+    share a doc_id are ordered by the text's first 64 characters, its hash and
+    the text. A lone row is its own next.
     """
-    schema = "doc_id long, n_chars long, edited_sha256 string, hi long, lo long, edited_hi long, edited_lo long, near_edited double, near_next double"
-    arrow = arrow_schema(schema)
-    keyed = id_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).select("key", "doc_id", "text")
+    columns = "doc_id long, n_chars long, edited_sha256 string, hi long, lo long, edited_hi long, edited_lo long, near_edited double, near_next double"
+    schema = f"{columns}, part int, side int, text string"
+    arrow, plain = arrow_schema(schema), arrow_schema(columns)
+    keyed = id_text(docs).select("doc_id", F.substring("text", 1, 64).alias("start"), F.xxhash64("text").alias("hash"), "text")
+
+    def edit(doc_id: int | None, text: str, print_: tuple[int, int], after: str, next_print: tuple[int, int]) -> tuple:
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        e = fingerprint(edited)
+        return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), *map(_signed, print_), *map(_signed, e), likeness(print_, e), likeness(print_, next_print)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (part, side, doc_id, text, fingerprint)
+        """All rows but a range's last; its first (side 0) and last (side 1) with their texts."""
+        held = None  # (doc_id, text, fingerprint)
+        part = 0
+        border = lambda side: (held[0], *[None] * 8, part, side, held[1])
         for b in sliced(batches):
             rows = []
-            for part, side, d, text in zip(*(b.column(c).to_pylist() for c in ("part", "side", "doc_id", "text"))):
-                if side < 0:
-                    continue
-                own = fingerprint(text) if side == 0 or held and held[1] == 0 else (0, 0)
-                if held and held[0] == part and held[1] == 0:
-                    _, _, before, t, print_ = held
-                    half = len(t) // 2
-                    edited = t[: len(t) - half] + text[:half]
-                    e = fingerprint(edited)
-                    rows.append((before, len(t), hashlib.sha256(edited.encode()).hexdigest(), *map(_signed, print_), *map(_signed, e), likeness(print_, e), likeness(print_, own)))
-                held = (part, side, d, text, own)
+            for part, d, text in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "text"))):
+                own = fingerprint(text)
+                if held:
+                    rows.append((*edit(*held, text, own), None, None, None))
+                held, first = (d, text, own), held is None
+                if first:
+                    rows.append(border(0))
             if rows:
                 yield record_batch(dict(zip(arrow.names, zip(*rows))), arrow)
+        if held:
+            yield record_batch(dict(zip(arrow.names, ([x] for x in border(1)))), arrow)
 
-    return in_ranges(keyed, "key", ["text"], wrap=True).mapInArrow(run, schema)
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The last row of each range with the first of the next, of the last range with the very first."""
+        held = start = None
+        one = lambda row: record_batch(dict(zip(plain.names, ([x] for x in row))), plain)
+        for b in batches:
+            for d, side, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "side", "text"))):
+                if side:
+                    held = d, text, fingerprint(text)
+                    continue
+                start = start or (text, fingerprint(text))
+                if held:
+                    yield one(edit(*held, text, fingerprint(text)))
+        if held and start:
+            yield one(edit(*held, *start))
+
+    done = materialize(in_ranges(keyed, ["doc_id", "start", "hash"], ["text"]).select("part", "doc_id", "text").mapInArrow(run, schema), "edits")
+    ends = in_one_task(done.where("side is not null").select("doc_id", "part", "side", "text"), "part", "side").mapInArrow(close, columns)
+    return done.where("side is null").select(*plain.names).unionByName(ends)
 
 
 def blocks(bits: int, n: int) -> list[tuple[int, int]]:
@@ -119,50 +145,64 @@ def blocks(bits: int, n: int) -> list[tuple[int, int]]:
     return [(bits * k // n, bits * (k + 1) // n) for k in range(n)]
 
 
-def _mask(parts: list[tuple[int, int]]) -> tuple[int, int]:
-    m = sum(((1 << (b - a)) - 1) << a for a, b in parts)
-    return m >> 64, m & ((1 << 64) - 1)
+def _mask(parts: list[tuple[int, int]]) -> int:
+    return sum(((1 << (b - a)) - 1) << a for a, b in parts)
 
 
 def near_groups(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(hi, lo, near_id): for each distinct fingerprint the smallest doc_id reachable over links within ``radius`` bits.
 
     Equal fingerprints count once. A bucket of more than ``bucket`` fingerprints
-    is dealt out again by blocks of the bits that its table leaves out, one more
-    than the radius, of which one agrees. A bucket gives a spanning forest of
-    its links. Fingerprints that only rows without doc_id have are left out.
+    is dealt out again by pieces of the bits that its table leaves free, one more
+    than the radius, of which one agrees. One that is still larger is split into
+    blocks, each pair of which is a unit of work of its own, so no task compares
+    more than two blocks at a time; only there work grows with the square of a
+    bucket. A unit gives a spanning forest of its links. Fingerprints that only
+    rows without doc_id have are left out.
     """
     n = n_partitions(prints.sparkSession)
     distinct = materialize(prints.where("doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("id")), "prints")
-    cut = blocks(BITS, radius + 2)
-    tables = [_mask(list(two)) for two in combinations(cut, 2)]
-    finer = []
-    for two in combinations(cut, 2):
-        free = [(s, t) for s, t in cut if (s, t) not in two]
-        own = [part for s, t in free for part in _pieces(s, t, radius + 1)]
-        finer.append([_mask([*two, *own[k :: radius + 1]]) for k in range(radius + 1)])
-
-    def keys(masks: list[tuple[int, int]], first: int):
-        structs = [F.struct(F.lit(first + k).alias("tab"), F.col("hi").bitwiseAND(F.lit(_signed(h))).alias("k1"), F.col("lo").bitwiseAND(F.lit(_signed(m))).alias("k2")) for k, (h, m) in enumerate(masks)]
-        return F.explode(F.array(*structs)).alias("t")
-
-    rows = distinct.select(keys(tables, 0), "hi", "lo", "id").select("t.*", "hi", "lo", "id")
-    rows = materialize(rows, "tables")
-    big = rows.groupBy("tab", "k1", "k2").count().where(F.col("count") > bucket).select("tab", "k1", "k2", F.lit(True).alias("big"))
-    rows = rows.join(big, ["tab", "k1", "k2"], "left")
-    dealt = rows.where("big is null").drop("big")
-    for k, masks in enumerate(finer):
-        fine = rows.where(F.col("big") & (F.col("tab") == k)).select(keys(masks, len(tables) + k * (radius + 1)), "hi", "lo", "id")
-        dealt = dealt.unionByName(fine.select("t.*", "hi", "lo", "id"))
-    edges = dealt.repartition(n, "tab", "k1", "k2").sortWithinPartitions("tab", "k1", "k2").mapInArrow(lambda it: _bucket_edges(it, radius), "u long, v long")
+
+    def structs(masks: dict[int, int]):
+        both = lambda m: F.struct(F.lit(_signed(m >> 64)).alias("h"), F.lit(_signed(m & ((1 << 64) - 1))).alias("l"))
+        return F.array(*[F.struct(F.lit(t).alias("tab"), both(m).alias("m")) for t, m in masks.items()])
+
+    def dealt(rows: DataFrame, masks) -> DataFrame:
+        keyed = rows.select(F.explode(masks).alias("t"), "hi", "lo", "id")
+        keys = F.col("hi").bitwiseAND(F.col("t.m.h")).alias("k1"), F.col("lo").bitwiseAND(F.col("t.m.l")).alias("k2")
+        return materialize(keyed.select("t.tab", *keys, "hi", "lo", "id"), "tables")
+
+    masks = {k: _mask(list(two)) for k, two in enumerate(combinations(blocks(BITS, radius + 2), 2))}
+    key = ["tab", "k1", "k2"]
+
+    def large(rows: DataFrame) -> tuple[DataFrame, list[int]]:
+        counts = rows.groupBy(*key).count().where(F.col("count") > bucket)
+        big = materialize(counts.select(*key, F.ceil(F.col("count") / bucket).alias("n_blocks")), "big")
+        return big, sorted(r.tab for r in big.select("tab").distinct().collect())  # tables, a fixed number
+
+    rows = dealt(distinct, structs(masks))
+    big, tabs = large(rows)
+    small = rows
+    if tabs:
+        finer: dict[int, dict[int, int]] = {t: {} for t in tabs}
+        for t in tabs:
+            free = [b for b in range(BITS) if not masks[t] >> b & 1]
+            for j in range(radius + 1):
+                finer[t][len(masks) + t * (radius + 1) + j] = masks[t] | sum(1 << b for b in free[j :: radius + 1])
+        of_tab = F.create_map(*[x for t in tabs for x in (F.lit(t), structs(finer[t]))])
+        fine = dealt(rows.join(big, key, "left_semi"), F.element_at(of_tab, F.col("tab")))
+        dense, still = large(fine)
+        small = rows.join(big, key, "left_anti").unionByName(fine.join(dense, key, "left_anti") if still else fine)
+        if still:
+            own = F.pmod(F.xxhash64("hi", "lo"), F.col("n_blocks"))
+            paired = fine.join(dense, key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+            unit = F.least("own", "other") * (1 << 31) + F.greatest("own", "other")
+            small = small.unionByName(paired.select("tab", F.xxhash64("k1", "k2").alias("k1"), unit.alias("k2"), "hi", "lo", "id"))
+    edges = small.repartition(n, "tab", "k1", "k2").sortWithinPartitions("tab", "k1", "k2").mapInArrow(lambda it: _bucket_edges(it, radius), "u long, v long")
     labels = connected_components(edges)
     return distinct.join(labels, distinct.id == labels.node, "left").select("hi", "lo", F.coalesce("component", "id").alias("near_id"))
 
 
-def _pieces(start: int, end: int, n: int) -> list[tuple[int, int]]:
-    return [(start + (end - start) * k // n, start + (end - start) * (k + 1) // n) for k in range(n)]
-
-
 def _bucket_edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Spanning edges of each bucket of rows (tab, k1, k2, hi, lo, id) sorted by bucket."""
     schema = arrow_schema("u long, v long")

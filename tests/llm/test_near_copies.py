@@ -117,21 +117,16 @@ def test_components(spark, most):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_neighbours_in_ranges(spark):
-    keys = [5, 1, 9, 9, 3, 12, 40, 41, 2, 77]
-    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long").repartition(3)
-    rows = in_ranges(df, "k", ["i"], wrap=True).select("part", "side", "k", "i", F.spark_partition_id().alias("p")).collect()
+def test_ranges_are_ordered_and_split_ties(spark):
+    keys = [(None if i % 5 < 3 else i * 37 % 101, i * 7919 % 1009) for i in range(1000)]
+    df = spark.createDataFrame(keys, "k int, h int").repartition(3)
+    rows = in_ranges(df, ["k", "h"], []).withColumn("at", F.spark_partition_id()).collect()
+    assert all(r.part == r["at"] for r in rows)
     by = {}
     for r in rows:
-        by.setdefault((r.p, r.part), []).append(r)
-    want = sorted((k, i) for i, k in enumerate(keys))
-    after = {want[j]: want[(j + 1) % len(want)] for j in range(len(want))}
-    got = {}
-    for part in by.values():
-        for a, b in zip(part, part[1:]):
-            if a.side == 0:
-                got[a.k, a.i] = (b.k, b.i)
-    assert got == after
+        by.setdefault(r.part, []).append((-1 if r.k is None else r.k, r.h))
+    assert [x for p in sorted(by) for x in by[p]] == sorted((-1 if k is None else k, h) for k, h in keys)
+    assert max(map(len, by.values())) < 2 * len(keys) / 4  # 600 rows have no key
 
 
 def test_fingerprints_of_edits(spark, docs, no_docs):
@@ -153,6 +148,47 @@ def test_fingerprints_of_edits(spark, docs, no_docs):
     assert simhash_blocks.with_edits(lone).first().near_next == 1.0
 
 
+def test_fingerprint_is_the_weighted_vote():
+    text = "The quick Brown fox the quick élan fox"
+    words = text.encode().lower().split()
+    h = [xxhash.xxh64_intdigest(w) for w in words]
+    weight = [min(len(w), 16) ** 1.5 for w in words]
+    mask = (1 << 64) - 1
+
+    def spread(x):
+        x ^= x >> 32
+        x = x * 0x9E3779B97F4A7C15 & mask
+        x ^= x >> 29
+        x = x * 0xD6E8FEB86659FD93 & mask
+        return x ^ x >> 32
+
+    terms = {}
+    for x, w in zip(h, weight):
+        terms.setdefault(x, [w, 0])[1] += 1
+    for a, b, v, w in zip(h, h[1:], weight, weight[1:]):
+        terms.setdefault(spread((a * 0x9E3779B97F4A7C15 + b) & mask), [(v + w) / 2, 0])[1] += 1
+    votes = {x: w * (1 + np.log(n)) for x, (w, n) in terms.items()}
+    for got, salt in zip(simhash_blocks.fingerprint(text), (0x2545F4914F6CDD1D, 0xA0761D6478BD642F)):
+        for bit in range(64):
+            ones = sum(w for x, w in votes.items() if spread(x ^ salt) >> bit & 1)
+            assert abs(ones * 2 - sum(votes.values())) < 1e-3 or (got >> bit & 1) == (ones * 2 > sum(votes.values()))
+
+
+def test_edits_of_hostile_rows(spark):
+    rows = [(None, "b c"), (None, "a"), (None, None), (2, "x" * 70_000), (2, "x" * 70_000), (1, ""), (1, "a b c d")]
+    got = simhash_blocks.with_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    order = sorted(((d if d is not None else -1, t or "") for d, t in rows), key=lambda x: (x[0], x[1]))
+    want = []
+    for k, (d, t) in enumerate(order):
+        h = len(t) // 2
+        want.append((d, hashlib.sha256((t[: len(t) - h] + order[(k + 1) % len(order)][1][:h]).encode()).hexdigest()))
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.edited_sha256) for r in got) == sorted(want)
+    found = simhash_blocks.near_groups(spark.createDataFrame([], "doc_id long, hi long, lo long"))
+    assert found.count() == 0
+    ties = spark.createDataFrame([(5, 7, 7), (3, 7, 7), (None, 7, 7), (None, 1 << 62, -1)], "doc_id long, hi long, lo long")
+    assert [tuple(x) for x in simhash_blocks.near_groups(ties).collect()] == [(7, 7, 3)]
+
+
 def test_block_tables_find_all(spark):
     r = np.random.default_rng(5)
     base = [(int(r.integers(1 << 62)), int(r.integers(1 << 62))) for _ in range(15)]

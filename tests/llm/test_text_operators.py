@@ -8,6 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from sparkstrata.llm import context_mixing, packing, page_difference, piece_bpe, quality_knn, rotation_codes, separator_scan
 from sparkstrata.llm.queries import vocabulary
 
@@ -294,6 +296,49 @@ def test_runs_of_one_path_have_partners(spark):
     assert got == {k: f"Site name\n\n{t}\n\nAll rights" if "lone" in urls[k] else t for k, t in story.items()}
 
 
+def test_extraction_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(page_difference, "WAITING", 3)
+    r = random.Random(31)
+    frame = [f"Frame line {k}" for k in range(6)]
+    rows, plain = [], []
+    for k in range(240):
+        host = r.choice(["a", "b", "c", "one"]) if k else "lonely"
+        path = "/hot" if host == "one" and r.random() < 0.9 else f"/{r.choice('xyz')}/{r.randrange(12)}"
+        body = sorted(r.sample(frame, r.randrange(5))) + [f"Own line {k} {j}" for j in range(r.randrange(3))]
+        marked = r.random() < 0.2
+        html = "".join(f"<div>{x}</div>" for x in body)
+        rows.append((k, f"http://{host}{path}", f"<body><article>{html}</article></body>" if marked else f"<body>{html}<nav>Menu</nav></body>"))
+        plain.append((host, path, k, body, marked))
+    got = {x.page_id: x.text for x in page_difference.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    order = sorted(plain)
+    for n, (host, path, k, body, marked) in enumerate(order):
+        near = [next((x for x in side if x[1] != path), None) for side in ([x for x in order[:n][::-1] if x[0] == host], [x for x in order[n + 1 :] if x[0] == host])]
+        near = [x for x in near if x]
+        same = lambda x: next((i for i, (c, d) in enumerate(zip(x[1], path)) if c != d), min(len(x[1]), len(path)))
+        partner = max(near, key=same)[3] + ["Menu"] if near else []
+        left = body if marked else [x for x in body if x not in partner]  # both are sorted, so common lines are the shared ones
+        assert got[k] == "\n\n".join(left or body), (host, path, k)
+
+
+def test_extraction_of_hostile_pages(spark):
+    schema = "page_id long, url string, html string"
+    assert page_difference.extract(spark.createDataFrame([], schema)).count() == 0
+    long_ = "<p>" + "word " * 200_000 + "</p>"
+    html = {
+        1: "<p>a &amp b &#x41; &nosuch; <b>c", 2: "</div></p>tail<p", 3: "<article><p>one<script>never ends", 4: "<!-- never ends <p>x", 5: "a < b and <3 c",
+        6: "<article " + "x" * 5000, 7: "<p>\u00a0 \u2003x\ty</p>", 8: long_, 9: "<div>" * 3000 + "deep" + "</div>" * 3000, 10: "<body hidden><p>kept</p>",
+    }
+    rows = [(k, f"http://h{k}/", t) for k, t in html.items()] + [(7, "http://h7/", html[7])] * 2 + [(None, None, "<p>no id")] * 3
+    df = spark.createDataFrame(rows, schema).withColumn("text", F.lit("clash")).withColumn("part", F.lit(9)).withColumn("host", F.lit("clash"))
+    out = page_difference.extract(df)
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    got = [(x.page_id, x.text) for x in out.collect()]
+    assert len(got) == len(rows) and all(x.n_chars == len(x.text) for x in out.collect())
+    texts = dict(got)
+    assert texts[1] == "a & b A &nosuch; c" and texts[2].startswith("tail") and texts[3] == "one" and texts[4] == "" and texts[5] == "a < b and <3 c"
+    assert texts[7] == "x y" and texts[8] == ("word " * 200_000).strip() and texts[9] == "deep" and texts[10] == "kept" and texts[None] == "no id"
+
+
 def test_common_lines_is_longest():
     r = random.Random(12)
     for _ in range(300):
