@@ -23,12 +23,27 @@ def char_budget(snippets: DataFrame, by: list[str], order: list, size: Column, m
     return snippets.withColumn("acc", running(size, by, order)).where(F.col("acc") <= most).withColumn("acc", F.col("acc").cast("long"))
 
 
-def line_budget(snippets: DataFrame, by: list[str], order: list, n_lines: Column, per_group: int = 220, per_snippet: int = 700) -> DataFrame:
-    """Snippets with ``kept_lines``: what is left of the group's lines, those with none left dropped; a cut one is ``is_clamped``."""
-    own = F.least(n_lines, F.lit(per_snippet))
+#: Most lines of a file and of a snippet, most snippets; lines over which a body is shortened, and what is left of it.
+FILE_LINES, SNIPPET_LINES, SNIPPETS, LONG_BODY, SHORTENED = 220, 700, 20, 80, 81
+
+
+def line_budget(snippets: DataFrame, by: list[str], order: list, n_lines: Column, over: list[str], per_group: int = FILE_LINES, per_snippet: int = SNIPPET_LINES, most: int = SNIPPETS) -> DataFrame:
+    """Snippets with ``kept_lines``, the lines that are shown of each within its file's budget, markers counted.
+
+    A body over ``per_snippet`` lines is cut there and gets a marker line; one
+    still over 80 is shortened to its first 60 and last 20 with a marker
+    between. The snippet that reaches over what is left of its file (``by``) is
+    cut to that, one line at least, and gets a marker (``is_clamped``); those
+    after it are dropped. Of each group ``over`` the first ``most`` snippets in
+    the order of files and of ``order`` stay.
+    """
+    cut = F.when(n_lines > per_snippet, per_snippet + 1).otherwise(n_lines)
+    own = F.when(cut > LONG_BODY, SHORTENED).otherwise(cut)
     before = running(own, by, order) - own
-    kept = F.least(own, F.greatest(F.lit(per_group) - before, F.lit(0)))
-    return snippets.withColumn("kept_lines", kept.cast("long")).withColumn("is_clamped", F.col("kept_lines") < n_lines).where("kept_lines > 0")
+    left = F.lit(per_group) - before
+    x = snippets.withColumn("kept_lines", F.when(own > left, left + 1).otherwise(own).cast("long")).withColumn("is_clamped", own > left).withColumn("left_lines", left)
+    x = x.where("left_lines > 0").drop("left_lines")
+    return x.withColumn("n", F.row_number().over(Window.partitionBy(*over).orderBy(*by, *order))).where(F.col("n") <= most).drop("n")
 
 
 def first_per_group(rows: DataFrame, by: list[str], order: list, most: int) -> DataFrame:

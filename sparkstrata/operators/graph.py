@@ -17,13 +17,21 @@ from sparkstrata.functions.text import half_up
 
 #: Rounds of a frontier or label loop after which its lineage is cut.
 CUT_EVERY = 3
+#: Most edges whose strong components one task finds in memory.
+TASK_EDGES = 1_000_000
 
 
 def cut_lineage(df: DataFrame, name: str = "graph") -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` and read again; a temporary folder is used where none is set."""
+    """``df`` written to the folder in ``spark.checkpoint.dir`` and read again.
+
+    A temporary folder is used only where none is set and all tasks run on this
+    machine; on a cluster that would lose rows, so it is an error there.
+    """
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = cut_lineage.own = getattr(cut_lineage, "own", None) or tempfile.mkdtemp(prefix="strata-")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -85,10 +93,53 @@ def raw_importance(in_degree: Column, out_degree: Column, n_functions: Column, n
     return half_up(in_degree * 1.5 + out_degree + n_functions * 0.5 + F.least(n_lines * 0.01, F.lit(10.0)))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def _components_of(pdf):
+    """Strong components of two or more nodes of all edges (source, target), by an iterative depth-first walk."""
+    import pandas as pd
+
+    names = sorted({*pdf.source, *pdf.target})
+    at = {x: k for k, x in enumerate(names)}
+    after: list[list[int]] = [[] for _ in names]
+    for s, t in zip(pdf.source, pdf.target):
+        after[at[s]].append(at[t])
+    met, low, stack, on, out = [-1] * len(names), [0] * len(names), [], [False] * len(names), []
+    n = 0
+    for root in range(len(names)):
+        if met[root] >= 0:
+            continue
+        path = [(root, 0)]
+        while path:
+            v, k = path.pop()
+            if k == 0:
+                met[v] = low[v] = n
+                n += 1
+                stack.append(v)
+                on[v] = True
+            for j in range(k, len(after[v])):
+                w = after[v][j]
+                if met[w] < 0:
+                    path += [(v, j + 1), (w, 0)]
+                    break
+                if on[w]:
+                    low[v] = min(low[v], met[w])
+            else:
+                if low[v] == met[v]:
+                    part = []
+                    while not part or part[-1] != v:
+                        part.append(stack.pop())
+                        on[part[-1]] = False
+                    if len(part) > 1:
+                        out += [(names[x], names[min(part)]) for x in part]
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[v])
+    return pd.DataFrame(out, columns=["id", "component"])
+
+
+def strong_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(id, component) of the nodes in directed cycles of two or more nodes; component is the least id of the cycle's nodes.
 
-    Nodes without an edge in or out among what is left are taken away again and
+    Up to ``task_edges`` edges are solved in one task. While there are more,
+    nodes without an edge in or out among what is left are taken away again and
     again. Then each node gets the least id that reaches it (forward labels); in
     the set of a label, what can reach the label's node within the set is its
     component. Found components go and the rest takes another round. Each step
@@ -97,15 +148,15 @@ def strong_components(edges: DataFrame) -> DataFrame:
     todo = cut_lineage(edges.select("source", "target").where("source <> target").distinct(), "scc")
     found: DataFrame | None = None
     n = todo.count()
-    while n:
-        while True:  # trim
+    while n > task_edges:
+        while n > task_edges:  # trim
             kept = todo.join(todo.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
             kept = cut_lineage(kept.join(todo.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "scc")
             m = kept.count()
             todo, before, n = kept, n, m
             if m == before:
                 break
-        if not n:
+        if n <= task_edges:
             break
         label = todo.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("label", F.col("id"))
         while True:  # forward labels
@@ -132,9 +183,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
         todo = inside.join(done.withColumnRenamed("id", "source"), "source", "left_anti").join(done.withColumnRenamed("id", "target"), "target", "left_anti")
         todo = cut_lineage(todo.select("source", "target"), "scc")
         n = todo.count()
-    if found is None:
-        return edges.select(F.col("source").alias("id"), F.col("source").alias("component")).where(F.lit(False))
-    return found
+    kind = dict(todo.dtypes)["source"]
+    rest = todo.groupBy(F.lit("all")).applyInPandas(_components_of, f"id {kind}, component {kind}")  # at most task_edges edges
+    return rest if found is None else found.unionByName(rest)
 
 
 def circular_edges(edges: DataFrame, all_edges: DataFrame | None = None) -> DataFrame:
@@ -279,18 +330,20 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
 
     ``calls`` has (caller, raw), ``functions`` (id, name, file, ord). A raw name
     is looked up as a whole among names and names' last dotted parts; a function
-    of the caller's file goes first, then the first by ord. Calls of oneself are
+    of the caller's file goes first, then the first by ord, so a call has one
+    row of each of two tables to join, however many functions share its name. Calls of oneself are
     dropped, repeated calls count once.
     """
     names = functions.select(
-        F.col("id").alias("target"), F.col("file").alias("target_file"), "ord",
+        F.col("id").alias("target"), F.col("file").alias("caller_file"), "ord",
         F.explode(F.array_distinct(F.array("name", F.element_at(F.split("name", r"\."), -1)))).alias("raw"),
     )
+    least = F.min_by("target", F.struct("ord", "target"))
+    near = names.groupBy("raw", "caller_file").agg(least.alias("near"))
+    first = names.groupBy("raw").agg(least.alias("first"))
     own = calls.select("caller", "raw").distinct().join(functions.select(F.col("id").alias("caller"), F.col("file").alias("caller_file")), "caller")
-    found = own.join(names, "raw").groupBy("caller", "raw").agg(
-        F.min_by("target", F.struct(F.when(F.col("caller_file") == F.col("target_file"), 0).otherwise(1), "ord", "target")).alias("target")
-    )
-    return found.where("caller <> target").select(F.col("caller").alias("source"), "target").distinct()
+    found = own.join(near, ["raw", "caller_file"], "left").join(first, "raw").select(F.col("caller").alias("source"), F.coalesce("near", "first").alias("target"))
+    return found.where("source <> target").distinct()
 
 
 def called_by(functions: DataFrame, call_edges: DataFrame) -> DataFrame:

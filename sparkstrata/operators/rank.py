@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkstrata.functions.classify import is_low_signal, is_noise, is_test, schema_hit
 from sparkstrata.functions.text import base_name, ranker_tokens
+from sparkstrata.operators.graph import cut_lineage
 
 #: Fixed values of the ranking.
 K1, B, STRONG, WEAK, NAME_TIMES, TEST_FACTOR, PATH_BONUS, NAME_BONUS = 1.2, 0.75, 3.0, 1.0, 3, 0.55, 50.0, 25.0
@@ -37,10 +38,10 @@ def query_terms(intents: DataFrame) -> DataFrame:
 def bm25(terms: DataFrame, wanted: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query, id, bm25) of documents' terms (id, term) for weighted query terms (query, term, weight).
 
-    Lengths and term counts are aggregated before the join, which keeps the
-    query terms alone.
+    Term counts are written once, so that texts are split once; lengths and
+    document counts come from them, and the join keeps the query terms alone.
     """
-    counts = terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    counts = cut_lineage(terms.groupBy("id", "term").agg(F.count("*").alias("tf")), "terms")
     lengths = counts.groupBy("id").agg(F.sum("tf").alias("dl"))
     whole = lengths.agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
     asked = wanted.select("term").distinct()
@@ -62,6 +63,20 @@ def path_bonus(id: Column, paths: Column) -> Column:
     return F.coalesce(F.array_max(each), F.lit(0.0))
 
 
+def exact_matches(files: DataFrame, intents: DataFrame) -> DataFrame:
+    """(query, id, bonus) of the files that an issue's paths name, with the best bonus.
+
+    A path that a file's path ends with, or whose name is the file's, ends the
+    file's name with its own, so both sides join on the ends of names.
+    """
+    paths = intents.select("query", F.explode(F.array_distinct("exact_paths")).alias("p")).withColumn("end", base_name(F.col("p"))).where("end <> ''")
+    base = base_name(F.lower("id"))
+    ends = F.transform(F.sequence(F.lit(1), F.length(base)), lambda n: F.substr(base, n))
+    own = files.select("id").where(F.length(base) > 0).distinct().withColumn("end", F.explode(ends))
+    bonus = path_bonus(F.col("id"), F.array("p"))
+    return own.join(paths, "end").groupBy("query", "id").agg(F.max(bonus).alias("bonus")).where("bonus > 0")
+
+
 def rank_files(files: DataFrame, intents: DataFrame, limit: int = 40) -> DataFrame:
     """(query, id, score, rank) of files for intents (query and the fields of `search_intent`).
 
@@ -70,8 +85,7 @@ def rank_files(files: DataFrame, intents: DataFrame, limit: int = 40) -> DataFra
     """
     own = files.where(~is_noise(F.col("id")) & ~is_low_signal(F.col("id")))
     scores = bm25(file_terms(own), query_terms(intents))
-    paths = intents.select("query", "exact_paths").where(F.size("exact_paths") > 0)
-    named = own.select("id").crossJoin(F.broadcast(paths)).select("query", "id", path_bonus(F.col("id"), F.col("exact_paths")).alias("bonus")).where("bonus > 0")  # issues are few
+    named = exact_matches(own, intents)
     x = scores.join(named, ["query", "id"], "full")
     score = F.coalesce("bm25", F.lit(0.0)) * F.when(is_test(F.col("id")), TEST_FACTOR).otherwise(1.0) + F.coalesce("bonus", F.lit(0.0))
     x = x.select("query", "id", score.alias("score"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("bonus", F.lit(0.0)).alias("bonus")).where("score > 0")
@@ -83,17 +97,27 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source").alias("id"), F.col("target").alias("to")).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("to"))).distinct()
 
 
+def graph_neighbours(edges: DataFrame, calls: DataFrame) -> DataFrame:
+    """(id, to): distinct neighbours by imports in either direction, and the files of the functions that a file's functions call.
+
+    ``calls`` has (file, call) with called functions as file::name.
+    """
+    called = calls.select(F.col("file").alias("id"), F.substring_index("call", "::", 1).alias("to")).where("`to` <> ''")
+    return both_ways(edges).unionByName(called).distinct()
+
+
 def expand(seeds: DataFrame, neighbours: DataFrame, known: DataFrame, most: int = MOST, expanding: int = EXPANDING) -> DataFrame:
     """(query, id, score, rank): seeds (query, id, score) and what the five best of each query add to their neighbours.
 
     A neighbour (id, to) that is known, no noise and no low-signal file gets 0.6
-    of the seed's score, half of that if it is a test, 15 at least; scores add up.
+    of the seed's score, half of that if it is a test; a link that gives less
+    than 15 is too weak and gives nothing. Scores add up.
     """
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     first = seeds.withColumn("n", F.row_number().over(w)).where(F.col("n") <= expanding)
-    step = F.greatest(F.lit(LEAST), F.col("score") * DECAY * F.when(is_test(F.col("to")), TEST_DECAY).otherwise(1.0))
+    step = F.col("score") * DECAY * F.when(is_test(F.col("to")), TEST_DECAY).otherwise(1.0)
     near = first.join(neighbours, "id").where("id <> to").where(~is_noise(F.col("to")) & ~is_low_signal(F.col("to")))
-    near = near.join(known.select(F.col("id").alias("to")).distinct(), "to", "left_semi").select("query", F.col("to").alias("id"), step.alias("score"))
+    near = near.join(known.select(F.col("id").alias("to")).distinct(), "to", "left_semi").select("query", F.col("to").alias("id"), step.alias("score")).where(F.col("score") >= LEAST)
     total = seeds.select("query", "id", "score").unionByName(near).groupBy("query", "id").agg(F.sum("score").alias("score"))
     return total.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most)
 
@@ -113,61 +137,82 @@ def expand_barrels(files: DataFrame, barrels: DataFrame) -> DataFrame:
 def traverse(files: DataFrame, intents: DataFrame, neighbours: DataFrame, barrels: DataFrame, pr_files: DataFrame | None = None, most: int = MOST) -> DataFrame:
     """(query, id, source, score, rank): candidate files of issues.
 
-    Seeds are a pull request's files (140), files whose path the issue names
-    (135), the best ranked files that aren't barrels (90 to 130 by their score
-    against the best) and the targets of ranked barrels (70); a file takes its
-    best source. They are expanded along the graph.
+    Seeds are a pull request's files (140), every file whose path the issue names
+    (135), the other files among the 15 best ranked (90 to 130 by their score
+    against the best), and the targets of the barrels among these (70; a barrel
+    without targets is its own). Barrels are no other seeds. A file takes its
+    best source. Seeds are expanded along the graph. ``barrels`` has (id,
+    target), a null target for a barrel without any.
     """
-    ranked = rank_files(files, intents, RANKED)
-    exact = ranked.where("bonus > 0").select("query", "id", F.lit("keyword").alias("source"), F.lit(SEED_EXACT).alias("score"))
-    best = F.max("bm25").over(Window.partitionBy("query"))
-    plain = ranked.withColumn("best", best).join(barrels.select("id").distinct(), "id", "left_anti").where("bm25 > 0")
-    plain = plain.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where(F.col("n") <= KEYWORD_SEEDS)
-    keyword = plain.select("query", "id", F.lit("keyword").alias("source"), (SEED_KEYWORD + SEED_KEYWORD_SPAN * F.col("bm25") / F.col("best")).alias("score"))
-    barrel = ranked.join(barrels, "id").select("query", F.col("target").alias("id"), F.lit("barrel").alias("source"), F.lit(SEED_BARREL).alias("score")).distinct()
-    seeds = exact.unionByName(keyword).unionByName(barrel)
+    ranked = cut_lineage(rank_files(files, intents, RANKED), "ranked")
+    exact = cut_lineage(exact_matches(files.where(~is_noise(F.col("id"))), intents).select("query", "id", F.lit(True).alias("exact")), "exact")
+    best = ranked.groupBy("query").agg(F.max("score").alias("best"))
+    first = ranked.where(F.col("rank") <= KEYWORD_SEEDS).join(best, "query").select("query", "id", (SEED_KEYWORD + SEED_KEYWORD_SPAN * F.col("score") / F.col("best")).alias("score"))
+    pool = first.join(exact, ["query", "id"], "full").select("query", "id", F.when(F.col("exact"), SEED_EXACT).otherwise(F.col("score")).alias("score"))
+    keyword = pool.join(barrels.select("id").distinct(), "id", "left_anti").select("query", "id", F.lit("keyword").alias("source"), "score")
+    barrel = pool.join(barrels, "id").select("query", F.coalesce("target", "id").alias("id"), F.lit("barrel").alias("source"), F.lit(SEED_BARREL).alias("score")).distinct()
+    seeds = keyword.unionByName(barrel)
     if pr_files is not None:
-        seeds = seeds.unionByName(pr_files.select("query", "id", F.lit("pr").alias("source"), F.lit(SEED_PR).alias("score")))
-    seeds = priority_merge(seeds)
-    cap = seeds.groupBy("query").agg(F.greatest(F.lit(most), F.count_if(F.col("score") >= SEED_EXACT) + 5).alias("cap"))
-    out = expand(seeds.select("query", "id", "score"), neighbours, files, most=1 << 30).join(cap, "query").where("rank <= cap").drop("cap")
+        pulled = pr_files.join(files.select("id").distinct(), "id", "left_semi")
+        seeds = seeds.unionByName(pulled.select("query", "id", F.lit("pr").alias("source"), F.lit(SEED_PR).alias("score")))
+    seeds = cut_lineage(priority_merge(seeds), "seeds")
+    cap = exact.groupBy("query").agg(F.greatest(F.lit(most), F.count("*") + 5).alias("cap"))
+    out = expand(seeds.select("query", "id", "score"), neighbours, files, most=1 << 30).join(cap, "query", "left").where(F.col("rank") <= F.coalesce("cap", F.lit(most))).drop("cap")
     return out.join(seeds.select("query", "id", "source"), ["query", "id"], "left").select("query", "id", F.coalesce("source", F.lit("neighborhood")).alias("source"), "score", "rank")
 
 
-#: Scores of the categories that a context can ask for.
+#: Scores of the categories that a context can ask for, and of files that no neighbour gave.
 CATEGORY_SCORES = {"usages": 90.0, "callers": 90.0, "callees": 90.0, "implementations": 90.0, "imports": 90.0, "exports": 85.0, "schemas": 85.0,
-                   "configuration": 85.0, "tests": 85.0, "related": 80.0, "neighboring": 80.0}
+                   "configuration": 85.0, "tests": 85.0, "related modules": 80.0, "neighboring graph nodes": 80.0}
+CATEGORY_ELSEWHERE = 80.0
+CATEGORY_TEST = r"(?i)\.(test|spec)\.(ts|js|tsx|jsx)$|/__(tests?|mocks?)__/"
 
 
-def expand_categories(seeds: DataFrame, index: DataFrame, categories: list[str]) -> DataFrame:
+def expand_categories(seeds: DataFrame, index: DataFrame, categories: list[str], calls: DataFrame | None = None) -> DataFrame:
     """(id, score, category): files that the categories add to seeds (id), later categories overwriting earlier ones.
 
-    ``index`` is a retrieval index with in_degree and out_degree. Schemas and tests
-    that no neighbour gives are looked for among all files at score 80.
+    ``index`` is a retrieval index, ``calls`` has (file, call) with called
+    functions as file::name: callers of a seed's functions are usages, the files
+    of what its functions call are callees. Schemas and tests are looked for
+    among all files at score 80 if nothing at all has been found so far. Only
+    known files that are no noise are given. Unknown categories give nothing.
     """
-    imports = index.select("id", F.explode("imports").alias("to"))
-    importers = index.select("id", F.explode("imported_by").alias("to"))
-    own = seeds.select("id").distinct()
+    own = cut_lineage(seeds.select("id").distinct(), "seeds")
+    index = cut_lineage(index, "index")
     near = lambda e: e.join(own, "id", "left_semi").select(F.col("to").alias("id")).distinct()
-    around = near(imports).unionByName(near(importers)).distinct()
-    meta = index.withColumn("hit", schema_hit(F.col("id"), F.col("semantic_role"), F.col("is_barrel"), F.col("n_structures"), F.col("n_functions"), F.size("imported_by"), F.size("imports")))
-    tests = index.where((F.col("semantic_role") == "test") | is_test(F.col("id"))).select("id")
-    every = None
-    for n, c in enumerate(categories):
-        if c in ("usages", "callers", "exports"):
-            found = near(importers)
+    imports = near(index.select("id", F.explode("imports").alias("to")))
+    importers = near(index.select("id", F.explode("imported_by").alias("to")))
+    callers = callees = index.select("id").where(F.lit(False))
+    if calls is not None:
+        pairs = cut_lineage(calls.select("file", F.substring_index("call", "::", 1).alias("to")).where("file <> `to`").distinct(), "calls")
+        callers = pairs.join(own.select(F.col("id").alias("to")), "to", "left_semi").select(F.col("file").alias("id")).distinct()
+        callees = near(pairs.select(F.col("file").alias("id"), "to").where("`to` <> ''"))
+    around = imports.unionByName(importers).distinct()
+    hit = schema_hit(F.col("id"), F.col("semantic_role"), F.col("is_barrel"), F.col("n_structures"), F.col("n_functions"), F.size("imported_by"), F.size("imports"))
+    schemas = index.where(hit.isNotNull()).select("id")
+    tests = index.where(F.col("id").rlike(CATEGORY_TEST)).select("id")
+    known = index.select("id").where(~is_noise(F.col("id"))).distinct()
+    every: DataFrame | None = None
+    for n, c in enumerate(x.lower().strip() for x in categories):
+        pool = schemas if c in ("schemas", "configuration") else tests
+        if c in ("usages", "callers"):
+            found = importers.unionByName(callers).distinct()
+        elif c == "exports":
+            found = importers
         elif c in ("callees", "implementations", "imports"):
-            found = near(imports)
-        elif c in ("schemas", "configuration"):
-            found = around.join(meta.where("hit is not null").select("id"), "id", "left_semi")
-        elif c == "tests":
-            found = around.join(tests, "id", "left_semi")
-        else:
+            found = imports.unionByName(callees).distinct()
+        elif c in ("schemas", "configuration", "tests"):
+            found = around.join(pool, "id", "left_semi")
+        elif c in CATEGORY_SCORES:
             found = around
-        got = found.select("id", F.lit(CATEGORY_SCORES[c]).alias("score"), F.lit(c).alias("category"), F.lit(n).alias("n"))
-        if c in ("schemas", "configuration", "tests") and not found.limit(1).count():
-            pool = tests if c == "tests" else meta.where("hit is not null").select("id")
-            got = pool.select("id", F.lit(80.0).alias("score"), F.lit(c).alias("category"), F.lit(n).alias("n"))
+        else:
+            continue
+        got = found.join(known, "id", "left_semi").select("id", F.lit(CATEGORY_SCORES[c]).alias("score"), F.lit(c).alias("category"), F.lit(n).alias("n"))
         every = got if every is None else every.unionByName(got)
-    known = every.where(~is_noise(F.col("id"))).join(index.select("id"), "id", "left_semi").join(own, "id", "left_anti")
-    return known.groupBy("id").agg(F.max_by(F.struct("score", "category"), "n").alias("r")).select("id", "r.score", "r.category")
+        if c in ("schemas", "configuration", "tests"):
+            none_yet = every.agg((F.count("*") == 0).alias("none_yet"))
+            other = pool.join(known, "id", "left_semi").crossJoin(F.broadcast(none_yet)).where("none_yet")  # one row
+            every = every.unionByName(other.select("id", F.lit(CATEGORY_ELSEWHERE).alias("score"), F.lit(c).alias("category"), F.lit(n).alias("n")))
+    if every is None:
+        return index.select("id", F.lit(0.0).alias("score"), F.lit("").alias("category")).where(F.lit(False))
+    return every.groupBy("id").agg(F.max_by(F.struct("score", "category"), "n").alias("r")).select("id", "r.score", "r.category")

@@ -235,13 +235,26 @@ def companions(paths: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def requested_paths(requested: DataFrame, paths: DataFrame) -> DataFrame:
-    """(requested, path): a file for each requested path: equal, the only one of the name, one that ends with it, the first of the name."""
-    r = F.col("requested")
-    named = paths.select("path", base_name(F.col("path")).alias("base"))
-    counts = named.groupBy("base").agg(F.count("*").alias("c"))
-    x = requested.select("requested", base_name(r).alias("base")).distinct().join(named, "base").join(counts, "base")
-    tier = F.when(F.col("path") == r, 0).when(F.col("c") == 1, 1).when(F.col("path").endswith(r), 2).otherwise(3)
-    return x.groupBy("requested").agg(F.min_by("path", F.struct(tier, "path")).alias("path"))
+    r"""(requested, path): a file for each requested path.
+
+    Backslashes count as slashes, a leading ./ and blanks at the ends go. First
+    comes the equal path; then, without regard to case, the only file of that
+    name, the first path that ends with the request, and the first file of the
+    name. Paths are in their own order. A request for which none is found, and
+    an empty one, has no row.
+    """
+    norm = F.trim(F.regexp_replace(F.regexp_replace("requested", r"\\", "/"), r"^\./", ""))
+    asked = requested.select("requested").distinct().withColumn("norm", norm).withColumn("low", F.lower("norm")).withColumn("base", base_name(F.col("low")))
+    own = paths.select("path", F.lower("path").alias("low_path")).distinct().withColumn("name", base_name(F.col("low_path")))
+    equal = asked.join(own.select("path"), F.col("norm") == F.col("path"), "left_semi").select("requested", F.col("norm").alias("path"))
+    # what ends with a request has a name that ends with the request's name
+    ends = own.withColumn("base", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.substr("name", n))))
+    rest = asked.where("base <> ''").join(equal.select("requested"), "requested", "left_anti")
+    hits = rest.join(ends, "base").withColumn("named", F.col("name") == F.col("base")).withColumn("ends", F.col("low_path").endswith(F.col("low")))
+    first = lambda c: F.min(F.when(F.col(c), F.col("path")))
+    found = hits.groupBy("requested").agg(F.count_if("named").alias("n"), first("named").alias("named"), first("ends").alias("ends"))
+    found = found.select("requested", F.when(F.col("n") == 1, F.col("named")).otherwise(F.coalesce("ends", "named")).alias("path")).where("path is not null")
+    return equal.unionByName(found)
 
 
 def barrel_functions(barrels: DataFrame, functions: DataFrame, most: int = 10) -> DataFrame:
@@ -254,7 +267,3 @@ def file_index(paths: DataFrame) -> DataFrame:
     """(dir, n_files, extensions): the files of each folder."""
     ext = F.regexp_extract(F.lower(base_name(F.col("path"))), r".(\.[^.]*)$", 1)
     return paths.groupBy(folder(F.col("path")).alias("dir")).agg(F.count("*").alias("n_files"), F.array_sort(F.collect_set(ext)).alias("extensions"))
-
-
-def has_any(values: Column, names: list[str]) -> Column:
-    return F.arrays_overlap(values, strings(names))

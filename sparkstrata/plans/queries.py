@@ -242,10 +242,17 @@ def longest_prefix_package(spark, d):
     return resolve.longest_prefix(f, roots.withColumn("name", F.col("root")))
 
 
-@query(sql("files", """SELECT label AS requested, arg_min(id, CASE WHEN id = label THEN 0 WHEN c = 1 THEN 1 ELSE 2 END) AS path FROM (SELECT *, count(*) OVER (PARTITION BY label) AS c FROM files) WHERE partkey % 4 = 0 GROUP BY label"""))
+# from the rules for requested files: equal, only one of the name, first that ends so, first of the name, without case but for the first
+@query(sql("files", """SELECT requested, CASE WHEN bool_or(same) THEN min(id) FILTER (same) WHEN count(*) FILTER (named) = 1 THEN min(id) FILTER (named) WHEN bool_or(ends) THEN min(id) FILTER (ends) ELSE min(id) FILTER (named) END AS path FROM (
+    SELECT requested, f.id, f.id = norm AS same, lower(f.label) = string_split(lower(norm), '/')[-1] AS named, ends_with(lower(f.id), lower(norm)) AS ends
+    FROM (SELECT requested, trim(regexp_replace(replace(requested, '\\', '/'), '^[.]/', '')) AS norm FROM (
+      SELECT DISTINCT CASE partkey % 5 WHEN 0 THEN label WHEN 1 THEN './' || id WHEN 2 THEN upper(label) WHEN 3 THEN replace(substr(id, 7), '/', '\\') ELSE substr(label, 4) END AS requested FROM files)) n
+    JOIN files f ON f.id = norm OR lower(f.label) = string_split(lower(norm), '/')[-1] OR ends_with(lower(f.id), lower(norm))) GROUP BY requested"""))
 def requested_paths(spark, d):
     f = files(spark, d)
-    return resolve.requested_paths(f.where("partkey % 4 = 0").select(F.col("label").alias("requested")), f.select(F.col("id").alias("path")))
+    n = F.col("partkey") % 5
+    asked = F.when(n == 0, F.col("label")).when(n == 1, F.concat(F.lit("./"), "id")).when(n == 2, F.upper("label")).when(n == 3, F.translate(F.substr("id", F.lit(7)), "/", "\\")).otherwise(F.substr("label", F.lit(4)))
+    return resolve.requested_paths(f.select(asked.alias("requested")), f.select(F.col("id").alias("path")))
 
 
 @query(sql("files", """SELECT file, specifier, CASE WHEN path IS NULL THEN 'unresolved' ELSE 'internal' END AS kind, path FROM (
@@ -474,17 +481,17 @@ def bm25_eval(spark, d):
     return evaluate.retrieval_metrics(got, truth)
 
 
-EXPAND = """seeds AS (SELECT 1 AS query, p_partkey AS id, 90.0::DOUBLE + p_size AS score FROM part WHERE p_partkey < 8), n AS (SELECT source AS id, target AS "to" FROM copurchase UNION SELECT target, source FROM copurchase),
-    near AS (SELECT 1 AS query, n."to" AS id, greatest(15.0::DOUBLE, score * 0.6::DOUBLE * 1.0::DOUBLE) AS score FROM (SELECT * FROM seeds ORDER BY score DESC, id LIMIT 5) s JOIN n ON s.id = n.id WHERE s.id <> n."to" AND n."to" IN (SELECT p_partkey FROM part WHERE p_size < 40)),
-    total AS (SELECT id, sum(score) AS score FROM (SELECT * FROM seeds UNION ALL SELECT * FROM near) GROUP BY id)"""
+# of the five best seeds of a query each neighbour gets 0.6 of the score; under 15 the link is too weak and gives nothing
+EXPAND = """seeds AS (SELECT p_brand || p_size AS query, p_partkey AS id, (p_partkey % 50 * 5)::DOUBLE AS score FROM part), n AS (SELECT source AS id, target AS "to" FROM copurchase UNION SELECT target, source FROM copurchase),
+    near AS (SELECT query, n."to" AS id, score * 0.6::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, CAST(id AS VARCHAR)) AS nth FROM seeds) s JOIN n ON s.id = n.id WHERE nth <= 5 AND s.id <> n."to" AND score * 0.6::DOUBLE >= 15),
+    total AS (SELECT query, id, sum(score) AS score FROM (SELECT * FROM seeds UNION ALL SELECT * FROM near) GROUP BY query, id)"""
 
 
-@query(sql("copurchase", "SELECT CAST(id AS VARCHAR) AS id, " + R4.format("score") + " AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY " + R4.format("score") + " DESC, CAST(id AS VARCHAR)) AS rank FROM total) WHERE rank <= 12", more=EXPAND))
+@query(sql("copurchase", "SELECT query, CAST(id AS VARCHAR) AS id, " + R4.format("score") + " AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY " + R4.format("score") + " DESC, CAST(id AS VARCHAR)) AS rank FROM total) WHERE rank <= 12", more=EXPAND))
 def neighbor_expansion(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_size", "p_partkey")
-    seeds = p.where("p_partkey < 8").select(F.lit(1).alias("query"), "id", (F.lit(90.0) + F.col("p_size")).alias("score"))
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.concat("p_brand", F.col("p_size").cast("string")).alias("query"), (F.col("p_partkey") % 50 * 5).cast("double").alias("score"))
     e = copurchase(spark, d).select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"))
-    return rank.expand(seeds, rank.both_ways(e), p.where("p_size < 40").select("id")).select("id", r4(F.col("score")).alias("score"), "rank")
+    return rank.expand(p, rank.both_ways(e), p.select("id")).select("query", "id", r4(F.col("score")).alias("score"), "rank")
 
 
 @query()
@@ -523,10 +530,16 @@ def retrieval_index(spark, d):
     return _retrieval(spark, d).select("id", "is_barrel", "semantic_role", "n_functions", "n_structures", F.size("barrel_targets").alias("n_targets"))
 
 
+def _file_calls(spark, d):
+    """Calls between functions of files that the other joins with an import."""
+    f = functions(spark, d)
+    return file_edges(spark, d).join(f.select(F.col("file").alias("target"), F.col("id").alias("call")), "target").select(F.col("source").alias("file"), "call")
+
+
 @query()
 def category_expansion(spark, d):
     seeds = files(spark, d).where("partkey < 3").select("id")
-    return rank.expand_categories(seeds, _retrieval(spark, d), ["callers", "schemas", "tests"])
+    return rank.expand_categories(seeds, _retrieval(spark, d), ["callers", "schemas", "tests"], _file_calls(spark, d))
 
 
 @query()
@@ -583,10 +596,12 @@ def snippet_budget(spark, d):
     return budget.char_budget(table(spark, d, "documents"), ["source"], ["n_chars", "doc_id"], F.length("text")).select("source", "doc_id", "acc")
 
 
-@query("""SELECT source, doc_id, CAST(kept AS BIGINT) AS kept_lines, kept < n AS is_clamped FROM (SELECT *, least(m, greatest(220 - before, 0)) AS kept FROM (SELECT *, sum(m) OVER (PARTITION BY source ORDER BY doc_id) - m AS before FROM (
-    SELECT source, doc_id, len(string_split(text, chr(10))) AS n, least(len(string_split(text, chr(10))), 700) AS m FROM documents))) WHERE kept > 0""")
+# 700 lines of a snippet and a marker, 60 + 1 + 20 of what is still over 80; a file ends at 220 with a marker; 20 snippets in all
+@query("""SELECT lang, source, doc_id, CAST(kept AS BIGINT) AS kept_lines, is_clamped FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) AS nth FROM (
+    SELECT *, CASE WHEN m > 220 - before THEN 220 - before + 1 ELSE m END AS kept, m > 220 - before AS is_clamped FROM (SELECT *, sum(m) OVER (PARTITION BY lang, source ORDER BY doc_id) - m AS before FROM (
+    SELECT lang, source, doc_id, CASE WHEN n > 700 THEN 81 WHEN n > 80 THEN 81 ELSE n END AS m FROM (SELECT *, len(string_split(text, chr(10))) AS n FROM documents)))) WHERE before < 220) WHERE nth <= 20""")
 def line_budget(spark, d):
-    return budget.line_budget(table(spark, d, "documents"), ["source"], ["doc_id"], T.line_count(F.col("text"))).select("source", "doc_id", "kept_lines", "is_clamped")
+    return budget.line_budget(table(spark, d, "documents"), ["lang", "source"], ["doc_id"], T.line_count(F.col("text")), ["lang"]).select("lang", "source", "doc_id", "kept_lines", "is_clamped")
 
 
 @query(sql("functions", """, c AS (SELECT DISTINCT file, CASE WHEN ord % 3 = 0 THEN 'pr' WHEN ord % 3 = 1 THEN 'keyword' ELSE 'barrel' END AS source, ord % 25 AS g FROM functions), f AS (SELECT 'g' || (ord % 25) AS file, id AS function_id, name, is_exported, ord FROM functions),

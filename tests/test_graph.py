@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkstrata.operators import cluster, deadcode, graph, index, rank, search
+from sparkstrata.operators import cluster, deadcode, graph, index, rank, resolve, search
 
 FILES = ["src/server.ts", "src/db/connection.ts", "src/db/schema.ts", "src/routes/user.ts", "src/tests/user.test.ts"]
 EDGES = [(0, 1), (0, 3), (1, 2), (3, 1), (4, 3)]
@@ -148,3 +148,45 @@ def test_walk_and_focus(spark):
     assert {r.id: r.hop for r in graph.walk(e, start, 2).collect()} == {1: 0, 2: 1, 3: 2}
     assert {r.id: r.is_cyclic for r in graph.focus(e, start, 10).collect()} == {2: True, 3: True, 4: False, 5: False}
     assert {(r.source, r.target) for r in graph.back_edges(e.withColumn("g", F.lit("x")), "g").collect()} == {(3, 1)}
+
+
+def test_traversal_seeds(spark):
+    names = ["src/ring.ts", "docs/ring_guide.md", "src/index.ts", "src/gear.ts", "lib/other.ts", "src/call.ts", "dist/ring.ts"]
+    files = spark.createDataFrame([(n, ["ring"] if "ring" in n or n == "src/index.ts" else ["x"], []) for n in names], "id string, function_names array<string>, structure_names array<string>")
+    intents = spark.createDataFrame([(1, ["ring"], [], [], ["docs/ring_guide.md"])], "query long, strong_identifiers array<string>, weak_terms array<string>, entities array<string>, exact_paths array<string>")
+    edges = spark.createDataFrame([("src/ring.ts", "src/gear.ts")], "source string, target string")
+    calls = spark.createDataFrame([("src/ring.ts", "src/call.ts::go"), ("src/ring.ts", "gone.ts::x")], "file string, call string")
+    barrels = spark.createDataFrame([("src/index.ts", "lib/other.ts")], "id string, target string")
+    pulled = spark.createDataFrame([(1, "lib/other.ts"), (1, "no/such.ts")], "query long, id string")
+    got = {r.id: (r.source, r.score) for r in rank.traverse(files, intents, rank.graph_neighbours(edges, calls), barrels, pulled).collect()}
+    assert got["docs/ring_guide.md"] == ("keyword", 135.0)  # named by the issue, though no ranked file
+    assert got["src/ring.ts"] == ("keyword", 130.0) and got["lib/other.ts"] == ("pr", 140.0)
+    assert got["src/gear.ts"] == ("neighborhood", 78.0) and got["src/call.ts"] == ("neighborhood", 78.0)
+    assert set(got) == {"docs/ring_guide.md", "src/ring.ts", "lib/other.ts", "src/gear.ts", "src/call.ts"}
+    weak = spark.createDataFrame([(1, "src/ring.ts", 24.9), (2, "src/ring.ts", 25.0)], "query long, id string, score double")
+    out = {(r.query, r.id): r.score for r in rank.expand(weak, rank.both_ways(edges), files).collect()}
+    assert out == {(1, "src/ring.ts"): 24.9, (2, "src/ring.ts"): 25.0, (2, "src/gear.ts"): 15.0}
+
+
+@pytest.mark.parametrize("task_edges", [3, 1 << 20])
+def test_strong_components_by_both_ways(spark, task_edges):
+    r = random.Random(task_edges)
+    edges = {(r.randrange(25), r.randrange(25)) for _ in range(38)} | {(40, 41), (41, 42), (42, 40), (50, 51)}
+    reach = {(a, b) for a, b in edges}
+    while True:
+        more = {(a, d) for a, b in reach for c, d in edges if b == c} - reach
+        if not more:
+            break
+        reach |= more
+    nodes = {x for e in edges for x in e}
+    want = {a: min(b for b in nodes if b == a or ((a, b) in reach and (b, a) in reach)) for a in nodes if any(b != a and (a, b) in reach and (b, a) in reach for b in nodes)}
+    df = spark.createDataFrame(sorted(edges), "source long, target long")
+    assert {x.id: x.component for x in graph.strong_components(df, task_edges).collect()} == want
+    assert graph.strong_components(df.limit(0), task_edges).count() == 0
+
+
+def test_requested_paths_by_tiers(spark):
+    paths = ["src/a/File.ts", "src/b/file.ts", "src/b/Only.go", "lib/xonly.go", "x/yring.ts", "x/zring.ts"]
+    asked = ["src/b/file.ts", "./src/a/File.ts", "only.go", "A\\FILE.TS", "file.ts", "ring.ts", "nope.ts", "", " Only.go "]
+    got = {r.requested: r.path for r in resolve.requested_paths(spark.createDataFrame([(x,) for x in asked], "requested string"), spark.createDataFrame([(x,) for x in paths], "path string")).collect()}
+    assert got == {"src/b/file.ts": "src/b/file.ts", "./src/a/File.ts": "src/a/File.ts", "only.go": "src/b/Only.go", "A\\FILE.TS": "src/a/File.ts", "file.ts": "src/a/File.ts", "ring.ts": "x/yring.ts", " Only.go ": "src/b/Only.go"}

@@ -67,7 +67,12 @@ def test_budgets(spark):
     got = {(r.conv_id, r.turn) for r in budget.history_budget(turns, 125).collect()}
     assert got == {(1, 3), (1, 2), (2, 0)}
     s = spark.createDataFrame([("f", k, n) for k, n in enumerate([100, 100, 50, 10])], "f string, k int, n int")
-    assert {r.k: (r.kept_lines, r.is_clamped) for r in budget.line_budget(s, ["f"], ["k"], F.col("n")).collect()} == {0: (100, False), 1: (100, False), 2: (20, True)}
+    # over 80 lines are shortened to 60 + 1 + 20; the fourth reaches over the file's 220 and gets what is left and a marker
+    cut = lambda rows, **k: {r.k: (r.kept_lines, r.is_clamped) for r in budget.line_budget(rows, ["f"], ["k"], F.col("n"), [], **k).collect()}
+    assert cut(s) == {0: (81, False), 1: (81, False), 2: (50, False), 3: (9, True)}
+    assert cut(s, most=3) == {0: (81, False), 1: (81, False), 2: (50, False)}
+    many = spark.createDataFrame([("f", 0, 5000), ("f", 1, 80), ("f", 2, 59), ("f", 3, 1), ("g", 4, 1)], "f string, k int, n int")
+    assert cut(many) == {0: (81, False), 1: (80, False), 2: (59, False), 4: (1, False)}
 
 
 def test_metrics(spark):
