@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,13 +73,13 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def anchors_of(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """Anchor of each window of a document's word hashes."""
+    """Anchor of each window of a document's word hashes, mixed again: least hashes alone would crowd the groups of low bits."""
     grams = gram_hashes(h, gram)
     n = len(h) - window + 1
     anchor = grams[:n].copy()
     for j in range(1, window - gram + 1):
         np.minimum(anchor, grams[j : j + n], out=anchor)
-    return anchor
+    return mix(anchor)
 
 
 def _part(anchor: np.ndarray, bits: int) -> np.ndarray:
@@ -303,10 +304,18 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         if found:
             yield from flush()
 
-    second = materialize(docs.mapInArrow(candidates, SUFFIXES), "suffixes")
-
     def trees(batches):
-        for _, (d, t, at, size, words) in _groups(batches, 5):
+        """Places that tasks know already, which stand first, and those that the groups' trees give."""
+        batches, names = iter(batches), ["part", "owner", "text_hash", "at", "size", "words"]
+        rest: list[pa.RecordBatch] = []
+        for b in batches:
+            known = b.column("part").null_count
+            if known:
+                yield b.slice(0, known).select([f.name for f in arrow_schema(PLACES)])
+            if known < b.num_rows:
+                rest.append(b.slice(known))
+                break
+        for _, (d, t, at, size, words) in _groups((b.select(names) for b in chain(rest, batches)), 5):
             d, t, at, size, words = d.view(np.int64), t.view(np.int64), at.view(np.int32), size.view(np.int32), words.view(U)
             ends = np.cumsum(size.astype(np.int64) + window - 1)
             start = _spans(ends - size - window + 1, size)
@@ -325,9 +334,8 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             starts = runs(d, t)
             yield record_batch({"doc_id": d[starts[:-1]], "th": t[starts[:-1]], "at": [at[i:j].tobytes() for i, j in zip(starts[:-1], starts[1:])]}, schema)
 
-    packed = second.where("part is not null").select("part", "owner", "text_hash", "at", "size", "words")
-    found = packed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(trees, PLACES)
-    found = found.unionByName(second.where("part is null").select("place", "owner", "text_hash", "at"))
+    second = docs.mapInArrow(candidates, SUFFIXES).repartition(n, F.coalesce("part", "place"))
+    found = second.sortWithinPartitions(F.col("part").isNotNull(), "part").mapInArrow(trees, PLACES)
     return found.repartition(n, "place").sortWithinPartitions("place").mapInArrow(documents, "doc_id long, th long, at binary")
 
 
