@@ -14,10 +14,12 @@ no context, the word before, the two words before, and the last very common
 word (which tells the language); one more counts the nodes in the document so
 far. Their log-odds are mixed by weights that the node's depth and the strength
 of the two-word slot choose (the gate), and p = sigmoid(weights . log-odds). The
-weights are refined online, block by block: in training from the bits seen so
-far, in scoring from the start of the document on, so a score depends on the
-document and the trained model alone. The bits of spelled words have predictors
-for two, three and five bytes before, mixed by fixed-size gated weights too.
+weights are refined online, in every document after its first 32 bits, the next
+32, 64 and so on: in training from the bits seen so far, in scoring from the
+start of the document on, so a score depends on the document and the trained
+model alone. Documents run side by side, as the lanes of one vector. The bits of
+spelled words have predictors for two, three and five bytes before, mixed by
+fixed-size gated weights too.
 
 Training gathers exact counts of all words and the slots of all training
 documents from every task; what is broadcast has a fixed size.
@@ -26,22 +28,24 @@ documents from every task; what is broadcast has a fixed size.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
+import math
 from collections.abc import Iterator
-from itertools import islice
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkstrata.llm.common import arrow_schema, id_text, materialize, mix, n_partitions, record_batch, runs, sliced, texts
+from sparkstrata.llm.common import arrow_schema, id_text, materialize, mix, n_partitions, record_batch, runs, sliced
 
 #: Words of the code; most words whose exact counts every task holds.
 CODE_WORDS = 8190
 HELD_WORDS = 1 << 18
+#: A task merges the word counts that it has gathered over so many.
+MOST_KINDS = 2_000_000
 #: Slots of each predictor's table.
 SLOTS = 1 << 19
 SPELL_SLOTS = 1 << 19
@@ -49,7 +53,10 @@ SPELL_SLOTS = 1 << 19
 COMMON = 64
 N_CONTEXTS = 4  # predictors with slots; the document's own counts are one more
 N_DEPTHS = 16
-RATE = 0.02
+#: Bits of a document after which it refines its weights first, and most bits between two times.
+FIRST_BLOCK, LAST_BLOCK = 32, 8192
+#: Steps of the weights of a document that is scored, and of training, where many documents make one step.
+RATE, TRAIN_RATE = 0.02, 0.01
 #: What a word's count outside the code gives up for the spelling.
 DISCOUNT = 0.6
 #: Prior chance that a token repeats the one before.
@@ -65,53 +72,74 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == MASK7, F.lit(False))
 
 
-class Numbers(dict):
-    """Numbers of words in the order in which they are first asked for."""
+#: Random odd weights of bytes and of the places in a word.
+BYTE_WEIGHTS = mix(np.arange(1, 257, dtype=U) << U(32)) | U(1)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+BLANK = np.isin(np.arange(256), [*range(9, 14), 32])
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
 
+class Words:
+    """The words of texts, A-Z lower-cased: their hashes, places and the number in each text.
 
-class Vocabulary:
-    """Words seen by a worker as small numbers, with what is known of each."""
+    A word's hash is the sum of the products of its bytes' and its places'
+    weights, mixed.
+    """
 
-    MOST = 400_000
+    places = mix(np.arange(1, 4097, dtype=U)) | U(1)
+
+    def __init__(self, texts: pa.Array):
+        own = pc.fill_null(texts.cast(pa.string()), "")
+        _, offsets, data = own.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[own.offset : own.offset + len(own) + 1].astype(np.int64) if len(own) else np.zeros(1, np.int64)
+        data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        offsets -= offsets[0]
+        inside = ~BLANK[data]
+        new = inside.copy()
+        new[1:] &= ~inside[:-1]
+        cut = offsets[:-1][offsets[:-1] < offsets[1:]]
+        new[cut] = inside[cut]
+        self.starts = np.flatnonzero(new)
+        last = inside.copy()
+        last[:-1] &= ~inside[1:]
+        last[cut[1:] - 1] = inside[cut[1:] - 1]
+        self.sizes = np.flatnonzero(last) + 1 - self.starts
+        self.text_bytes = np.diff(offsets)
+        self.per_text = np.diff(np.searchsorted(self.starts, offsets))
+        self.data = LOWER[data]
+        first = np.cumsum(self.sizes) - self.sizes
+        bytes_ = self.data[inside]
+        place = np.arange(len(bytes_)) - np.repeat(first, self.sizes)
+        if len(place) and (longest := int(self.sizes.max())) > len(Words.places):
+            Words.places = mix(np.arange(1, 2 * longest + 1, dtype=U)) | U(1)
+        products = BYTE_WEIGHTS[bytes_] * Words.places[place]
+        self.hash = mix(np.add.reduceat(products, first) + self.sizes.astype(U)) if len(first) else np.zeros(0, U)
+
+    def spelled(self, which: np.ndarray) -> list[bytes]:
+        """The bytes of some words."""
+        data = self.data.tobytes()
+        return [data[a : a + n] for a, n in zip(self.starts[which].tolist(), self.sizes[which].tolist())]
 
-    def __init__(self, model: "Model | None" = None):
+
+class Vocabulary:
+    """The distinct words of a batch of texts as numbers, with what is known of each."""
+
+    def __init__(self, model: "Model"):
         self.model = model
-        self.clear()
-
-    def clear(self) -> None:
-        self.codes = Numbers()
-        self.hash = np.zeros(0, U)
-        self.leaf = np.zeros(0, np.int32)
-        self.count = np.zeros(0, np.int64)
-        self.spelled = np.zeros(0)
-
-    def number(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The words of each text as numbers."""
-        if len(self.codes) > self.MOST:
-            self.clear()
-        done, out = len(self.codes), []
-        for t in texts:
-            own = t.lower().split()
-            out.append(np.fromiter(map(self.codes.__getitem__, own), np.int32, len(own)))
-        new = list(islice(reversed(self.codes), len(self.codes) - done))[::-1]
-        if new:
-            h = np.array([xxhash.xxh64_intdigest(w) for w in new], U)
-            self.hash = np.append(self.hash, h)
-            if self.model is not None:
-                self.leaf = np.append(self.leaf, self.model.leaf_of(h))
-                self.count = np.append(self.count, self.model.count_of(h))
-                rare = self.leaf[done:] == self.model.escape
-                cost = np.zeros(len(new))
-                if rare.any():
-                    cost[rare] = self.model.spelling.costs([w for w, r in zip(new, rare) if r])
-                    held = rare & (self.count[done:] >= 0)
-                    cost[held] = self.model.with_count(cost[held], self.count[done:][held])
-                self.spelled = np.append(self.spelled, cost)
-        return out
+
+    def number(self, texts: pa.Array, spell: bool = True) -> list[np.ndarray]:
+        """The words of each text as numbers; what is known of the texts before is dropped."""
+        self.words = Words(texts)
+        self.hash, self.first, at = np.unique(self.words.hash, return_index=True, return_inverse=True)
+        self.leaf, self.count = self.model.known(self.hash)
+        if spell:
+            self.spelled = np.zeros(len(self.hash))
+            rare = np.flatnonzero(self.leaf == self.model.escape)
+            if len(rare):
+                self.spelled[rare] = self.model.spelling.costs(self.words.spelled(self.first[rare]))
+                held = rare[self.count[rare] >= 0]
+                self.spelled[held] = self.model.with_count(self.spelled[held], self.count[held])
+        return np.split(at.astype(np.int32), np.cumsum(self.words.per_text)[:-1]) if len(texts) else []
 
 
 def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,6 +178,19 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U32(13))
 
 
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of spans of the given sizes, laid end to end."""
+    upto = np.cumsum(size)
+    return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(start - (upto - size), size)
+
+
+@lru_cache(1 << 16)
+def _no_repeats(n: int) -> float:
+    """Log probability that none of ``n`` tokens repeats the one before: a ratio of gamma functions."""
+    a, b = sum(REPEAT), REPEAT[1]
+    return math.lgamma(n + b) - math.lgamma(b) - math.lgamma(n + a) + math.lgamma(a)
+
+
 def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log-odds of counts, drawn towards 0 where there are few."""
     return np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32)
@@ -261,27 +302,25 @@ class Model:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return at, self.hashes[at] == h
 
-    def leaf_of(self, h: np.ndarray) -> np.ndarray:
+    def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leaves, exact training counts) of words; the escape and -1 for those that aren't held."""
         at, known = self._place(h)
-        return np.where(known, self.leaves[at], self.escape).astype(np.int32) if len(self.leaves) else np.full(len(h), self.escape, np.int32)
-
-    def count_of(self, h: np.ndarray) -> np.ndarray:
-        """Exact training counts of the held words, -1 for others."""
-        at, known = self._place(h)
-        return np.where(known, self.counts[at], -1) if len(self.counts) else np.full(len(h), -1, np.int64)
+        if not len(self.hashes):
+            return np.full(len(h), self.escape, np.int32), np.full(len(h), -1, np.int64)
+        return np.where(known, self.leaves[at], self.escape).astype(np.int32), np.where(known, self.counts[at], -1)
 
     def steps(self, leaves: np.ndarray, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Events of documents laid end to end: (rows of node, bit as -1 or 1 and gate, slots of each context, first event of each document).
 
         ``leaves`` are the tokens' leaves, each document's end included; ``words``
-        their numbers, by which repeats are told, with a number of its own for an
-        end; ``starts`` the first token of each document.
+        their numbers, by which repeats are told, below 0 for an end, which is
+        never a repeat; ``starts`` the first token of each document.
         """
         n = len(leaves)
         first_of = np.repeat(starts, np.diff(np.append(starts, n)))
         index = np.arange(n)
         same = np.zeros(n, bool)
-        same[1:] = words[1:] == words[:-1]
+        same[1:] = (words[1:] == words[:-1]) & (words[1:] >= 0)
         prev = np.full(n, self.end, U32)
         prev[1:] = leaves[:-1]
         prev[starts] = self.end
@@ -311,7 +350,7 @@ class Model:
         same = np.zeros(len(words) + 1, bool)
         same[1:-1] = words[1:] == words[:-1]
         if not same.any():
-            return float(np.log1p(-REPEAT[0] / (np.arange(len(same)) + sum(REPEAT))).sum())
+            return float(_no_repeats(len(same)))
         after = np.append(False, same[:-1])
         total = 0.0
         for kind in (False, True):
@@ -321,47 +360,61 @@ class Model:
             total += float(np.log(np.where(s, p, 1 - p)).sum())
         return total
 
-    def run(self, odds: np.ndarray, weights: np.ndarray, node: np.ndarray, sign: np.ndarray, gates: np.ndarray, slots: list[np.ndarray], carry: bool = False) -> float:
-        """Log probability of a run of events; ``weights`` are refined in place after each block, after the last one too if they are carried on."""
-        total, at, block = 0.0, 0, 512
-        n_nodes = len(self.offsets)
-        own = np.full(2 * n_nodes if len(node) > block else 0, 0.4, np.float32)
-        while at < len(node):
-            s = slice(at, at + block)
+    def run(self, odds: np.ndarray, weights: np.ndarray, node: np.ndarray, sign: np.ndarray, gates: np.ndarray, slots: list[np.ndarray], firsts: np.ndarray, carry: bool = False) -> np.ndarray:
+        """Log probability of the events of each document, whose first events are ``firsts``.
+
+        After each block a document refines a copy of the ``weights`` of its own;
+        with ``carry`` all refine ``weights`` itself, after their last blocks too.
+        """
+        n_docs, n_nodes, n_gates = len(firsts), len(self.offsets), weights.shape[1]
+        size = np.diff(np.append(firsts, len(node)))
+        own = np.full(2 * n_nodes * n_docs, 0.4, np.float32)  # nodes with zeros and with ones of each document so far
+        if not carry:
+            weights = np.tile(weights, n_docs)
+        total, at, block = np.zeros(n_docs), 0, FIRST_BLOCK
+        while (lanes := np.flatnonzero(size > at)).size:
+            n = np.minimum(size[lanes] - at, block)
+            s, lane = _spans(firsts[lanes] + at, n), np.repeat(lanes, n)
             nd, b = node[s], sign[s]
             x = [odds[k][slots[k][s]] for k in range(N_CONTEXTS)]
-            if at:  # before that the document says nothing yet
+            nd += lane * (2 * n_nodes)
+            if at:  # before that a document's own counts say nothing: log-odds 0
                 x.append(np.log(own[nd + n_nodes] / own[nd]))
             gate = gates[s] + (np.abs(x[2]) > 1)
+            if not carry:
+                gate += lane * n_gates
             z = weights[0][gate] * x[0]
             for k in range(1, len(x)):
                 z += weights[k][gate] * x[k]
             z *= b
             np.clip(z, -11.5, 11.5, out=z)
             against = np.exp(-z)
-            total -= float(np.log1p(against).sum(dtype=np.float64))
+            total -= np.bincount(lane, np.log1p(against), n_docs)
             at += block
-            block *= 2
-            if carry or at < len(node):
-                error = against / (1 + against) * b * (RATE / np.sqrt(np.bincount(gate, minlength=N_DEPTHS * 2) + 16.0)).astype(np.float32)[gate]
-                for k in range(len(x)):
-                    weights[k] += np.bincount(gate, error * x[k], N_DEPTHS * 2).astype(np.float32)
-            if at < len(node):
-                np.add.at(own, nd + (b > 0) * n_nodes, np.float32(1))
+            block = min(2 * block, LAST_BLOCK)
+            if not carry:
+                on = np.repeat(size[lanes] > at, n)  # what is refined after a last block is never used
+                if not on.all():
+                    gate, nd, b, against, *x = (v[on] for v in (gate, nd, b, against, *x))
+            error = against / (1 + against) * b * ((TRAIN_RATE if carry else RATE) / np.sqrt(np.bincount(gate, minlength=weights.shape[1]) + 16.0)).astype(np.float32)[gate]
+            for k in range(len(x)):
+                weights[k] += np.bincount(gate, error * x[k], weights.shape[1]).astype(np.float32)
+            np.add.at(own, nd + (b > 0) * n_nodes, np.float32(1))
         return total
 
     def with_count(self, spelled: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Log probability of words after the escape from that of their spelling and their exact training count."""
-        share = np.maximum(count - DISCOUNT, 0) / self.rest
-        return np.log(share + np.exp(spelled) * max(DISCOUNT * self.rest_kinds / self.rest, 1e-3))
+        left = max(DISCOUNT * self.rest_kinds / self.rest, 1e-3)
+        full = max(1.0, (self.rest - DISCOUNT * self.rest_kinds) / self.rest + left)  # so that all shares add up to 1 at most
+        return np.log((np.maximum(count - DISCOUNT, 0) / self.rest + np.exp(spelled) * left) / full)
 
     def ready(self) -> None:
         self.stretch = np.stack([_odds(self.zeros[k], self.ones[k]) for k in range(N_CONTEXTS)])
 
     def _ends(self) -> float:
         """Log probability of an end alone."""
-        events, slots, _ = self.steps(np.array([self.end]), np.array([-1]), np.array([0]))
-        return self.run(self.stretch, self.weights.copy(), *events, slots)
+        events, slots, firsts = self.steps(np.array([self.end]), np.array([-1]), np.array([0]))
+        return float(self.run(self.stretch, self.weights, *events, slots, firsts)[0])
 
     def log_p(self, documents: list[np.ndarray], vocabulary: Vocabulary) -> list[float]:
         """Natural log probability of each document (word numbers) and its end, without the spelled words whose counts aren't held."""
@@ -376,13 +429,12 @@ class Model:
             held = (leaves == self.escape) & (vocabulary.count[tokens] >= 0)
             held[1:] &= tokens[1:] != tokens[:-1]
             spelled = np.add.reduceat(np.where(held, vocabulary.spelled[tokens], 0.0), starts)
-            for words, a, b, more in zip(group, firsts, np.append(firsts[1:], len(events[0])), spelled):
-                total = self.run(self.stretch, self.weights.copy(), *(x[a:b] for x in events), [x[a:b] for x in slots])
-                out.append(total + self.repeats(words) + float(more))
+            totals = self.run(self.stretch, self.weights, *events, slots, firsts)
+            out += [total + self.repeats(words) + more for words, total, more in zip(group, totals.tolist(), spelled.tolist())]
         return out
 
 
-def _together(documents: list[np.ndarray], most: int = 8192) -> Iterator[list[np.ndarray]]:
+def _together(documents: list[np.ndarray], most: int = 16384) -> Iterator[list[np.ndarray]]:
     """Documents in groups of some thousand words."""
     group, n = [], 0
     for words in documents:
@@ -444,21 +496,30 @@ def count_words(docs: DataFrame, bits: int) -> DataFrame:
     schema = arrow_schema("part long, hash binary, count binary")
 
     def local(batches):
-        counts: Counter[bytes] = Counter()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
-        def flush():
-            h = np.fromiter(map(xxhash.xxh64_intdigest, counts), U, len(counts))
+        def merged():
+            h, c = (np.concatenate([x[k] for x in found]) for k in (0, 1))
             order = np.argsort(h)
-            return _packed(h[order], bits, {"hash": h[order], "count": np.fromiter(counts.values(), np.int64, len(counts))[order]}, schema, {})
+            at = runs(h[order])[:-1]
+            return h[order][at], np.add.reduceat(c[order], at)
 
         for b in sliced(batches):
-            for t in texts(b):
-                counts.update(t.lower().split())
-            if len(counts) > Vocabulary.MOST:
-                yield flush()
-                counts.clear()
-        if counts:
-            yield flush()
+            h, c = np.unique(Words(b.column("text")).hash, return_counts=True)
+            if len(h):
+                found.append((h, c))
+                size += len(h)
+            if size > MOST_KINDS:
+                found[:] = [merged()]
+                size = len(found[0][0])
+                if size > MOST_KINDS // 2:
+                    yield _packed(found[0][0], bits, {"hash": found[0][0], "count": found[0][1]}, schema, {})
+                    found.clear()
+                    size = 0
+        if found:
+            h, c = merged()
+            yield _packed(h, bits, {"hash": h, "count": c}, schema, {})
 
     def summed(batches):
         out = arrow_schema("part long, n long, total long, hash binary, count binary")
@@ -529,30 +590,23 @@ def train(docs: DataFrame, bits: int) -> tuple[Model, DataFrame]:
         m.__dict__ = dict(held.value.__dict__)
         m.zeros, m.ones, m.weights = m.zeros.copy(), m.ones.copy(), m.weights.copy()
         m.spelling = Spelling()
-        own = Vocabulary(None)
-        own.model = _Leaves(m)
+        own = Vocabulary(m)
         events = 0
-        words: list[bytes] = []
         size = 1
 
         for b in batches:
             at = 0
             while at < b.num_rows:
-                if len(own.codes) > own.MOST:
-                    own.clear()
-                    words = []
-                numbers = own.number(texts(b.slice(at, size)))
+                numbers = own.number(b.column("text").slice(at, size), spell=False)
                 at, size = at + size, min(2 * size, 256)
-                words += list(islice(reversed(own.codes), len(own.codes) - len(words)))[::-1]
                 odds = [_odds(m.zeros[k], m.ones[k]) for k in range(N_CONTEXTS)] if events else None
                 rare, bits, all_slots = [], [], []
                 for group in _together(numbers):
                     tokens, starts = _joined(group)
-                    leaves = np.where(tokens < 0, m.end, own.leaf[tokens]) if len(own.codes) else np.full(len(tokens), m.end)
+                    leaves = np.where(tokens < 0, m.end, own.leaf[tokens]) if len(own.leaf) else np.full(len(tokens), m.end)
                     own_events, slots, firsts = m.steps(leaves, tokens, starts)
                     if odds:
-                        for i, j in zip(firsts, np.append(firsts[1:], len(own_events[0]))):
-                            m.run(odds, m.weights, *(x[i:j] for x in own_events), [x[i:j] for x in slots], carry=True)
+                        m.run(odds, m.weights, *own_events, slots, firsts, carry=True)
                     bits.append(own_events[1])
                     all_slots.append(slots)
                     r = leaves == m.escape
@@ -566,7 +620,7 @@ def train(docs: DataFrame, bits: int) -> tuple[Model, DataFrame]:
                 events += len(bit)
                 kinds, times = np.unique(np.concatenate(rare), return_counts=True)
                 if len(kinds):
-                    m.spelling.learn([words[k] for k in kinds], times)
+                    m.spelling.learn(own.words.spelled(own.first[kinds]), times)
         if not events:
             return
         tables = [*zip(m.zeros, m.ones), *zip(m.spelling.zeros, m.spelling.ones)]
@@ -623,24 +677,6 @@ def train(docs: DataFrame, bits: int) -> tuple[Model, DataFrame]:
     return model, counts
 
 
-class _Leaves:
-    """What training needs of a model to number words."""
-
-    def __init__(self, model: Model):
-        self.escape = model.escape
-        self.leaf_of = model.leaf_of
-        self.spelling = self
-
-    def count_of(self, h):
-        return np.zeros(len(h), np.int64)
-
-    def costs(self, words):
-        return np.zeros(len(words))
-
-    def with_count(self, spelled, count):
-        return spelled
-
-
 def score_documents(docs: DataFrame) -> DataFrame:
     """Scores of every whole text of ``docs`` by a model of those that aren't held out.
 
@@ -685,10 +721,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                data = texts(part)
-                numbers = own.number(data)
+                column = part.column("text")
+                numbers = own.number(column)
+                data = own.words.text_bytes.tolist()
                 rows: dict[str, list] = {k: [] for k in arrow.names}
-                for d, out, text, words, log_p in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), data, numbers, m.log_p(numbers, own)):
+                for d, out, n_bytes, words, log_p in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), data, numbers, m.log_p(numbers, own)):
                     kinds, times = np.unique(words, return_counts=True)
                     c = own.count[kinds]
                     here = c >= 0
@@ -700,7 +737,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                         fresh = np.bincount(np.searchsorted(kinds, fresh), minlength=len(kinds))[~here]
                         asked.append((own.hash[far], np.full(len(far), row, np.int32), times[~here].astype(np.int32), own.spelled[far].astype(np.float32), fresh.astype(np.int32)))
                         size += len(far)
-                    values = (0, None, task, row, d, out, len(words) + 1, len(text), known + (m.documents > 0), logs + np.log10(m.documents + 1.0), log_p / ln10, None, None, None, None, None)
+                    values = (0, None, task, row, d, out, len(words) + 1, n_bytes, known + (m.documents > 0), logs + np.log10(m.documents + 1.0), log_p / ln10, None, None, None, None, None)
                     for k, x in zip(arrow.names, values):
                         rows[k].append(x)
                     row += 1

@@ -249,12 +249,116 @@ def test_short_texts_refine_all_weights(spark, monkeypatch):
     assert (model.spelling.weights != fresh.spelling.weights).any(axis=1).sum() >= 6
     model.ready()
     long_ = np.array(r.choices(range(5), k=400), np.int32)
-    events, slots, _ = model.steps(long_, np.arange(400), np.array([0]))
+    events, slots, firsts = model.steps(long_, np.arange(400), np.array([0]))
     weights = model.weights.copy()
-    model.run(model.stretch, weights, *events, slots, carry=True)
+    model.run(model.stretch, weights, *events, slots, firsts, carry=True)
     assert len(events[0]) > 600 and (weights[-1] != model.weights[-1]).any()
 
 
+def plain_score(model, text):
+    """The score of a text, event by event: the code's bits, the repeats, the spelling."""
+    u32, u64 = (1 << 32) - 1, (1 << 64) - 1
+
+    def spread(x):
+        x = x * 0x9E3779B1 & u32
+        x ^= x >> 15
+        x = x * 0x2C1B3C6D & u32
+        return x ^ x >> 13
+
+    def mixed(h):
+        h ^= h >> 32
+        h = h * 0x9E3779B97F4A7C15 & u64
+        h ^= h >> 29
+        h = h * 0xD6E8FEB86659FD93 & u64
+        return h ^ h >> 32
+
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    odds = lambda zeros, ones: math.log((ones + 0.4) / (zeros + 0.4))
+    words = text.encode().lower().split()
+    byte_weight = [mixed(k << 32) | 1 for k in range(1, 257)]
+    hashes = [mixed((sum(byte_weight[c] * (mixed(k + 1) | 1) for k, c in enumerate(w)) + len(w)) & u64) for w in words]
+    held = {int(h): (int(leaf), int(c)) for h, leaf, c in zip(model.hashes, model.leaves, model.counts)}
+    known = [held.get(h, (model.escape, -1)) for h in hashes]
+    leaves = [k[0] for k in known] + [model.end]
+    same = [False] + [a == b for a, b in zip(words[1:], words)] + [False]
+    if not words:
+        same = [False]
+    total = 0.0
+    seen = {False: [0, 0], True: [0, 0]}  # tokens and repeats after what is no repeat, and after a repeat
+    after = False
+    for x in same:
+        n, k = seen[after]
+        p = (k + 1) / (n + 2) if after else (k + 1) / (n + 401)
+        total += math.log(p if x else 1 - p)
+        seen[after][0] += 1
+        seen[after][1] += x
+        after = x
+    events, topic = [], 64
+    for k, leaf in enumerate(leaves):
+        if not same[k]:
+            one = leaves[k - 1] if k else model.end
+            two = leaves[k - 2] if k > 1 else model.end
+            contexts = [None, one + (1 << 20), one * 8209 + two + (2 << 20), topic + (3 << 20)]
+            for depth, at in enumerate(range(model.offsets[leaf], model.offsets[leaf + 1])):
+                node = int(model.nodes[at])
+                slots = [node if c is None else (spread(c & u32) & context_mixing.SLOTS - 1) ^ (spread(node) & context_mixing.SLOTS - 1) for c in contexts]
+                events.append((node, model.signs[at], min(depth, 15) * 2, slots))
+        if leaf < 64:
+            topic = leaf
+    weights = model.weights.astype(float).copy()
+    own = {}
+    at, block = 0, 32
+    while at < len(events):
+        errors, gates = [], Counter()
+        for node, sign, gate, slots in events[at : at + block]:
+            x = [odds(float(model.zeros[k][slot]), float(model.ones[k][slot])) for k, slot in enumerate(slots)]
+            zeros, ones = own.get(node, (0.4, 0.4))
+            x.append(math.log(ones / zeros) if at else 0.0)
+            gate += abs(x[2]) > 1
+            z = max(-11.5, min(11.5, sign * sum(w * v for w, v in zip(weights[:, gate], x))))
+            total += math.log(sigmoid(z))
+            errors.append((gate, (1 - sigmoid(z)) * sign, x))
+            gates[gate] += 1
+        for gate, e, x in errors:
+            weights[: len(x), gate] += np.array(x) * e * 0.02 / math.sqrt(gates[gate] + 16)
+        for node, sign, *_ in events[at : at + block]:
+            zeros, ones = own.get(node, (0.4, 0.4))
+            own[node] = (zeros, ones + 1) if sign > 0 else (zeros + 1, ones)
+        at, block = at + block, block * 2
+    for k, w in enumerate(words):
+        if leaves[k] != model.escape or same[k]:
+            continue
+        spelled, data = 0.0, b"\0" * 5 + w + b" "
+        for j in range(5, len(data)):
+            for bit in range(8):
+                x = []
+                for o in (2, 3, 5):
+                    before = sum(data[j - b] << 8 * (b - 1) for b in range(1, o + 1))
+                    slot = ((mixed(before + (o << 56) & u64) & u32) ^ spread((data[j] | 256) >> (8 - bit))) & context_mixing.SPELL_SLOTS - 1
+                    order = (2, 3, 5).index(o)
+                    x.append(odds(float(model.spelling.zeros[order][slot]), float(model.spelling.ones[order][slot])))
+                p = min(max(sigmoid(max(-12, min(12, float(np.dot(model.spelling.weights[bit], x))))), 1e-5), 1 - 1e-5)
+                spelled += math.log(p if data[j] >> (7 - bit) & 1 else 1 - p)
+        share = max(max(known[k][1], 0) - 0.6, 0) / model.rest
+        left = max(0.6 * model.rest_kinds / model.rest, 1e-3)
+        total += math.log((share + math.exp(spelled) * left) / max(1.0, (model.rest - 0.6 * model.rest_kinds) / model.rest + left))
+    return total / math.log(10)
+
+
+@pytest.mark.parametrize("code", [8190, 12])
+def test_scores_equal_a_plain_scorer(spark, docs, monkeypatch, code):
+    monkeypatch.setattr(context_mixing, "CODE_WORDS", code)
+    own = docs.where("length(coalesce(text, '')) < 6000").withColumn("held_out", F.lit("clash"))
+    extra = spark.createDataFrame([(900, "a a a a b b unheard unheard \u00c9lan " * 3), (901, "solitaire" * 40), (902, "?")], "doc_id long, text string")
+    own = own.select("doc_id", "text", "held_out").unionByName(extra.withColumn("held_out", F.lit("")))
+    model, _ = context_mixing.train(context_mixing.id_text(own).where(~context_mixing.held_out()), 4)
+    got = {(x.doc_id, x.n_tokens): x.score for x in context_mixing.score_documents(own).collect()}
+    assert len(got) > 50
+    for r in own.collect():
+        score = got[r.doc_id, len((r.text or "").encode().split()) + 1]
+        assert abs(plain_score(model, r.text or "") - score) < 1e-3 * max(1, abs(score)), (r.doc_id, r.text)
+
+
 def test_second_word_before_decides():
     """A word that only the two words before tell: their predictor alone sees it."""
     model = context_mixing.Model(np.array([11, 22, 33, 44], np.uint64), np.array([9, 9, 9, 9]), 40, 5, 4)
