@@ -353,6 +353,11 @@ def called_by(functions: DataFrame, call_edges: DataFrame) -> DataFrame:
     return out.withColumn("called_by", F.coalesce("called_by", F.array().cast("array<string>")))
 
 
+def functions_of_files(functions: DataFrame) -> DataFrame:
+    """(file, functions): the functions (file, name, ord) of each file as structs (ord, name) in their order."""
+    return functions.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("functions"))
+
+
 def edges_of_file(call_edges: DataFrame, functions: DataFrame) -> DataFrame:
     """(file, source, target): call edges with an end in each file; the OR of two conditions is a union of two joins."""
     where = functions.select(F.col("id").alias("end"), "file")

@@ -809,3 +809,6 @@ def focus_limited_side(spark, d):
 def issue_highlight(spark, d):
     f = files(spark, d)
     return context.with_confidence(f.select("id"), f.where("partkey % 4 = 0").select("id", F.col("size").cast("long").alias("confidence")))
+
+
+from sparkstrata.plans import more  # noqa: E402, F401  (registers its queries)
