@@ -721,26 +721,27 @@ def score_documents(docs: DataFrame) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                column = part.column("text")
-                numbers = own.number(column)
-                data = own.words.text_bytes.tolist()
-                rows: dict[str, list] = {k: [] for k in arrow.names}
-                for d, out, n_bytes, words, log_p in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), data, numbers, m.log_p(numbers, own)):
-                    kinds, times = np.unique(words, return_counts=True)
-                    c = own.count[kinds]
-                    here = c >= 0
-                    logs = float((np.log10(c[here] + 1.0) * times[here]).sum())
-                    known = int(times[here & (c > 0)].sum())
-                    far = kinds[~here]
-                    if len(far):
-                        fresh = words[np.append(True, words[1:] != words[:-1])]
-                        fresh = np.bincount(np.searchsorted(kinds, fresh), minlength=len(kinds))[~here]
-                        asked.append((own.hash[far], np.full(len(far), row, np.int32), times[~here].astype(np.int32), own.spelled[far].astype(np.float32), fresh.astype(np.int32)))
-                        size += len(far)
-                    values = (0, None, task, row, d, out, len(words) + 1, n_bytes, known + (m.documents > 0), logs + np.log10(m.documents + 1.0), log_p / ln10, None, None, None, None, None)
-                    for k, x in zip(arrow.names, values):
-                        rows[k].append(x)
-                    row += 1
+                numbers = own.number(part.column("text"))
+                tokens = np.concatenate([np.zeros(0, np.int32), *numbers])
+                n_words = np.array([len(x) for x in numbers])
+                doc = np.repeat(np.arange(len(numbers)), n_words)
+                here = own.count >= 0
+                logs = np.bincount(doc, np.where(here, np.log10(np.maximum(own.count, 0) + 1.0), 0.0)[tokens], len(numbers))
+                known = np.bincount(doc, (own.count > 0)[tokens], len(numbers)).astype(np.int64)
+                far = np.flatnonzero(~here[tokens])
+                if len(far):  # words whose counts aren't held, each once for a document
+                    fresh = np.append(True, (tokens[1:] != tokens[:-1]) | (doc[1:] != doc[:-1]))[far]
+                    pairs, at_pair = np.unique(doc[far] * len(own.hash) + tokens[far], return_inverse=True)
+                    kind = pairs % len(own.hash)
+                    times, times_fresh = np.bincount(at_pair), np.bincount(at_pair, fresh)
+                    asked.append((own.hash[kind], (row + pairs // len(own.hash)).astype(np.int32), times.astype(np.int32), own.spelled[kind].astype(np.float32), times_fresh.astype(np.int32)))
+                    size += len(pairs)
+                n, none = len(numbers), [None] * len(numbers)
+                rows = dict(zip(arrow.names, (
+                    [0] * n, none, [task] * n, range(row, row + n), part.column("doc_id"), part.column("held_out"), n_words + 1, own.words.text_bytes,
+                    known + (m.documents > 0), logs + np.log10(m.documents + 1.0), np.array(m.log_p(numbers, own)) / ln10, none, none, none, none, none,
+                )))
+                row += n
                 yield record_batch(rows, arrow)
                 if size >= 2_000_000:
                     yield flush()
