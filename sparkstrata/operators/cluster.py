@@ -167,3 +167,23 @@ def representatives(module_files: DataFrame, proposed: DataFrame) -> DataFrame:
     x = x.withColumn("nk", F.sum(F.col("key").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     ok = F.when(F.col("any"), F.col("key") & (F.when(F.col("module_id") == "module_infra", F.col("nk") <= 4).otherwise(True))).otherwise(F.col("n") <= 2)
     return x.where(ok).select("module_id", "id")
+
+
+def by_importance(modules: DataFrame) -> DataFrame:
+    """Modules (module_id, importance) with their place (nth) by falling importance, ties by module_id; null importance comes last.
+
+    A repository has as many modules as its clustering allows, so one task orders them.
+    """
+    return modules.withColumn("nth", F.row_number().over(Window.orderBy(F.desc_nulls_last("importance"), "module_id")).cast("long"))
+
+
+def representatives_first(module_files: DataFrame, representative: DataFrame, most: int | None = 30) -> DataFrame:
+    """(module_id, id, is_representative, nth): a module's files (module_id, id, ord), those that stand for it before the others.
+
+    Both keep their order; ``most`` are shown of each module, None shows all.
+    """
+    marked = representative.select("module_id", "id", F.lit(True).alias("r")).distinct()
+    x = module_files.join(marked, ["module_id", "id"], "left").withColumn("is_representative", F.coalesce("r", F.lit(False)))
+    n = F.row_number().over(Window.partitionBy("module_id").orderBy(F.desc("is_representative"), "ord", "id")).cast("long")
+    x = x.select("module_id", "id", "is_representative", n.alias("nth"))
+    return x if most is None else x.where(F.col("nth") <= most)

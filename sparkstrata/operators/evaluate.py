@@ -29,6 +29,20 @@ def retrieval_metrics(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
+def truth_of_pulls(pulls: DataFrame) -> DataFrame:
+    """(query, id): the files that an issue's merged pulls change, or its closed ones' where none is merged.
+
+    ``pulls`` has (query, is_merged, state, changed_files); paths get forward
+    slashes and lose a leading ./, each comes once. Null flags count as not
+    merged, null lists as empty; issues with open pulls alone have no rows.
+    """
+    merged = F.coalesce("is_merged", F.lit(False))
+    own = pulls.withColumn("merged", merged).withColumn("any", F.bool_or("merged").over(Window.partitionBy("query")))
+    own = own.where(F.col("merged") | (~F.col("any") & (F.col("state") == "closed")))
+    path = F.regexp_replace(F.translate("file", "\\", "/"), r"^\./", "")
+    return own.select("query", F.explode("changed_files").alias("file")).select("query", path.alias("id")).where("id is not null").distinct()
+
+
 def mean_metrics(metrics: DataFrame) -> DataFrame:
     """One row with the means of all metrics over the queries."""
     return metrics.agg(F.count("*").alias("n_queries"), *[F.avg(c).alias(c) for c in metrics.columns if c != "query"])

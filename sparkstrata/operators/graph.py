@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkstrata.functions.text import half_up
@@ -21,22 +21,28 @@ CUT_EVERY = 3
 TASK_EDGES = 1_000_000
 
 
-def cut_lineage(df: DataFrame, name: str = "graph") -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` and read again.
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path for a new table in the folder that ``spark.checkpoint.dir`` names; deleted when the session ends.
 
     A temporary folder is used only where none is set and all tasks run on this
     machine; on a cluster that would lose rows, so it is an error there.
     """
-    spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = cut_lineage.own = getattr(cut_lineage, "own", None) or tempfile.mkdtemp(prefix="strata-")
+        base = new_folder.own = getattr(new_folder, "own", None) or tempfile.mkdtemp(prefix="strata-")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def cut_lineage(df: DataFrame, name: str = "graph") -> DataFrame:
+    """``df`` written to the folder in ``spark.checkpoint.dir`` and read again."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkstrata.functions import classify as C
 from sparkstrata.functions import text as T
-from sparkstrata.operators import graph, index
+from sparkstrata.operators import cluster, evaluate, graph, index
 from sparkstrata.plans.queries import query
 from sparkstrata.plans.views import file_edges, files, functions, sql, supply, table
 from sparkstrata.sources import listing
@@ -190,7 +190,7 @@ def inline_index(spark, d):
 
 
 RETRIEVAL = """e AS (SELECT DISTINCT source, target, length(source) % 2 = 0 AS re FROM file_edges), t AS (SELECT source AS id, count(DISTINCT target) FILTER (re) AS n FROM e GROUP BY source),
-    r AS (SELECT f.id, coalesce(t.n, 0) AS n, CASE WHEN partkey % 3 > 0 THEN 1 ELSE 0 END AS nf, CASE WHEN partkey % 5 = 0 THEN 1 ELSE 0 END AS ns FROM files f LEFT JOIN t ON f.id = t.id),
+    r AS (SELECT f.id, coalesce(t.n, 0) AS n, CASE WHEN size % 7 <> 0 THEN 1 ELSE 0 END AS nf, CASE WHEN size % 7 = 0 AND size < 30 THEN 1 ELSE 0 END AS ns FROM files f LEFT JOIN t ON f.id = t.id),
     q AS (SELECT *, nf = 0 AND ns = 0 AND n > 0 AS barrel FROM r)"""
 
 
@@ -198,5 +198,48 @@ RETRIEVAL = """e AS (SELECT DISTINCT source, target, length(source) % 2 = 0 AS r
 def retrieval_rows(spark, d):
     f = files(spark, d)
     e = file_edges(spark, d).withColumn("kind", F.when(F.length("source") % 2 == 0, "re-export").otherwise("static"))
-    x = index.retrieval_index(f.select("id", F.lit(False).alias("is_barrel")), e, functions(spark, d).where("ord % 3 > 0"), functions(spark, d).where("ord % 5 = 0"))
+    x = index.retrieval_index(f.select("id", F.lit(False).alias("is_barrel")), e, functions(spark, d).where("kind = 'function'"), f.where("size % 7 = 0 and size < 30").select(F.col("id").alias("file")))
     return x.select("id", "is_barrel", "semantic_role", "n_functions", "n_structures", F.size("barrel_targets").cast("long").alias("n_targets"))
+
+
+PULLS = "pulls AS (SELECT o_custkey AS query, o_orderpriority = '1-URGENT' AS is_merged, CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'closed' END AS state, o_orderkey FROM orders)"
+
+
+@query("WITH " + PULLS + """ SELECT DISTINCT p.query, 'src/P' || l_partkey AS id FROM (SELECT *, bool_or(is_merged) OVER (PARTITION BY query) AS has_key FROM pulls) p JOIN lineitem ON l_orderkey = o_orderkey
+    WHERE is_merged OR (NOT has_key AND state = 'closed')""")
+def truth_of_pulls(spark, d):
+    changed = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.concat(F.lit(".\\src\\P"), "l_partkey")).alias("changed_files"))
+    o = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("query"), (F.col("o_orderpriority") == "1-URGENT").alias("is_merged"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("state"), "o_orderkey"
+    )
+    return evaluate.truth_of_pulls(o.join(changed, F.col("o_orderkey") == F.col("l_orderkey"), "left"))
+
+
+@query("SELECT p_brand AS module_id, avg(p_size) AS importance, row_number() OVER (ORDER BY avg(p_size) DESC, p_brand) AS nth FROM part GROUP BY p_brand")
+def modules_by_importance(spark, d):
+    return cluster.by_importance(table(spark, d, "part").groupBy(F.col("p_brand").alias("module_id")).agg(F.avg("p_size").alias("importance")))
+
+
+REPRESENTATIVES = """m AS (SELECT CASE WHEN size < 10 THEN 'module_infra' ELSE p_brand END AS module_id, id, size FROM files),
+    k AS (SELECT *, module_id <> 'module_infra' AND size % 7 = 0 AS key, row_number() OVER (PARTITION BY module_id ORDER BY size DESC, id) AS n FROM m),
+    r AS (SELECT module_id, id FROM (SELECT *, bool_or(key) OVER (PARTITION BY module_id) AS has_key FROM k) WHERE CASE WHEN has_key THEN key ELSE n <= 2 END)"""
+
+
+def _module_files(spark, d):
+    at = F.when(F.col("size") < 10, "module_infra").otherwise(F.col("p_brand"))
+    return files(spark, d).select(at.alias("module_id"), "id", F.col("size").alias("importance"), F.col("partkey").alias("ord"))
+
+
+def _representatives(spark, d):
+    f = _module_files(spark, d)
+    return cluster.representatives(f, f.where("importance % 7 = 0").select("module_id", "id"))
+
+
+@query(sql("files", "SELECT module_id, id FROM r", more=REPRESENTATIVES))
+def representatives(spark, d):
+    return _representatives(spark, d)
+
+
+@query(sql("files", "SELECT module_id, id, is_representative, nth FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY is_representative DESC, partkey, id) AS nth FROM (SELECT CASE WHEN f.size < 10 THEN 'module_infra' ELSE f.p_brand END AS module_id, f.id, f.partkey, r.id IS NOT NULL AS is_representative FROM files f LEFT JOIN r ON f.id = r.id)) WHERE nth <= 30", more=REPRESENTATIVES))
+def representatives_first(spark, d):
+    return cluster.representatives_first(_module_files(spark, d), _representatives(spark, d))

@@ -119,9 +119,9 @@ def dominant_source(spark, d):
     return graph.dominant(table(spark, d, "documents"), "source")
 
 
-@query(sql("copurchase", "SELECT id, count(*) AS degree FROM (SELECT source AS id FROM copurchase UNION ALL SELECT target FROM copurchase) WHERE id IN (SELECT p_partkey FROM part WHERE p_size < 25) GROUP BY id ORDER BY degree DESC, id LIMIT 8"))
+@query(sql("copurchase", "SELECT id, count(*) AS degree FROM (SELECT source AS id FROM copurchase UNION ALL SELECT target FROM copurchase) WHERE id IN (SELECT p_partkey FROM part) GROUP BY id ORDER BY degree DESC, id LIMIT 8"))
 def most_connected(spark, d):
-    return graph.most_connected(table(spark, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("id")), copurchase(spark, d))
+    return graph.most_connected(table(spark, d, "part").select(F.col("p_partkey").alias("id")), copurchase(spark, d))
 
 
 @query(sql("copurchase", "SELECT DISTINCT id FROM (SELECT target AS id FROM copurchase WHERE source = 7 UNION SELECT source FROM copurchase WHERE target = 7) ORDER BY id LIMIT 5"))
@@ -187,11 +187,11 @@ def focus_folders(spark, d):
 
 
 @query(sql("copurchase", """SELECT DISTINCT a.source, b.target FROM copurchase a JOIN copurchase b ON a.target = b.source
-    WHERE a.source IN (SELECT p_partkey FROM part WHERE p_size % 10 = 0) AND b.target IN (SELECT p_partkey FROM part WHERE p_size % 10 = 0)
-    AND a.target NOT IN (SELECT p_partkey FROM part WHERE p_size % 10 = 0) AND a.source <> b.target
+    WHERE a.source IN (SELECT p_partkey FROM part WHERE p_type <> 'PROMO') AND b.target IN (SELECT p_partkey FROM part WHERE p_type <> 'PROMO')
+    AND a.target NOT IN (SELECT p_partkey FROM part WHERE p_type <> 'PROMO') AND a.source <> b.target
     AND NOT EXISTS (SELECT 1 FROM copurchase c WHERE c.source = a.source AND c.target = b.target)"""))
 def ghost_edges(spark, d):
-    return graph.ghost_edges(copurchase(spark, d), table(spark, d, "part").where("p_size % 10 = 0").select(F.col("p_partkey").alias("id")), None)
+    return graph.ghost_edges(copurchase(spark, d), table(spark, d, "part").where("p_type <> 'PROMO'").select(F.col("p_partkey").alias("id")), None)
 
 
 @query(sql("copurchase", """SELECT id, CASE WHEN count(DISTINCT k) = 2 THEN 'cyc' WHEN min(k) = 'o' THEN 'out' ELSE 'in' END AS direction
@@ -273,11 +273,11 @@ def barrel_functions(spark, d):
     return resolve.barrel_functions(b, functions(spark, d)).select("barrel", "source_file", "name")
 
 
-@query(sql("files", "SELECT DISTINCT q.id AS query, coalesce(t.target, q.id) AS id FROM (SELECT id FROM files WHERE partkey % 5 = 0) q LEFT JOIN (SELECT a.id, b.id AS target FROM files a JOIN files b ON b.partkey = a.partkey + 1 WHERE a.partkey % 10 = 0) t ON q.id = t.id"))
+@query(sql("files", "SELECT DISTINCT q.id AS query, coalesce(t.target, q.id) AS id FROM files q LEFT JOIN (SELECT a.id, b.id AS target FROM files a JOIN files b ON b.partkey = a.partkey + 1 WHERE a.partkey % 10 = 0) t ON q.id = t.id"))
 def barrel_expansion(spark, d):
     f = files(spark, d)
     t = f.where("partkey % 10 = 0").select("id", (F.col("partkey") + 1).alias("k")).join(f.select(F.col("partkey").alias("k"), F.col("id").alias("target")), "k").select("id", "target")
-    return rank.expand_barrels(f.where("partkey % 5 = 0").select(F.col("id").alias("query"), "id"), t)
+    return rank.expand_barrels(f.select(F.col("id").alias("query"), "id"), t)
 
 
 @query(sql("files", "SELECT regexp_replace(id, '/[^/]*$', '') AS dir, count(*) AS n_files, count(DISTINCT regexp_extract(lower(label), '.(\\.[^.]*)$', 1)) AS n_extensions FROM files GROUP BY 1"))
@@ -522,7 +522,7 @@ def import_lists(spark, d):
 def _retrieval(spark, d):
     f = files(spark, d)
     e = file_edges(spark, d).withColumn("kind", F.when(F.crc32("source") % 2 == 0, "re-export").otherwise("static"))
-    return index.retrieval_index(f.select("id", F.lit(False).alias("is_barrel")), e, functions(spark, d).where("ord % 3 > 0"), functions(spark, d).where("ord % 5 = 0"))
+    return index.retrieval_index(f.select("id", F.lit(False).alias("is_barrel")), e, functions(spark, d).where("kind = 'function'"), functions(spark, d).where("kind = 'test'"))
 
 
 @query()
@@ -719,7 +719,7 @@ def streamed_daily_counts(spark, d):
     events = table(spark, d, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*.parquet").parquet(d)
     usage = counters.windowed_usage(stream, "ts", ["event_type"])
-    return counters.run_available(usage, "daily_usage").select("event_type", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n")
+    return counters.run_available(usage).select("event_type", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n")
 
 
 @query("SELECT o_custkey AS repo_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS commit_sha FROM orders GROUP BY o_custkey")
@@ -755,9 +755,9 @@ def extracted_code(spark, d):
 
 
 @query(sql("files", """, f AS (SELECT * FROM files WHERE NOT regexp_matches(lower(id), '\\.d\\.ts$|(^|/)(dist|build|out|node_modules|vendor|coverage|__generated__)/|\\.min\\.') AND NOT regexp_matches(lower(id), '(^|/)(docs?|mkdocs|examples?|samples?|demos?)/')
-    AND NOT regexp_matches(lower(id), '(^|/)(test|tests|testing|__tests__|__mocks__|spec|specs)/') AND NOT regexp_matches(lower(label), '\\.(test|spec)\\.[a-z]+$')) SELECT id, CASE WHEN partkey % 3 = 0 THEN id ELSE id || ': ' || camel END AS line FROM f"""))
+    AND NOT regexp_matches(lower(id), '(^|/)(test|tests|testing|__tests__|__mocks__|spec|specs)/') AND NOT regexp_matches(lower(label), '\\.(test|spec)\\.[a-z]+$')) SELECT id, CASE WHEN size % 7 = 0 THEN id ELSE id || ': ' || camel END AS line FROM f"""))
 def compact_map(spark, d):
-    return context.compact_map(files(spark, d).select("id", F.lit(False).alias("is_barrel")), functions(spark, d).where("ord % 3 <> 0"))
+    return context.compact_map(files(spark, d).select("id", F.lit(False).alias("is_barrel")), functions(spark, d).where("kind = 'function'"))
 
 
 def _intents(spark):

@@ -30,6 +30,7 @@ SKIPPED_CALLS = {
     "isNaN", "isFinite", "setTimeout", "setInterval", "clearTimeout", "clearInterval", "Promise.all", "Promise.race", "Promise.resolve", "Promise.reject",
 }
 CONTROL = {"if", "for", "while", "switch", "return", "catch", "sizeof", "do", "else", "case", "defined", "function", "import", "require", "super", "func", "go", "defer", "select", "range", "await", "new", "typeof"}
+#: Calls whose first argument names a suite or a case of tests, alone or after x or f.
 SUITES, CASES = {"describe", "suite", "context"}, {"it", "test", "specify"}
 
 
@@ -146,7 +147,7 @@ STRUCTURES = {
     "python": re.compile(r"^()(class)\s+(\w+)"),
 }
 CALL = re.compile(r"([A-Za-z_$][\w$]*(?:\??\.[A-Za-z_$][\w$]*)*)\s*\(")
-TITLE = re.compile(r"\b(\w+)\s*\(\s*(['\"`])((?:(?!\2).)+)\2")
+TITLE = re.compile(r"(?<![\w.$])([xf]?)(" + "|".join(sorted(SUITES | CASES)) + r")\s*\(\s*(['\"])((?:(?!\3).)*)\3")
 
 
 def call_names(text: str) -> list[str]:
@@ -224,8 +225,7 @@ def pattern_rows(file: str, text: str, language: str) -> list[dict]:
             out.append(_row(file, "structure", s[3], kind=s[2], start_line=k + 1, end_line=(end if end is not None else k) + 1, is_exported=exported))
     if family == "script":
         for m in TITLE.finditer(text):
-            if m[1] in SUITES | CASES:
-                out.append(_row(file, "test-suite" if m[1] in SUITES else "test-case", m[3], start_line=text.count("\n", 0, m.start()) + 1))
+            out.append(_row(file, "test-suite" if m[2] in SUITES else "test-case", m[4], start_line=text.count("\n", 0, m.start()) + 1))
         if re.search(r"\b\w+\.(listen|createServer|start|bootstrap)\(|\b(createServer|bootstrap)\(", text):
             out.append(_row(file, "startup", "listen"))
     return [r | {"analysis_confidence": "low"} for r in out]

@@ -5,7 +5,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkstrata.operators import cluster, deadcode, graph, index, rank, resolve, search
+from sparkstrata.operators import cluster, deadcode, evaluate, graph, index, rank, resolve, search
+from sparkstrata.sources import extract
+from sparkstrata.streaming import counters
 
 FILES = ["src/server.ts", "src/db/connection.ts", "src/db/schema.ts", "src/routes/user.ts", "src/tests/user.test.ts"]
 EDGES = [(0, 1), (0, 3), (1, 2), (3, 1), (4, 3)]
@@ -190,3 +192,49 @@ def test_requested_paths_by_tiers(spark):
     asked = ["src/b/file.ts", "./src/a/File.ts", "only.go", "A\\FILE.TS", "file.ts", "ring.ts", "nope.ts", "", " Only.go "]
     got = {r.requested: r.path for r in resolve.requested_paths(spark.createDataFrame([(x,) for x in asked], "requested string"), spark.createDataFrame([(x,) for x in paths], "path string")).collect()}
     assert got == {"src/b/file.ts": "src/b/file.ts", "./src/a/File.ts": "src/a/File.ts", "only.go": "src/b/Only.go", "A\\FILE.TS": "src/a/File.ts", "file.ts": "src/a/File.ts", "ring.ts": "x/yring.ts", " Only.go ": "src/b/Only.go"}
+
+
+def test_truth_of_pulls(spark):
+    rows = [
+        (1, True, "closed", ["./a\\b.ts", "c.ts", None]), (1, False, "closed", ["other.ts"]), (1, True, "closed", ["c.ts"]),
+        (2, None, "closed", ["d.ts"]), (2, False, "open", ["e.ts"]), (3, False, "open", ["f.ts"]), (4, True, "closed", None), (4, False, "closed", ["g.ts"]),
+    ]
+    pulls = spark.createDataFrame(rows, "query long, is_merged boolean, state string, changed_files array<string>")
+    assert sorted(evaluate.truth_of_pulls(pulls).collect()) == [(1, "a/b.ts"), (1, "c.ts"), (2, "d.ts")]
+    assert evaluate.truth_of_pulls(pulls.limit(0)).count() == 0
+
+
+def test_modules_and_representatives_in_order(spark):
+    m = spark.createDataFrame([("b", 2.0), ("a", 2.0), ("c", None), ("d", 3.0)], "module_id string, importance double")
+    assert [r.module_id for r in cluster.by_importance(m).orderBy("nth").collect()] == ["d", "a", "b", "c"]
+    files = spark.createDataFrame([("m", f"f{k}", k) for k in range(40)], "module_id string, id string, ord long")
+    stands = spark.createDataFrame([("m", "f39"), ("m", "f5"), ("m", "f5"), ("n", "f1")], "module_id string, id string")
+    got = cluster.representatives_first(files, stands).orderBy("nth").collect()
+    assert [r.id for r in got] == ["f5", "f39", *[f"f{k}" for k in range(29) if k != 5]]
+    assert [r.is_representative for r in got[:3]] == [True, True, False]
+    assert cluster.representatives_first(files, stands, None).count() == 40
+
+
+def test_infrastructure_shows_key_files(spark):
+    rows = [("module_infra", x, 1.0) for x in ("readme.md", "Dockerfile", "package.json", "tsconfig.json", "next.config.js", "x.md")] + [("module_1", x, float(k)) for k, x in enumerate(("a", "b", "c"))]
+    files = spark.createDataFrame(rows, "module_id string, id string, importance double")
+    shown = lambda p: sorted(r.id for r in cluster.representatives(files, spark.createDataFrame(p, "module_id string, id string")).collect())
+    assert shown([("module_1", "a"), ("module_1", "zz")]) == ["Dockerfile", "a", "next.config.js", "package.json", "readme.md"]
+    assert shown([("module_1", "zz")])[1:3] == ["b", "c"]
+
+
+def test_titles_of_tests():
+    text = "fdescribe('s', () => {\n  xit(\"c\", f)\n  test('t', f)\n  foo.it('no', f)\n  it(`no`, f)\n  exit('no')\n})\n"
+    got = [(r["what"], r["name"], r["start_line"]) for r in extract.extract_rows("a.test.ts", text, "typescript") if r["what"].startswith("test-")]
+    assert got == [("test-suite", "s", 1), ("test-case", "c", 2), ("test-case", "t", 3)]
+
+
+def test_streams_keep_their_batches(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "2024-01-01 01:00:00"), ("a", "2024-01-01 02:00:00"), ("b", "2024-01-02 01:00:00")], "k string, ts string").selectExpr("k", "cast(ts as timestamp) as ts")
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    daily = counters.windowed_usage(stream(), "ts", ["k"])
+    assert sorted((r.k, r.n) for r in counters.run_available(daily).collect()) == [("a", 2), ("b", 1)]
+    assert sorted(r.k for r in counters.run_available(stream().select("k"), mode="append").collect()) == ["a", "a", "b"]
+    with pytest.raises(ValueError):
+        counters.run_available(daily, mode="update")
