@@ -30,6 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """The file system deletes ``path`` when the application ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
@@ -39,12 +45,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """URI of a new folder in the shared folder, for files that tasks write themselves; it is deleted at the end.
+
+    Tasks give each attempt's files names of their own and return the names as
+    rows, so that only the files of attempts that Spark committed are read.
+    """
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, at = file_system(path)
+    fs.create_dir(at, recursive=True)
+    delete_at_end(spark, path)
+    return path
+
+
+def file_system(uri: str) -> tuple:
+    """The pyarrow file system of a URI or path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

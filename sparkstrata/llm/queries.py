@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkstrata.llm.common import materialize
-from sparkstrata.llm import context_mixing, packing, page_difference, piece_bpe, quality_knn, rotation_codes, separator_scan, simhash_blocks, simhash_cover, substring_dedup
+from sparkstrata.llm import context_mixing, packing, page_difference, piece_bpe, quality_knn, rotation_codes, separator_scan, simhash_blocks, simhash_cover, substring_dedup, token_alignment
 
 
 def vocabulary(name: str) -> str:
@@ -74,6 +74,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +91,7 @@ QUERIES = {
         op8_packing,
         op9_embedding_near_dedup,
         op10_substring_dedup,
+        op11_cross_tokenizer_alignment,
     )
 }
 
