@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkstrata.llm.common import materialize
-from sparkstrata.llm import context_mixing, packing, page_difference, piece_bpe, quality_knn, rotation_codes, separator_scan, simhash_blocks, simhash_cover, substring_dedup, token_alignment
+from sparkstrata.llm import collocations, context_mixing, packing, page_difference, piece_bpe, quality_knn, rotation_codes, separator_scan, simhash_blocks, simhash_cover, substring_dedup, token_alignment
 
 
 def vocabulary(name: str) -> str:
@@ -78,6 +78,10 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return token_alignment.align_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_phrase_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,10 +96,34 @@ QUERIES = {
         op9_embedding_near_dedup,
         op10_substring_dedup,
         op11_cross_tokenizer_alignment,
+        op12_phrase_collocation_mining,
     )
 }
 
 ORACLE_SQL = {
+    "op12_phrase_collocation_mining": r"""
+        WITH piece AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM piece),
+        total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        gram AS (
+            SELECT lang, d, array_to_string(w[i:i + d - 1], ' ') AS phrase
+            FROM (SELECT lang, w, d, unnest(range(1, len(w) - d + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS d) WHERE len(w) >= d)),
+        f AS (SELECT lang, d, phrase, count(*) AS f FROM gram GROUP BY lang, d, phrase HAVING count(*) >= 30),
+        c AS (SELECT lang, d, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE d >= 2),
+        cut AS (SELECT lang, d, phrase, a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:d], ' ') AS rp FROM (SELECT *, unnest(range(1, d)) AS k FROM c)),
+        part AS (
+            SELECT cut.*, x.f AS l, y.f AS r, 2000000 * CAST(a AS HUGEINT) // (x.f + y.f) AS score
+            FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = lp JOIN f y ON y.lang = cut.lang AND y.phrase = rp),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM part) WHERE nth = 1),
+        inside AS (
+            SELECT lang, array_to_string(w[i:i + e - 1], ' ') AS phrase, max(a) AS longer
+            FROM (SELECT *, unnest(range(1, d - e + 2)) AS i FROM (SELECT *, unnest(range(2, d)) AS e FROM c)) GROUP BY ALL),
+        kept AS (
+            SELECT best.* FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.phrase = best.phrase
+            WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT ranked.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000""",
     "op9_embedding_near_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
