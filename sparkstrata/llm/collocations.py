@@ -74,7 +74,7 @@ def paths(numbers: np.ndarray, places: int) -> np.ndarray:
     out = np.zeros((DEPTH, n), np.int64)
     out[0] = numbers
     for k in range(1, DEPTH):
-        out[k, : n - k] = numbers[k:]
+        out[k, : max(n - k, 0)] = numbers[k:]
         out[k, out[k - 1] == 0] = 0
     out = out[:, :places]
     return out[:, out[0] > 0]
