@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkstrata.llm.common import materialize
-from sparkstrata.llm import collocations, context_mixing, packing, page_difference, piece_bpe, quality_knn, rotation_codes, separator_scan, simhash_blocks, simhash_cover, substring_dedup, token_alignment
+from sparkstrata.llm import collocations, context_mixing, packing, page_difference, piece_bpe, quality_knn, rotation_codes, separator_scan, simhash_blocks, simhash_cover, substring_dedup, token_alignment, web_archives
 
 
 def vocabulary(name: str) -> str:
@@ -82,6 +82,10 @@ def op12_phrase_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFram
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web_archives.archive_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,10 +101,21 @@ QUERIES = {
         op10_substring_dedup,
         op11_cross_tokenizer_alignment,
         op12_phrase_collocation_mining,
+        op13_warc,
     )
 }
 
 ORACLE_SQL = {
+    "op13_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((
+                   (instr('0123456789abcdef', substr(hex, CAST(1 + (5 * i) // 4 AS INTEGER), 1)) - 1) * 16 + instr('0123456789abcdef', substr(hex, CAST(2 + (5 * i) // 4 AS INTEGER), 1)) - 1)
+                   >> CAST(3 - (5 * i) % 4 AS INTEGER)) % 32 AS INTEGER), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM f""",
     "op12_phrase_collocation_mining": r"""
         WITH piece AS (
             SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
