@@ -36,7 +36,7 @@ SCALE = 2_000_000
 #: Phrases for each language.
 TOP = 2000
 #: Words of a shard, and paths of a range that a task merges at a time.
-SHARD_WORDS, RANGE_PATHS = 1_500_000, 1_500_000
+SHARD_WORDS, RANGE_PATHS = 2_000_000, 1_500_000
 #: One path in so many tells how common the prefixes are, so that those too common for a range are cut.
 SAMPLE = 1024
 #: A worker keeps the numbers of so many words.
@@ -161,14 +161,14 @@ def prefix_codes(lang: str, columns: list[np.ndarray]) -> Iterator[np.ndarray]:
         yield code
 
 
-def ranges_of(codes: Iterator[np.ndarray], bits: int, cuts: Cuts) -> tuple[np.ndarray, np.ndarray]:
+def ranges_of(codes: Iterator[np.ndarray], n_ranges: int, cuts: Cuts) -> tuple[np.ndarray, np.ndarray]:
     """The range of each path, and how many of its words decide on it.
 
     Ranges part the codes of first words evenly; the paths of a first word that
     is cut go by the codes of two words, and so on.
     """
     code = next(codes)
-    out, decides = (code >> np.uint64(64 - bits)).astype(np.int64), np.ones(len(code), np.int64)
+    out, decides = ((code >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64), np.ones(len(code), np.int64)
     for k, (hot, n) in enumerate(cuts):
         if not len(hot):
             break
@@ -245,7 +245,7 @@ def common_prefixes(tries: DataFrame) -> Cuts:
     return cuts
 
 
-def dealt(tries: DataFrame, bits: int, cuts: Cuts) -> DataFrame:
+def dealt(tries: DataFrame, n_ranges: int, cuts: Cuts) -> DataFrame:
     """(range, decides, lang, trie): the parts of each shard's trie that belong to each range of prefixes."""
     schema = "range long, decides long, lang string, trie binary"
     arrow = arrow_schema(schema)
@@ -255,7 +255,7 @@ def dealt(tries: DataFrame, bits: int, cuts: Cuts) -> DataFrame:
             for lang, data in zip(b.column("lang").to_pylist(), b.column("trie").to_pylist()):
                 columns, counts, hashes, first = read_trie(data)
                 names = dict(zip(np.unique(columns[0]).tolist(), first))
-                range_, decides = ranges_of(prefix_codes(lang, [hashes[c] for c in columns] if any(len(x) for x, _ in cuts) else [hashes[columns[0]]]), bits, cuts)
+                range_, decides = ranges_of(prefix_codes(lang, [hashes[c] for c in columns] if any(len(x) for x, _ in cuts) else [hashes[columns[0]]]), n_ranges, cuts)
                 order = np.argsort(range_, kind="stable")
                 ends = np.append(np.flatnonzero(np.diff(range_[order])) + 1, len(order))
                 start = 0
@@ -328,8 +328,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     """All phrases of up to DEPTH words with ``least`` occurrences or more in their language, as nodes of the merged trie; and (lang, n), its words."""
     tries = materialize(shards(docs), "tries")
     n_paths = tries.agg(F.sum("n_paths")).first()[0] or 0
-    wanted = max(4 * n_partitions(docs.sparkSession), 4 * n_paths // RANGE_PATHS, 2)
-    parts = dealt(tries, min((wanted - 1).bit_length(), 62), common_prefixes(tries))
+    parts = dealt(tries, max(2 * n_partitions(docs.sparkSession), 2 * n_paths // RANGE_PATHS), common_prefixes(tries))
     partial = materialize(merged(parts, least), "nodes")
     nodes = partial.groupBy("lang", "depth", *PATH).agg(F.sum("f").alias("f"), F.min("word").alias("word")).where(F.col("f") >= least)
     return materialize(nodes, "nodes"), tries.groupBy("lang").agg(F.sum("n").alias("n"))
