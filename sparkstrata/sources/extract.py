@@ -1,8 +1,11 @@
 """Extraction of imports, functions and structures from source text.
 
-Python is parsed with its own grammar. The other languages have no grammar
-library here; they are read by patterns, and their rows say so in
-``analysis_confidence``. A file that can't be parsed gives rows by patterns too.
+Each file's text becomes plain facts in one pass: Python's by its own grammar,
+those of script languages, Go and C by walks over their tokens. Spark decides
+which facts are rows, names their kinds, filters calls and drops repeated names.
+``analysis_confidence`` is high for whole grammars and sound script files, medium
+for sound Go and C, low for files with open brackets or literals and for
+functions that were found again behind a broken place.
 """
 
 from __future__ import annotations
@@ -12,16 +15,22 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkstrata.sources.native import native_facts
+from sparkstrata.sources.script import script_facts
+
 SCHEMA = (
     "file string, what string, name string, kind string, start_line int, end_line int, is_exported boolean, is_async boolean, parent string, "
     "dots int, is_from boolean, is_type_only boolean, symbols array<string>, calls array<string>, analysis_confidence string, ord int"
 )
+#: Besides what rows have: of functions their form, the texts of their calls, their parameters and what they are handed to; of calls their first argument.
+FACTS = SCHEMA + ", visibility string, is_recovered boolean, form string, texts array<string>, params array<string>, direct boolean, exports_name string, in_exported boolean, first_text string, top boolean"
 FIELDS = [c.split()[0] for c in SCHEMA.split(", ")]
-ARROW = pa.schema(
-    [(n, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}[t]) for n, t in (c.split() for c in SCHEMA.split(", "))]
+FACT_FIELDS = [c.split()[0] for c in FACTS.split(", ")]
+FACTS_ARROW = pa.schema(
+    [(n, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}[t]) for n, t in (c.split() for c in FACTS.split(", "))]
 )
 #: Calls that say nothing about the graph, words that look like calls, and calls that name tests.
 SKIPPED_CALLS = {
@@ -29,9 +38,6 @@ SKIPPED_CALLS = {
     "Object.assign", "Array.from", "Array.isArray", "Math.floor", "Math.ceil", "Math.round", "Math.max", "Math.min", "parseInt", "parseFloat",
     "isNaN", "isFinite", "setTimeout", "setInterval", "clearTimeout", "clearInterval", "Promise.all", "Promise.race", "Promise.resolve", "Promise.reject",
 }
-CONTROL = {"if", "for", "while", "switch", "return", "catch", "sizeof", "do", "else", "case", "defined", "function", "import", "require", "super", "func", "go", "defer", "select", "range", "await", "new", "typeof"}
-#: Calls whose first argument names a suite or a case of tests, alone or after x or f.
-SUITES, CASES = {"describe", "suite", "context"}, {"it", "test", "specify"}
 
 
 def _row(file: str, what: str, name: str, **more) -> dict:
@@ -43,7 +49,7 @@ def python_rows(file: str, text: str) -> list[dict]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
-        return pattern_rows(file, text, "python")
+        return broken_python_rows(file, text)
     out: list[dict] = []
     in_tests = re.search(r"(^|/)(test_[^/]*|[^/]*_test|conftest)\.py$|(^|/)tests?/", file) is not None
 
@@ -90,175 +96,149 @@ def python_rows(file: str, text: str) -> list[dict]:
     return [r | {"analysis_confidence": "high"} for r in out]
 
 
-def closing_line(lines: list[str], start: int) -> int | None:
-    """Index of the line that closes the first brace from line ``start``; strings and comments are skipped."""
-    depth, opened, block = 0, False, False
-    for k in range(start, len(lines)):
-        text, i = lines[k], 0
-        while i < len(text):
-            c = text[i]
-            if block:
-                if text.startswith("*/", i):
-                    block, i = False, i + 1
-            elif text.startswith("//", i):
-                break
-            elif text.startswith("/*", i):
-                block, i = True, i + 1
-            elif c in "\"'`":
-                i += 1
-                while i < len(text) and text[i] != c:
-                    i += 2 if text[i] == "\\" else 1
-            elif c == "{":
-                depth, opened = depth + 1, True
-            elif c == "}":
-                depth -= 1
-                if opened and depth <= 0:
-                    return k
-            elif c == ";" and not opened:
-                return None
-            i += 1
-    return None
-
-
-IMPORTS = {
-    "script": [
-        (re.compile(r"^\s*import\s+(type\s+)?([^'\"]*?)\s*from\s*['\"]([^'\"]+)['\"]", re.M), "static"),
-        (re.compile(r"^\s*import\s*()()['\"]([^'\"]+)['\"]", re.M), "static"),
-        (re.compile(r"^\s*export\s+(type\s+)?(\*(?:\s+as\s+\w+)?|\{[^}]*\})\s*from\s*['\"]([^'\"]+)['\"]", re.M), "re-export"),
-        (re.compile(r"\b(?:import|require)\(\s*()()['\"]([^'\"]+)['\"]\s*\)"), "dynamic"),
-    ],
-    "c": [(re.compile(r"^\s*#\s*include\s*()()[<\"]([^>\"]+)[>\"]", re.M), "static")],
-    "python": [(re.compile(r"^\s*from\s+()()([\w.]+)\s+import\b", re.M), "static"), (re.compile(r"^\s*import\s+()()([\w.]+)", re.M), "static")],
-}
-FUNCTIONS = {
-    "script": [
-        (re.compile(r"^(\s*)(export\s+(?:default\s+)?)?(async\s+)?function\s*\*?\s*(\w+)\s*[(<]"), "function"),
-        (re.compile(r"^(\s*)(export\s+)?(?:const|let|var)\s+()(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::\s*[^=]+)?=>"), "arrow"),
-        (re.compile(r"^(\s+)()(?:public\s+|private\s+|protected\s+|static\s+)*(async\s+)?(?!if\b|for\b|while\b|switch\b|catch\b|return\b)(\w+)\s*\([^;]*\)\s*(?::\s*[^{]+)?\{\s*$"), "method"),
-    ],
-    "go": [(re.compile(r"^()()()func\s+(?:\(\s*\w*\s*\*?(\w+)(?:\[[^\]]*\])?\s*\)\s*)?(\w+)\s*[(\[]"), "function")],
-    "c": [(re.compile(r"^()(static\s+)?()(?:[\w:*&<>,]+\s+)+[*&]*((?:\w+::)*~?\w+)\s*\([^;{]*\)\s*(?:const\s*)?(?:\{|$)"), "function")],
-    "python": [(re.compile(r"^(\s*)()(async\s+)?def\s+(\w+)\s*\("), "function")],
-}
-STRUCTURES = {
-    "script": re.compile(r"^\s*(export\s+)?(?:abstract\s+)?(interface|type|class|enum)\s+(\w+)"),
-    "go": re.compile(r"^()(type)\s+(\w+)\s"),
-    "c": re.compile(r"^\s*()(?:typedef\s+)?(struct|class|enum|union)\s+(\w+)\s*(?:[:{]|$)"),
-    "python": re.compile(r"^()(class)\s+(\w+)"),
-}
-CALL = re.compile(r"([A-Za-z_$][\w$]*(?:\??\.[A-Za-z_$][\w$]*)*)\s*\(")
-TITLE = re.compile(r"(?<![\w.$])([xf]?)(" + "|".join(sorted(SUITES | CASES)) + r")\s*\(\s*(['\"])((?:(?!\3).)*)\3")
-
-
-def call_names(text: str) -> list[str]:
-    """Names of calls in order, last dotted part, without built-ins and capitalised names."""
-    out: list[str] = []
-    for m in CALL.finditer(text):
-        whole = m[1].replace("?.", ".")
-        name = whole.rsplit(".", 1)[-1]
-        if len(whole) <= 100 and whole not in SKIPPED_CALLS and name not in CONTROL and not name[0].isupper() and name not in out:
-            out.append(name)
-    return out
-
-
-def _kind(kind: str, name: str, head: str, is_async: bool) -> str:
-    """Kind of a script function: constructor, getter, setter, test, middleware, async, else as written."""
-    params = re.search(r"\(([^)]*)\)", head)
-    names = [p.split(":")[0].strip().lower() for p in params[1].split(",")] if params else []
-    if name == "constructor":
-        return "constructor"
-    if re.search(r"\bget\s+\w+\s*\(", head):
-        return "getter"
-    if re.search(r"\bset\s+\w+\s*\(", head):
-        return "setter"
-    if names[1:] == ["next"] and names[0] in ("ctx", "context") or names[1:] in (["res", "next"], ["response", "next"]) and names[0] in ("req", "request", "ctx", "context"):
-        return "middleware"
-    return "async" if is_async else kind
-
-
-def pattern_rows(file: str, text: str, language: str) -> list[dict]:
-    """Rows of a file by patterns and brace matching."""
-    family = {"typescript": "script", "javascript": "script", "go": "go", "c": "c", "cpp": "c", "python": "python"}.get(language)
-    if family is None:
-        return []
-    out: list[dict] = []
-    lines = text.split("\n")
-    if family == "go":
-        for m in re.finditer(r'^\s*import\s*(?:\(([^)]*)\)|(?:\w+\s+)?"([^"]+)")', text, re.M):
-            for spec in re.findall(r'"([^"]+)"', m[1]) if m[1] is not None else [m[2]]:
-                out.append(_row(file, "import", spec, kind="static", dots=0, is_from=False, is_type_only=False, symbols=[], start_line=text.count("\n", 0, m.start()) + 1))
-        if re.search(r"^package\s+main\b", text, re.M) and re.search(r"^func\s+main\s*\(", text, re.M):
-            out.append(_row(file, "startup", "main"))
-    for pattern, kind in IMPORTS.get(family, ()):
-        for m in pattern.finditer(text):
-            names = re.findall(r"\*\s+as\s+\w+|\*|[\w$]+(?=\s*(?:,|\}|$|\sas\b))", re.sub(r"\s+as\s+(?=\w)", " as ", re.sub(r"(\w+) as \w+", r"\1", m[2]))) if m[2] else []
-            out.append(_row(file, "import", m[3], kind=kind, dots=0, is_from=False, is_type_only=bool(m[1]), symbols=list(dict.fromkeys(names)), start_line=text.count("\n", 0, m.start()) + 1))
-    header = re.search(r"\.(h|hpp|hh|hxx)$", file) is not None
-    for k, line in enumerate(lines):
-        for pattern, kind in FUNCTIONS[family]:
-            m = pattern.match(line)
-            if not m:
-                continue
-            parent = None
-            if family == "go":
-                parent, name = m[4], m[5]
-                full, exported = (f"{parent}.{name}" if parent else name), name[0].isupper()
-                kind = "method" if parent else "function"
-            else:
-                name = full = m[4]
-                exported = not (m[2] or "").strip().startswith("static") if family == "c" else bool(m[2]) or (family == "python" and not name.startswith("_"))
-            if name in CONTROL:
-                break
-            end = closing_line(lines, k) if family != "python" else k
-            if end is None:
-                if family == "c" and header:
-                    out.append(_row(file, "declaration", full, kind=kind, start_line=k + 1, end_line=k + 1, is_exported=True))
-                end = k if family == "script" else None
-            if end is not None:
-                body = "\n".join(lines[k : end + 1])
-                own = _kind(kind, name, line, bool(m[3])) if family == "script" else kind
-                out.append(_row(file, "function", full, kind=own, start_line=k + 1, end_line=end + 1, is_exported=exported, is_async=bool(m[3]), parent=parent, calls=[c for c in call_names(body) if c != name]))
-            break
-        if s := STRUCTURES[family].match(line):
-            end = closing_line(lines, k) if "{" in "".join(lines[k : k + 2]) else k
-            exported = s[3][0].isupper() if family == "go" else bool(s[1]) or family != "script"
-            out.append(_row(file, "structure", s[3], kind=s[2], start_line=k + 1, end_line=(end if end is not None else k) + 1, is_exported=exported))
-    if family == "script":
-        for m in TITLE.finditer(text):
-            out.append(_row(file, "test-suite" if m[2] in SUITES else "test-case", m[4], start_line=text.count("\n", 0, m.start()) + 1))
-        if re.search(r"\b\w+\.(listen|createServer|start|bootstrap)\(|\b(createServer|bootstrap)\(", text):
-            out.append(_row(file, "startup", "listen"))
+def broken_python_rows(file: str, text: str) -> list[dict]:
+    """What lines of a Python file that its grammar refuses still show: imports, functions and classes, without their ends."""
+    out = []
+    for k, line in enumerate(text.split("\n"), 1):
+        if m := re.match(r"\s*(?:from\s+(\.*)([\w.]*)\s+import\b|import\s+([\w.]+))", line):
+            out.append(_row(file, "import", m[2] if m[3] is None else m[3], kind="static", dots=len(m[1] or ""), is_from=m[3] is None, is_type_only=False, symbols=[], start_line=k))
+        elif m := re.match(r"\s*(async\s+)?def\s+(\w+)\s*\(", line):
+            out.append(_row(file, "function", m[2], kind="function", start_line=k, end_line=k, is_exported=not m[2].startswith("_"), is_async=bool(m[1]), calls=[]))
+        elif m := re.match(r"class\s+(\w+)", line):
+            out.append(_row(file, "structure", m[1], kind="class", start_line=k, end_line=k, is_exported=not m[1].startswith("_")))
     return [r | {"analysis_confidence": "low"} for r in out]
 
 
-def extract_rows(file: str, text: str, language: str) -> list[dict]:
-    rows = python_rows(file, text) if language == "python" else pattern_rows(file, text, language)
-    return [r | {"ord": k} for k, r in enumerate(rows)]
+def file_facts(file: str, text: str, language: str) -> list[dict]:
+    """The facts of one file, in order."""
+    if language in ("typescript", "javascript"):
+        try:
+            facts, sound = script_facts(text, not re.search(r"\.[cm]?ts$", file))
+        except RecursionError:  # nested beyond what one walk can follow
+            facts, sound = [], False
+        out = [x | {"file": file, "analysis_confidence": "high" if sound else "low"} for x in facts]
+    elif language == "python":
+        out = [x | {"form": "row"} for x in python_rows(file, text)]
+    elif language in ("go", "c", "cpp"):
+        out = [x | {"file": file, "form": "row"} for x in native_facts(text, language, file)]
+    else:
+        out = []
+    return [x | {"ord": k} for k, x in enumerate(out)]
 
 
-def extract(contents: DataFrame) -> DataFrame:
-    """Rows of what each file (path, content, language) has, one for each import, function, structure, declaration, test and start signal."""
+def facts(contents: DataFrame) -> DataFrame:
+    """The facts of each file (path, content, language), one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for x in b.to_pylist() for r in extract_rows(x["path"] or "", x["content"] or "", x["language"] or "")]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, ARROW)
+            for x in b.to_pylist():
+                if rows := file_facts(x["path"] or "", x["content"] or "", x["language"] or ""):
+                    yield pa.RecordBatch.from_pylist(rows, FACTS_ARROW)
+
+    return contents.select("path", "content", "language").mapInArrow(run, FACTS)
+
+
+#: Forms of script functions in the order in which the first of a name wins.
+FORMS = ["declaration", "arrow", "expression", "method", "exports", "getter", "setter", "constructor"]
+#: Calls that start a server, and calls that register a route.
+STARTUP = ["listen", "createServer", "start", "bootstrap"]
+ROUTES = ["get", "post", "put", "patch", "delete", "head", "options", "all", "use", "route", "handle"]
+
+
+def called_names(texts):
+    """Names of calls from their texts, in order: the last dotted part, without built-ins, capitalised names and texts over 100 characters."""
+    wanted = F.filter(F.transform(texts, F.trim), lambda t: (F.length(t) <= 100) & ~t.isin(*SKIPPED_CALLS))
+    names = F.transform(wanted, lambda t: F.element_at(F.split(t, r"\."), -1))
+    return F.array_distinct(F.filter(names, lambda n: (n != "") & ~n.rlike("^[A-Z]")))
+
+
+def script_kind(form, name, params, is_async):
+    """Kind of a script function, first match: constructor, getter, setter, test, middleware, async, else method, arrow or function."""
+    low = F.transform(params, F.lower)
+    at = lambda k: F.get(low, F.lit(k - 1))
+    three = (F.size(params) == 3) & at(1).isin("req", "request", "ctx", "context") & at(2).isin("res", "response") & (at(3) == "next")
+    two = (F.size(params) == 2) & at(1).isin("ctx", "context") & (at(2) == "next")
+    return (
+        F.when(form.isin("constructor", "getter", "setter"), form)
+        .when(name.rlike(r"^([xf]?(it|test|describe|suite|context|specify)|(before|after)(Each|All)?)\("), "test")
+        .when(form.isin("declaration", "arrow", "expression", "method", "exports") & (three | two), "middleware")
+        .when(is_async, "async")
+        .when(form == "method", "method")
+        .when(form.isin("arrow", "expression"), "arrow")
+        .otherwise("function")
+    )
+
+
+def rows_of(found: DataFrame) -> DataFrame:
+    """The rows that facts give; of script functions with one name in a file the first by form and place stays.
+
+    A function that is a property's own value on one line and isn't async is
+    left out, as is one that nothing names, such as what is handed to a call
+    that runs no tests (routes too: they show as the structure of their call).
+    """
+    c = {x: F.col(x) for x in FACT_FIELDS}
+    fields = [*FIELDS, "visibility", "is_recovered"]
+
+    def row(on, **values):
+        kept = {x: values.get(x, c[x]) for x in fields}
+        return F.when(on, F.struct(*[v.alias(k) for k, v in kept.items()], values.get("pass_", F.lit(0)).alias("pass"), values.get("once", F.lit(None).cast("string")).alias("once")))
+
+    function, call, statement = c["what"] == "function", c["what"] == "call", c["what"] == "statement"
+    script = c["form"].isNull() | (c["form"] != "row")
+    off = F.lit(False)
+    literal = F.regexp_replace(c["first_text"], "^[\"'`]|[\"'`]$", "")
+    last = F.element_at(F.split("name", r"\."), -1)
+    calls = called_names(c["texts"])
+    trivial = c["direct"] & (c["start_line"] == c["end_line"]) & ~c["is_async"]
+    exported = F.when(c["form"] == "declaration", c["is_exported"]).when(c["form"].isin("getter", "setter", "constructor"), c["in_exported"]).otherwise(off)
+    form = F.when(c["form"] == "expression", F.lit("exports")).otherwise(c["form"])
+    order = lambda x: F.array_position(F.array(*[F.lit(f) for f in FORMS]), x).cast("int")
+    statement_name = F.when(literal != "", F.concat(last, F.lit("("), literal, F.lit(")"))).otherwise(c["name"])
+    one = F.lit(1)
+    made = [
+        row(~script),
+        row(script & function & c["name"].isNotNull() & ~F.coalesce(trivial, off), kind=script_kind(c["form"], c["name"], c["params"], c["is_async"]), is_exported=F.coalesce(exported, off), calls=calls, pass_=order(c["form"]), once=c["name"]),
+        row(script & function & c["exports_name"].isNotNull(), name=c["exports_name"], kind=script_kind(form, c["exports_name"], c["params"], c["is_async"]), is_exported=F.lit(True), calls=calls, pass_=F.lit(5), once=c["exports_name"]),
+        row(script & function & (c["form"] == "declaration") & c["top"], what=F.lit("local"), kind=F.lit("function")),
+        row(script & c["what"].isin("class", "value") & c["top"], kind=c["what"], what=F.lit("local")),
+        row(script & (c["what"] == "import"), dots=F.lit(0), is_from=off),
+        row(script & call & c["name"].isin("import", "require") & c["first_text"].isNotNull(), what=F.lit("import"), name=F.regexp_replace(c["first_text"], "[\"']", ""), kind=F.lit("dynamic"), dots=F.lit(0), is_from=off, is_type_only=off, symbols=F.array().cast("array<string>")),
+        row(script & c["what"].isin("variable"), what=F.lit("structure")),
+        row(script & statement & (F.length("name") <= 150) & (c["name"] != ""), what=F.lit("structure"), name=statement_name, is_exported=off),
+        row(script & c["what"].isin("interface", "type") & c["is_exported"] & c["top"], what=F.lit("structure"), kind=c["what"]),
+        row(script & call & c["name"].rlike("^[xf]?(describe|suite|context)$") & c["first_text"].isNotNull(), what=F.lit("test-suite"), name=literal),
+        row(script & call & c["name"].rlike("^[xf]?(it|test|specify)$") & c["first_text"].isNotNull(), what=F.lit("test-case"), name=literal),
+        row(script & call & last.isin(*STARTUP), what=F.lit("startup"), name=F.lit("listen"), once=F.lit("startup"), pass_=one),
+        row(script & call & last.isin(*ROUTES) & c["name"].contains("."), what=F.lit("routes"), name=F.lit("register"), once=F.lit("routes"), pass_=one),
+    ]
+    out = found.select(F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("r")).select("r.*")
+    # only rows that may stand once are numbered together; all others have a key of their own
+    key = F.coalesce(F.concat(F.lit("1"), "once"), F.concat(F.lit("0"), F.col("ord").cast("string"), F.lit("/"), F.col("pass").cast("string"), F.lit("/"), F.col("what")))
+    first = F.row_number().over(Window.partitionBy("file", "what", key).orderBy("pass", "ord"))
+    return out.withColumn("first", first).where("first = 1").select(*fields)
 
-    return contents.select("path", "content", "language").mapInArrow(run, SCHEMA)
+
+def extract(contents: DataFrame) -> DataFrame:
+    """Rows of what each file (path, content, language) has.
+
+    ``what`` is import, function, declaration (a prototype in a header),
+    structure, test-suite, test-case, startup, routes, or local (what makes a
+    script file more than a barrel). Null paths, contents and languages are
+    empty; unknown languages and empty files give no rows; repeated files are
+    one file whose rows of one name stand once.
+    """
+    return rows_of(facts(contents))
 
 
 def functions_of(rows: DataFrame) -> DataFrame:
     """Functions of extracted rows with ids: path and name, later ones of a name with their line."""
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("file", "name").orderBy("ord"))
     plain = F.concat("file", F.lit("::"), "name")
     return rows.where("what = 'function'").withColumn("id", F.when(n == 1, plain).otherwise(F.concat(plain, F.lit("@"), F.col("start_line").cast("string"))))
 
 
 def barrels(rows: DataFrame) -> DataFrame:
-    """(file): files whose imports are all re-exports, at least one, and that have no function or class of their own."""
-    own = rows.where((F.col("what") == "function") | ((F.col("what") == "structure") & (F.col("kind") == "class"))).select("file").distinct()
+    """(file): files whose imports are all re-exports, at least one, and that declare no function, class or variable with a function at their top."""
+    own = rows.where((F.col("what") == "local") | ((F.col("what") == "structure") & (F.col("kind") == "class"))).select("file").distinct()
     imports = rows.where("what = 'import'").groupBy("file").agg(F.bool_and(F.col("kind") == "re-export").alias("all"))
     return imports.where("all").select("file").join(own, "file", "left_anti")

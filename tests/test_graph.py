@@ -223,9 +223,10 @@ def test_infrastructure_shows_key_files(spark):
     assert shown([("module_1", "zz")])[1:3] == ["b", "c"]
 
 
-def test_titles_of_tests():
+def test_titles_of_tests(spark):
     text = "fdescribe('s', () => {\n  xit(\"c\", f)\n  test('t', f)\n  foo.it('no', f)\n  it(`no`, f)\n  exit('no')\n})\n"
-    got = [(r["what"], r["name"], r["start_line"]) for r in extract.extract_rows("a.test.ts", text, "typescript") if r["what"].startswith("test-")]
+    rows = extract.extract(spark.createDataFrame([("a.test.ts", text, "typescript")], "path string, content string, language string")).where("what like 'test-%'")
+    got = [(r.what, r.name, r.start_line) for r in rows.orderBy("ord").collect()]
     assert got == [("test-suite", "s", 1), ("test-case", "c", 2), ("test-case", "t", 3)]
 
 
