@@ -811,4 +811,4 @@ def issue_highlight(spark, d):
     return context.with_confidence(f.select("id"), f.where("partkey % 4 = 0").select("id", F.col("size").cast("long").alias("confidence")))
 
 
-from sparkstrata.plans import more  # noqa: E402, F401  (registers its queries)
+from sparkstrata.plans import code, more  # noqa: E402, F401  (register their queries)
