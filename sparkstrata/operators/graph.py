@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkstrata.functions.text import half_up
@@ -46,6 +46,13 @@ def cut_lineage(df: DataFrame, name: str = "graph") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, name: str, metric: Column | None = None) -> tuple[DataFrame, int]:
+    """``df`` written and read again, and the number of its rows or another count, which is taken while it is written."""
+    seen = Observation()
+    kept = cut_lineage(df.observe(seen, (F.count("*") if metric is None else metric).alias("n")), name)
+    return kept, seen.get["n"]
+
+
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in the given order, by a partial aggregation before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
@@ -141,57 +148,120 @@ def _components_of(pdf):
     return pd.DataFrame(out, columns=["id", "component"])
 
 
+def compressed(todo: DataFrame, n_edges: int) -> tuple[DataFrame, int, DataFrame, DataFrame] | None:
+    """Paths taken out of a graph of ``todo`` edges: (edges, their number, members, components), or None where too few nodes stand on paths.
+
+    A path's nodes have one edge in and one out. They are in a component exactly
+    if the nodes before and behind the path are in one, so an edge between these
+    two stands for the path; ``members`` has (id, start, end) for its nodes. A
+    path that closes on itself is a component, and is in ``components``.
+    Each node jumps ahead to the node that the one it points to points to, more
+    and more often in one round, so the rounds grow slower than the logarithm of
+    the longest path.
+    """
+    into = todo.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n")).where("n = 1").select("id")
+    out = todo.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n"), F.min("target").alias("next")).where("n = 1").select("id", "next")
+    nodes, n = cut_counted(out.join(into, "id"), "scc")
+    if n * 20 < n_edges or not n:
+        return None
+    on_path = nodes.select(F.col("id").alias("next"), F.lit(True).alias("goes_on"))
+    first = nodes.join(on_path, "next", "left").select("id", "next", F.coalesce("goes_on", F.lit(False)).alias("goes_on"))
+    ends = first.where("not goes_on").select(F.col("id").alias("last"), F.col("next").alias("end"))
+    jumps = first.select("id", F.when(F.col("goes_on"), F.col("next")).otherwise(F.col("id")).alias("jump"), "id").toDF("id", "jump", "low")
+    jumps, _ = cut_counted(jumps, "scc")
+    reach, joins = 1, 3
+    while reach < n:  # a closed path never stops, and none is longer than all nodes
+        step, ahead = jumps.withColumn("was", F.col("jump")), jumps.select(F.col("id").alias("jump"), F.col("jump").alias("to"), F.col("low").alias("below"))
+        for _ in range(joins):
+            step = step.join(ahead, "jump").select("id", F.col("to").alias("jump"), F.least("low", "below").alias("low"), "was")
+        jumps, changed = cut_counted(step, "scc", F.count_if(F.col("jump") != F.col("was")))
+        jumps = jumps.drop("was")
+        reach, joins = reach * (joins + 1), min(2 * joins + 1, 31)
+        if not changed:
+            break
+    last = jumps.join(ends, jumps.jump == ends.last, "left").select("id", "low", "last", "end")
+    last, _ = cut_counted(last, "scc")
+    entered = todo.join(last.where("last is not null").select(F.col("id").alias("target"), "last", "end"), "target")
+    entered = entered.join(last.select(F.col("id").alias("source")), "source", "left_anti").select(F.col("source").alias("start"), "last", "end")
+    members = last.where("last is not null").select("id", "last").join(entered, "last").select("id", "start", "end")
+    off = todo.join(last.select(F.col("id").alias("source")), "source", "left_anti").join(last.select(F.col("id").alias("target")), "target", "left_anti")
+    over = entered.select(F.col("start").alias("source"), F.col("end").alias("target")).where("source <> target")
+    edges, left = cut_counted(off.select("source", "target").unionByName(over).distinct(), "scc")
+    return edges, left, members, last.where("last is null").select("id", F.col("low").alias("component"))
+
+
+def expanded(parts: DataFrame, members: DataFrame) -> DataFrame:
+    """``parts`` (id, component) with the nodes of paths whose both ends are in one component, or are one node, which then is in it too."""
+    of = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
+    both = members.join(of("start"), "start", "left").join(of("end"), "end", "left")
+    loop = F.col("start") == F.col("end")
+    own = both.where(loop | (F.col("c_start") == F.col("c_end"))).select("id", "start", F.coalesce("c_start", "start").alias("component"), (loop & F.col("c_start").isNull()).alias("new"))
+    return parts.unionByName(own.select("id", "component")).unionByName(own.where("new").select(F.col("start").alias("id"), "component").distinct())
+
+
+def raked(todo: DataFrame) -> tuple[DataFrame, int]:
+    """The edges without those to nodes that have none out, or from nodes that have none in."""
+    kept = todo.join(todo.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+    return cut_counted(kept.join(todo.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "scc")
+
+
+def by_labels(todo: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(components found, edges left, their number): each node gets the least id that reaches it; in the set of a label, what can reach the label's node within the set is its component."""
+    label = todo.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("label", F.col("id"))
+    changed = 1
+    while changed:  # forward labels
+        seen = todo.join(label.select(F.col("id").alias("source"), "label"), "source").select(F.col("target").alias("id"), "label", F.lit(None).cast("boolean").alias("own"))
+        new = label.withColumn("own", F.lit(True)).unionByName(seen).groupBy("id").agg(F.min("label").alias("label"), F.min(F.when(F.col("own"), F.col("label"))).alias("was"))
+        label, changed = cut_counted(new, "scc", F.count_if(F.col("label") != F.col("was")))
+        label = label.drop("was")
+    inside = todo.join(label.select(F.col("id").alias("source"), F.col("label").alias("l1")), "source")
+    inside, _ = cut_counted(inside.join(label.select(F.col("id").alias("target"), F.col("label").alias("l2")), "target").where("l1 = l2").select("source", "target", "l1"), "scc")
+    reach, n = cut_counted(label.where("id = label").select("id", "label"), "scc")
+    frontier = reach
+    while n:  # backward from each label's node, inside its set
+        step = inside.join(frontier.select(F.col("id").alias("target"), F.col("label").alias("l1")), ["target", "l1"]).select(F.col("source").alias("id"), F.col("l1").alias("label")).distinct()
+        frontier, n = cut_counted(step.join(reach, ["id", "label"], "left_anti"), "scc")
+        reach = cut_lineage(reach.unionByName(frontier), "scc") if n else reach
+    sizes = reach.groupBy("label").count().where("count > 1").select("label")
+    part = reach.join(sizes, "label", "left_semi").select("id", F.col("label").alias("component"))
+    done = reach.select("id")
+    left = inside.join(done.withColumnRenamed("id", "source"), "source", "left_anti").join(done.withColumnRenamed("id", "target"), "target", "left_anti")
+    return part, *cut_counted(left.select("source", "target"), "scc")
+
+
 def strong_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(id, component) of the nodes in directed cycles of two or more nodes; component is the least id of the cycle's nodes.
 
     Up to ``task_edges`` edges are solved in one task. While there are more,
-    nodes without an edge in or out among what is left are taken away again and
-    again. Then each node gets the least id that reaches it (forward labels); in
-    the set of a label, what can reach the label's node within the set is its
-    component. Found components go and the rest takes another round. Each step
-    is a join and an aggregation over the edges left.
+    paths are put together to single edges and dead ends are taken away, which
+    leaves nothing of a chain or a tree after few rounds; where neither takes
+    much away, components are found by labels. At last the nodes of paths join
+    the components of their ends. Each step is a join and an aggregation over the
+    edges left. Self-links and repeated edges do no harm; nulls match nothing.
     """
-    todo = cut_lineage(edges.select("source", "target").where("source <> target").distinct(), "scc")
-    found: DataFrame | None = None
-    n = todo.count()
-    while n > task_edges:
-        while n > task_edges:  # trim
-            kept = todo.join(todo.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-            kept = cut_lineage(kept.join(todo.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "scc")
-            m = kept.count()
-            todo, before, n = kept, n, m
-            if m == before:
-                break
-        if n <= task_edges:
-            break
-        label = todo.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("label", F.col("id"))
-        while True:  # forward labels
-            seen = todo.join(label.select(F.col("id").alias("source"), "label"), "source").select(F.col("target").alias("id"), "label")
-            new = cut_lineage(label.unionByName(seen).groupBy("id").agg(F.min("label").alias("label")), "scc")
-            same = new.join(label.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count() == 0
-            label = new
-            if same:
-                break
-        inside = todo.join(label.select(F.col("id").alias("source"), F.col("label").alias("l1")), "source")
-        inside = cut_lineage(inside.join(label.select(F.col("id").alias("target"), F.col("label").alias("l2")), "target").where("l1 = l2").select("source", "target", "l1"), "scc")
-        reach = cut_lineage(label.where("id = label").select("id", "label"), "scc")
-        frontier = reach
-        while True:  # backward from each label's node, inside its set
-            step = inside.join(frontier.select(F.col("id").alias("target"), F.col("label").alias("l1")), ["target", "l1"]).select(F.col("source").alias("id"), F.col("l1").alias("label")).distinct()
-            frontier = cut_lineage(step.join(reach, ["id", "label"], "left_anti"), "scc")
-            if not frontier.count():
-                break
-            reach = cut_lineage(reach.unionByName(frontier), "scc")
-        sizes = reach.groupBy("label").count().where("count > 1").select("label")
-        part = reach.join(sizes, "label", "left_semi").select("id", F.col("label").alias("component"))
-        found = part if found is None else found.unionByName(part)
-        done = reach.select("id")
-        todo = inside.join(done.withColumnRenamed("id", "source"), "source", "left_anti").join(done.withColumnRenamed("id", "target"), "target", "left_anti")
-        todo = cut_lineage(todo.select("source", "target"), "scc")
-        n = todo.count()
+    todo, n = cut_counted(edges.select("source", "target").where("source <> target").distinct(), "scc")
     kind = dict(todo.dtypes)["source"]
-    rest = todo.groupBy(F.lit("all")).applyInPandas(_components_of, f"id {kind}, component {kind}")  # at most task_edges edges
-    return rest if found is None else found.unionByName(rest)
+    found: list[DataFrame] = []
+    paths: list[DataFrame] = []
+    while n > task_edges:
+        before = n
+        if step := compressed(todo, n):
+            todo, n, members, closed = step
+            paths.append(members)
+            found.append(closed)
+        if n > task_edges:
+            todo, n = raked(todo)
+        if n > task_edges and n * 4 > before * 3:
+            part, todo, n = by_labels(todo)
+            found.append(part)
+    out = todo.groupBy(F.lit("all")).applyInPandas(_components_of, f"id {kind}, component {kind}")  # at most task_edges edges
+    for part in found:
+        out = out.unionByName(part)
+    if not paths:
+        return out
+    for members in reversed(paths):
+        out = cut_lineage(expanded(out, members), "scc")
+    return out.join(out.groupBy("component").agg(F.min("id").alias("least")), "component").select("id", F.col("least").alias("component"))
 
 
 def circular_edges(edges: DataFrame, all_edges: DataFrame | None = None) -> DataFrame:

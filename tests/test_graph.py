@@ -239,3 +239,34 @@ def test_streams_keep_their_batches(spark, tmp_path):
     assert sorted(r.k for r in counters.run_available(stream().select("k"), mode="append").collect()) == ["a", "a", "b"]
     with pytest.raises(ValueError):
         counters.run_available(daily, mode="update")
+
+
+def test_strong_components_of_long_paths(spark):
+    """Chains, rings and dead ends are put together in few rounds, whatever the order of ids."""
+    r = random.Random(4)
+    ids = list(range(30000))
+    r.shuffle(ids)
+    chain = [(ids[k], ids[k + 1]) for k in range(10000)]
+    ring = [(ids[k], ids[k + 1]) for k in range(15000, 17000)] + [(ids[17000], ids[15000])]
+    tail = [(ids[16000], ids[20000]), *[(ids[k], ids[k + 1]) for k in range(20000, 20500)]]
+    want = {ids[k]: min(ids[9000:10001]) for k in range(9000, 10001)} | {ids[k]: min(ids[15000:17001]) for k in range(15000, 17001)}
+    spark.sparkContext.setJobGroup("paths", "paths")
+    df = spark.createDataFrame(chain + [(ids[10000], ids[9000])] + ring + tail, "source long, target long")
+    assert {x.id: x.component for x in graph.strong_components(df, 100).collect()} == want
+    # with adaptive execution each exchange is a job of its own
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("paths")) < 120
+    alone = spark.createDataFrame(chain, "source long, target long")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    assert graph.strong_components(alone, 100).count() == 0
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) < 50
+    spark.sparkContext.setJobGroup("other", "other")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_strong_components_with_few_edges_a_task(spark, seed):
+    r = random.Random(seed)
+    n = r.choice([6, 15, 40])
+    pairs = [(r.randrange(n), r.randrange(n)) for _ in range(int(n * r.choice([0.7, 1.2, 2])))]
+    pairs += [(a, a + 1) for a in range(100, 120)] + [(120, r.choice([100, 110, 0])), (r.randrange(n), 105)] + [(a, a + 1) for a in range(200, 206)] + [(206, 200)]
+    df = spark.createDataFrame(pairs + pairs[:3], "source long, target long").withColumn("kind", F.lit("clash"))
+    assert {x.id: x.component for x in graph.strong_components(df, 2).collect()} == plain_components(pairs)
