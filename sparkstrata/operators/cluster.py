@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,34 +16,38 @@ from sparkstrata.operators.resolve import ancestors
 MONOLITH, MONOLITH_SHARE, SPLIT_OVER, LEAST_ENTITY, TARGET, TARGET_WITH_INFRA, SIZE = 40, 0.15, 25, 3, 15, 14, 40
 
 
-def initial_groups(files: DataFrame, by: Column | None = None) -> DataFrame:
-    """(id, cluster): source files (id, kind) by folder; large folders of a monolith are split by the entity that file names name.
+def initial_groups(files: DataFrame, by: Column | None = None, repo: list[str] = []) -> DataFrame:  # noqa: B006
+    """(repo, id, cluster): source files (id, kind) by folder; large folders of a monolith are split by the entity that file names name.
 
     A monolith has over 40 files with those below it, or over 15 % of all. Its
-    entities with under three files share one cluster.
+    entities with under three files share one cluster. ``repo`` names the
+    columns that tell repositories apart, each of which is grouped alone.
     """
-    own = files.select("id", (by if by is not None else folder(F.col("id"))).alias("dir"))
-    counts = own.groupBy("dir").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    below = counts.select(F.explode(F.concat(F.when(F.col("dir").contains("/"), ancestors(F.col("dir"))).otherwise(F.array().cast("array<string>")), F.array("dir"))).alias("dir"), "n")
-    recursive = below.groupBy("dir").agg(F.sum("n").alias("r"))
-    marks = counts.join(recursive, "dir").crossJoin(F.broadcast(total))  # one row
-    marks = marks.select("dir", (((F.col("r") > MONOLITH) | (F.col("r") > F.col("total") * MONOLITH_SHARE)) & (F.col("n") > SPLIT_OVER)).alias("split"))
-    x = own.join(marks, "dir").withColumn("entity", entity_noun(base_name(F.col("id"))))
-    sizes = x.where("split").groupBy("dir", "entity").agg(F.count("*").alias("m"))
-    x = x.join(sizes, ["dir", "entity"], "left")
+    own = files.select(*repo, "id", (by if by is not None else folder(F.col("id"))).alias("dir"))
+    counts = own.groupBy(*repo, "dir").agg(F.count("*").alias("n"))
+    total = counts.groupBy(*repo).agg(F.sum("n").alias("total"))
+    below = counts.select(*repo, F.explode(F.concat(F.when(F.col("dir").contains("/"), ancestors(F.col("dir"))).otherwise(F.array().cast("array<string>")), F.array("dir"))).alias("dir"), "n")
+    recursive = below.groupBy(*repo, "dir").agg(F.sum("n").alias("r"))
+    marks = counts.join(recursive, [*repo, "dir"])
+    marks = marks.join(total, repo) if repo else marks.crossJoin(F.broadcast(total))  # one row
+    marks = marks.select(*repo, "dir", (((F.col("r") > MONOLITH) | (F.col("r") > F.col("total") * MONOLITH_SHARE)) & (F.col("n") > SPLIT_OVER)).alias("split"))
+    x = own.join(marks, [*repo, "dir"]).withColumn("entity", entity_noun(base_name(F.col("id"))))
+    sizes = x.where("split").groupBy(*repo, "dir", "entity").agg(F.count("*").alias("m"))
+    x = x.join(sizes, [*repo, "dir", "entity"], "left")
     under = F.when(F.col("m") >= LEAST_ENTITY, F.col("entity")).otherwise("Shared")
     name = F.when(F.col("split"), F.when(F.col("dir") == "", under).otherwise(F.concat("dir", F.lit("/"), under))).otherwise(F.col("dir"))
-    return x.select("id", name.alias("cluster"))
+    return x.select(*repo, "id", name.alias("cluster"))
 
 
-def coupling(clusters: DataFrame, edges: DataFrame) -> DataFrame:
-    """(a, b, n_edges, score) of pairs of clusters: undirected edges between them over the sum of their sizes."""
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    x = edges.join(clusters.select(F.col("id").alias("source"), F.col("cluster").alias("cs")), "source").join(clusters.select(F.col("id").alias("target"), F.col("cluster").alias("ct")), "target")
-    pairs = x.where("cs <> ct").groupBy(F.least("cs", "ct").alias("a"), F.greatest("cs", "ct").alias("b")).agg(F.count("*").alias("n_edges"))
-    out = pairs.join(sizes.select(F.col("cluster").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("cluster").alias("b"), F.col("size").alias("sb")), "b")
-    return out.select("a", "b", "n_edges", (F.col("n_edges") / (F.col("sa") + F.col("sb"))).alias("score"))
+def coupling(clusters: DataFrame, edges: DataFrame, repo: list[str] = []) -> DataFrame:  # noqa: B006
+    """(repo, a, b, n_edges, score) of pairs of clusters: undirected edges between them over the sum of their sizes."""
+    sizes = clusters.groupBy(*repo, "cluster").agg(F.count("*").alias("size"))
+    end = lambda c, to: clusters.select(*repo, F.col("id").alias(c), F.col("cluster").alias(to))
+    x = edges.join(end("source", "cs"), [*repo, "source"]).join(end("target", "ct"), [*repo, "target"])
+    pairs = x.where("cs <> ct").groupBy(*repo, F.least("cs", "ct").alias("a"), F.greatest("cs", "ct").alias("b")).agg(F.count("*").alias("n_edges"))
+    size = lambda c, to: sizes.select(*repo, F.col("cluster").alias(c), F.col("size").alias(to))
+    out = pairs.join(size("a", "sa"), [*repo, "a"]).join(size("b", "sb"), [*repo, "b"])
+    return out.select(*repo, "a", "b", "n_edges", (F.col("n_edges") / (F.col("sa") + F.col("sb"))).alias("score"))
 
 
 def _common(a: str, b: str) -> str:
@@ -59,68 +65,92 @@ def merge_greedily(sizes: dict[str, int], links: dict[tuple[str, str], int], tar
     The pair with the greatest coupling whose size stays within ``most`` goes
     first; if there is none, the smallest cluster joins the smallest one it is
     linked to, else the smallest other. The result depends on the sums alone:
-    ties go by position in order of name.
+    ties go by position in order of name, and a merged cluster keeps the first
+    of its two positions. A heap holds the pairs, those of clusters that have
+    grown since are passed over, and sizes only grow, so a pair that is too large
+    never comes back.
     """
     names = sorted(sizes)
-    groups = [{"dir": n, "members": [n], "size": sizes[n]} for n in names]
     where = {n: k for k, n in enumerate(names)}
-    edges: dict[tuple[int, int], int] = {}
+    title, members, size = list(names), [[n] for n in names], [sizes[n] for n in names]
+    near: list[dict[int, int]] = [{} for _ in names]
     for (a, b), n in links.items():
-        i, j = sorted((where[a], where[b]))
-        edges[i, j] = edges.get((i, j), 0) + n
-    while len(groups) > target:
+        i, j = where[a], where[b]
+        if i != j:
+            near[i][j] = near[j][i] = near[i].get(j, 0) + n
+    pair = lambda i, j: (-near[i][j] / (size[i] + size[j]), min(i, j), max(i, j), size[i] + size[j])
+    heap = [pair(i, j) for i in range(len(names)) for j in near[i] if i < j]
+    heapq.heapify(heap)
+    alive = set(range(len(names)))
+    while len(alive) > target:
         best = None
-        for (i, j), n in sorted(edges.items(), key=lambda e: (-e[1] / (groups[e[0][0]]["size"] + groups[e[0][1]]["size"]), e[0])):
-            if groups[i]["size"] + groups[j]["size"] <= most:
+        while heap and best is None:
+            score, i, j, both = heapq.heappop(heap)
+            if i in alive and j in alive and both <= most and j in near[i] and (score, i, j, both) == pair(i, j):
                 best = i, j
-                break
         if best is None:
-            i = min(range(len(groups)), key=lambda k: (groups[k]["size"], k))
-            near = [k for k in range(len(groups)) if k != i and tuple(sorted((i, k))) in edges] or [k for k in range(len(groups)) if k != i]
-            best = tuple(sorted((i, min(near, key=lambda k: (groups[k]["size"], k)))))
+            i = min(alive, key=lambda k: (size[k], k))
+            other = min(near[i] or alive - {i}, key=lambda k: (size[k], k))
+            best = min(i, other), max(i, other)
         i, j = best
-        a, b = groups[i], groups[j]
-        prefix = _common(a["dir"], b["dir"])
-        a["dir"] = prefix if prefix.count("/") else a["dir"] if a["size"] >= b["size"] else b["dir"]
-        a["members"] += b["members"]
-        a["size"] += b["size"]
-        del groups[j]
-        moved: dict[tuple[int, int], int] = {}
-        at = lambda k: i if k == j else k - (k > j)
-        for (x, y), n in edges.items():
-            x, y = sorted((at(x), at(y)))
-            if x != y:
-                moved[x, y] = moved.get((x, y), 0) + n
-        edges = moved
-    return {m: f"{k:03d}:{g['dir'] or 'Root/Core'}" for k, g in enumerate(groups) for m in g["members"]}
-
-
-def merge_clusters(clusters: DataFrame, edges: DataFrame, has_infra: bool = False, target: int | None = None) -> DataFrame:
-    """(id, module_id, name): clusters (id, cluster) merged to 15 modules (14 with infrastructure) of bounded size.
-
-    The merging is sequential and works on sums per cluster alone, in one task;
-    a repository has as many of these as folders.
+        prefix = _common(title[i], title[j])
+        title[i] = prefix if prefix.count("/") else title[i] if size[i] >= size[j] else title[j]
+        members[i] += members[j]
+        size[i] += size[j]
+        alive.discard(j)
+        for k, n in near[j].items():
+            del near[k][j]
+            if k != i:
+                near[i][k] = near[k][i] = near[i].get(k, 0) + n
+        for k in near[i]:
+            heapq.heappush(heap, pair(i, k))
+    return {m: f"{k:03d}:{title[g] or 'Root/Core'}" for k, g in enumerate(sorted(alive)) for m in members[g]}
+
+
+def merge_clusters(clusters: DataFrame, edges: DataFrame, has_infra: bool | DataFrame = False, target: int | None = None, repo: list[str] = []) -> DataFrame:  # noqa: B006
+    """(repo, id, module_id, name): clusters (id, cluster) merged to 15 modules (14 with infrastructure) of bounded size.
+
+    The merging of one repository is sequential, as every merge changes the
+    coupling of those that follow; it works on sums per cluster alone, in one
+    task for each repository, which has as many of these as folders. ``repo``
+    names the columns that tell repositories apart; ``has_infra`` then is a
+    table of the repositories that have infrastructure.
     """
-    total = clusters.count()
-    most, goal = max(SIZE, total // 4), target or (TARGET_WITH_INFRA if has_infra else TARGET)
-    sums = clusters.groupBy("cluster").agg(F.count("*").alias("n")).select(F.col("cluster").alias("a"), F.lit(None).cast("string").alias("b"), "n")
-    pairs = coupling(clusters, edges).select("a", "b", F.col("n_edges").alias("n"))
+    sums = clusters.groupBy(*repo, "cluster").agg(F.count("*").alias("n")).select(*repo, F.col("cluster").alias("a"), F.lit(None).cast("string").alias("b"), "n")
+    pairs = coupling(clusters, edges, repo).select(*repo, "a", "b", F.col("n_edges").alias("n"))
+    table = sums.unionByName(pairs)
+    if isinstance(has_infra, DataFrame):
+        table = table.join(has_infra.select(*repo, F.lit(True).alias("infra")).distinct(), repo, "left").withColumn("infra", F.coalesce("infra", F.lit(False)))
+    else:
+        table = table.withColumn("infra", F.lit(has_infra))
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         alone = pdf.b.isna()
-        out = merge_greedily(dict(zip(pdf.a[alone], pdf.n[alone])), {(a, b): n for a, b, n in zip(pdf.a[~alone], pdf.b[~alone], pdf.n[~alone])}, goal, most)
-        return pd.DataFrame([(c, f"module_{int(x[:3])}", x[4:]) for c, x in out.items()], columns=["cluster", "module_id", "name"])
+        own = dict(zip(pdf.a[alone], pdf.n[alone]))
+        goal = target or (TARGET_WITH_INFRA if pdf.infra.iloc[0] else TARGET)
+        out = merge_greedily(own, {(a, b): n for a, b, n in zip(pdf.a[~alone], pdf.b[~alone], pdf.n[~alone])}, goal, max(SIZE, sum(own.values()) // 4))
+        rows = pd.DataFrame([(c, f"module_{int(x[:3])}", x[4:]) for c, x in out.items()], columns=["cluster", "module_id", "name"])
+        for c in repo:
+            rows[c] = pdf[c].iloc[0]
+        return rows
+
+    types = dict(clusters.dtypes)
+    schema = ", ".join(["cluster string, module_id string, name string", *[f"`{c}` {types[c]}" for c in repo]])
+    groups = table.groupBy(*repo) if repo else table.withColumn("whole", F.lit(0)).groupBy("whole")
+    return clusters.join(groups.applyInPandas(merged, schema), [*repo, "cluster"]).select(*repo, "id", "module_id", "name")
 
-    table = sums.unionByName(pairs).withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(merged, "cluster string, module_id string, name string")
-    return clusters.join(table, "cluster").select("id", "module_id", "name")
 
+def modules(files: DataFrame, edges: DataFrame, repo: list[str] = []) -> DataFrame:  # noqa: B006
+    """(repo, id, module_id, name) of all files (id, kind): merged clusters of sources, and one module of infrastructure.
 
-def modules(files: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, module_id, name) of all files (id, kind): merged clusters of sources, and one module of infrastructure."""
+    ``repo`` names the columns of files and edges that tell repositories apart,
+    so that all are clustered by one job; a null there matches no other.
+    """
     x = files.withColumn("infra", is_infrastructure(F.col("id"), F.col("kind")))
     infra = x.where("infra")
-    own = merge_clusters(initial_groups(x.where("not infra")), edges, has_infra=bool(infra.limit(1).count()))
-    return own.unionByName(infra.select("id", F.lit("module_infra").alias("module_id"), F.lit("Project Infrastructure & Docs").alias("name")))
+    has = infra.select(*repo).distinct() if repo else bool(infra.limit(1).count())
+    own = merge_clusters(initial_groups(x.where("not infra"), repo=repo), edges, has, repo=repo)
+    return own.unionByName(infra.select(*repo, "id", F.lit("module_infra").alias("module_id"), F.lit("Project Infrastructure & Docs").alias("name")))
 
 
 def module_dependencies(module_files: DataFrame, edges: DataFrame) -> DataFrame:

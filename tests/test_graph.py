@@ -270,3 +270,52 @@ def test_strong_components_with_few_edges_a_task(spark, seed):
     pairs += [(a, a + 1) for a in range(100, 120)] + [(120, r.choice([100, 110, 0])), (r.randrange(n), 105)] + [(a, a + 1) for a in range(200, 206)] + [(206, 200)]
     df = spark.createDataFrame(pairs + pairs[:3], "source long, target long").withColumn("kind", F.lit("clash"))
     assert {x.id: x.component for x in graph.strong_components(df, 2).collect()} == plain_components(pairs)
+
+
+def plain_merging(sizes, links, target, most):
+    """The merging by a search of all pairs for each step."""
+    groups = [[n, [n], sizes[n]] for n in sorted(sizes)]
+    while len(groups) > target:
+        def edges(x, y):
+            return sum(n for (a, b), n in links.items() if a in x[1] and b in y[1] or a in y[1] and b in x[1])
+
+        pairs = [(-edges(x, y) / (x[2] + y[2]), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j and x[2] + y[2] <= most and edges(x, y)]
+        if pairs:
+            _, i, j = min(pairs)
+        else:
+            i = min(range(len(groups)), key=lambda k: (groups[k][2], k))
+            near = [k for k in range(len(groups)) if k != i and edges(groups[i], groups[k])] or [k for k in range(len(groups)) if k != i]
+            i, j = sorted((i, min(near, key=lambda k: (groups[k][2], k))))
+        x, y = groups[i], groups.pop(j)
+        prefix = cluster._common(x[0], y[0])
+        x[0] = prefix if prefix.count("/") else x[0] if x[2] >= y[2] else y[0]
+        x[1], x[2] = x[1] + y[1], x[2] + y[2]
+    return {m: f"{k:03d}:{name or 'Root/Core'}" for k, (name, members, _) in enumerate(groups) for m in members}
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_merging_equals_a_search_of_all_pairs(seed):
+    r = random.Random(seed)
+    names = [f"src/{a}/{b}" for a in "abc" for b in "wxyz"] + ["", "lib", "src"]
+    sizes = {n: r.randint(1, 20) for n in names}
+    links = {(a, b): r.randint(1, 4) for a in names for b in names if a < b and r.random() < r.choice([0.05, 0.3, 0.7])}
+    target, most = r.choice([1, 3, 6]), r.choice([15, 40, 500])
+    assert cluster.merge_greedily(sizes, links, target, most) == plain_merging(sizes, links, target, most)
+
+
+def test_modules_of_many_repositories(spark):
+    r = random.Random(7)
+    files, edges = [], []
+    for repo in ("one", "two", "three"):
+        own = [f"src/{r.choice('abcdefghij')}/{r.choice('klmnopqrst')}/f{k}.ts" for k in range(60)] + (["package.json"] if repo == "two" else [])
+        files += [(repo, f, "config" if f.endswith("json") else "source") for f in own]
+        edges += [(repo, r.choice(own), r.choice(own)) for _ in range(150)]
+    f = spark.createDataFrame(files, "repo string, id string, kind string")
+    e = spark.createDataFrame(edges, "repo string, source string, target string")
+    together = {tuple(x) for x in cluster.modules(f, e, ["repo"]).select("repo", "id", "module_id", "name").collect()}
+    alone = set()
+    for repo in ("one", "two", "three"):
+        own = cluster.modules(f.where(F.col("repo") == repo).drop("repo"), e.where(F.col("repo") == repo).drop("repo"))
+        alone |= {(repo, *x) for x in own.select("id", "module_id", "name").collect()}
+    assert together == alone and len(together) == len(files)
+    assert {x[2] for x in together if x[0] == "two"} >= {"module_infra", "module_13"} and "module_14" not in {x[2] for x in together if x[0] == "two"}
