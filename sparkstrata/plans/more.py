@@ -10,6 +10,7 @@ from sparkstrata.operators import cluster, evaluate, graph, index
 from sparkstrata.plans.queries import query
 from sparkstrata.plans.views import file_edges, files, functions, sql, supply, table
 from sparkstrata.sources import listing
+from sparkstrata.streaming import counters, stateful
 
 
 def _sql_case(column: str, values: dict[str, str], other: str) -> str:
@@ -243,3 +244,24 @@ def representatives(spark, d):
 @query(sql("files", "SELECT module_id, id, is_representative, nth FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY is_representative DESC, partkey, id) AS nth FROM (SELECT CASE WHEN f.size < 10 THEN 'module_infra' ELSE f.p_brand END AS module_id, f.id, f.partkey, r.id IS NOT NULL AS is_representative FROM files f LEFT JOIN r ON f.id = r.id)) WHERE nth <= 30", more=REPRESENTATIVES))
 def representatives_first(spark, d):
     return cluster.representatives_first(_module_files(spark, d), _representatives(spark, d))
+
+
+@query("""WITH r AS (SELECT event_id, user_id, ts, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events),
+    g AS (SELECT *, CASE WHEN n <= 3 THEN sum(CASE WHEN n <= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) END AS k FROM r),
+    a AS (SELECT *, n <= 3 AND k <= 30 AS ok FROM g),
+    b AS (SELECT *, coalesce(sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY day, user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM a)
+    SELECT event_id AS request_id, ok AS is_allowed, CASE WHEN ok THEN NULL WHEN had >= 3 THEN 'device' ELSE 'global' END AS reason FROM b""")
+def request_limits(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("request_id"), F.col("ts").alias("at"), F.col("user_id").cast("string").alias("device"), F.lit("one").alias("address"), F.lit(0).alias("tokens"))
+    return stateful.request_limits(e, (3, 10**12, 30, 10**12))
+
+
+@query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 10")
+def recent_events(spark, d):
+    return stateful.last_rows(table(spark, d, "events").select("event_id", "user_id", "ts"), ["user_id"], ["ts", "event_id"], 10).select("event_id", "user_id")
+
+
+@query("SELECT DISTINCT lower(user_id || '--' || event_type) AS job_id FROM events")
+def distinct_jobs(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("owner"), F.upper("event_type").alias("repo"), "ts")
+    return counters.distinct_jobs(e, "ts").select("job_id")
