@@ -25,8 +25,10 @@ SCHEMA = (
     "file string, what string, name string, kind string, start_line int, end_line int, is_exported boolean, is_async boolean, parent string, "
     "dots int, is_from boolean, is_type_only boolean, symbols array<string>, calls array<string>, analysis_confidence string, ord int"
 )
+#: The schema of rows.
+ROWS = SCHEMA + ", visibility string, is_recovered boolean"
 #: Besides what rows have: of functions their form, the texts of their calls, their parameters and what they are handed to; of calls their first argument.
-FACTS = SCHEMA + ", visibility string, is_recovered boolean, form string, texts array<string>, params array<string>, direct boolean, exports_name string, in_exported boolean, first_text string, top boolean"
+FACTS = ROWS + ", form string, texts array<string>, params array<string>, direct boolean, exports_name string, in_exported boolean, first_text string, top boolean"
 FIELDS = [c.split()[0] for c in SCHEMA.split(", ")]
 FACT_FIELDS = [c.split()[0] for c in FACTS.split(", ")]
 FACTS_ARROW = pa.schema(
