@@ -22,7 +22,11 @@ spelled words have predictors for two, three and five bytes before, mixed by
 fixed-size gated weights too.
 
 Training gathers exact counts of all words and the slots of all training
-documents from every task; what is broadcast has a fixed size.
+documents from every task; what is broadcast has a fixed size. Each task refines
+weights of its own and the means are kept, so scores depend on how rows are dealt
+to tasks, though counts and base scores don't. Blocks grow from 32 bits to 8,192,
+with one step of the weights after each, so long documents refine in steps that
+lag more and more.
 """
 
 from __future__ import annotations

@@ -145,7 +145,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, columns: list[str] | None
     documents, 0.5 if no label can be learned from. Null text is empty and is
     scored like any text without words; a row without doc_id is scored too and
     counts as not held out. Labels other than 0 and 1 are ignored; of a
-    document's repeated labels the greatest counts. Equal texts have equal scores.
+    document's repeated labels the greatest counts. Equal texts have scores that
+    are equal up to rounding, as blocks of documents are multiplied together.
     """
     model = fit(docs, labels)
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2 * ROWS_PER_CLASS vectors and the axes: 3 MB

@@ -1,7 +1,7 @@
 """Embedding near-duplicates by randomised-rotation binary codes.
 
 Each unit vector o is rotated and kept as its signs; x is the unit vector of the
-signs and f = <x, o> its stored correction factor. For any unit q, <x, q> / f is
+signs and f = <x, o> its correction factor. For any unit q, <x, q> / f is
 an unbiased estimate of <o, q> over the rotations. With c = <o, q> it lies within
 sqrt(1 - c^2) sqrt(1 - f^2) / f of c for certain, because x differs from f o only
 at right angles to o. Only pairs whose upper bound reaches the threshold are
