@@ -538,7 +538,7 @@ def _file_calls(spark, d):
 
 @query()
 def category_expansion(spark, d):
-    seeds = files(spark, d).where("partkey < 3").select("id")
+    seeds = files(spark, d).where(F.col("label").contains("Ring")).select("id")
     return rank.expand_categories(seeds, _retrieval(spark, d), ["callers", "schemas", "tests"], _file_calls(spark, d))
 
 
@@ -743,7 +743,12 @@ def linked_pulls(spark, d):
     return listing.linked_pull_files(e, f)
 
 
-@query()
+EXTRACTED = """[('import', 'os', 'static', 1, NULL), ('import', 'json', 'static', 1, NULL), ('import', 'core', 'static', 2, NULL), ('structure', 'CLASS', 'class', 4, NULL),
+    ('function', 'CLASS.NAME', 'method', 5, 'run,dumps,getcwd'), ('startup', '__main__', NULL, 8, NULL)]"""
+
+
+@query(sql("files", """SELECT id AS file, what, replace(replace(v.name, 'CLASS', upper(p_name[1]) || lower(regexp_replace(p_name, ' .*', '')[2:])), 'NAME', replace(p_name, ' ', '_')) AS name, CAST(kind AS VARCHAR) AS kind, CAST(start_line AS INTEGER) AS start_line, CAST(calls AS VARCHAR) AS calls
+    FROM files, (VALUES """ + EXTRACTED.strip("[]") + """) v(what, name, kind, start_line, calls) WHERE p_name IS NOT NULL"""))
 def extracted_code(spark, d):
     f = files(spark, d).where("p_name is not null")
     name = F.regexp_replace("p_name", " ", "_")
@@ -805,10 +810,10 @@ def focus_limited_side(spark, d):
     return context.limited_side(side, ["hop", "id"]).select(F.col("id").cast("string").alias("id"), "nth", "n_more")
 
 
-@query(sql("files", "SELECT f.id, CAST(m.confidence AS BIGINT) AS confidence FROM files f LEFT JOIN (SELECT id, max(size) AS confidence FROM files WHERE partkey % 4 = 0 GROUP BY id) m ON f.id = m.id"))
+@query(sql("files", "SELECT f.id, CAST(m.confidence AS BIGINT) AS confidence FROM files f LEFT JOIN (SELECT id, max(size) AS confidence FROM files WHERE contains(lower(p_type), 'small') GROUP BY id) m ON f.id = m.id"))
 def issue_highlight(spark, d):
     f = files(spark, d)
-    return context.with_confidence(f.select("id"), f.where("partkey % 4 = 0").select("id", F.col("size").cast("long").alias("confidence")))
+    return context.with_confidence(f.select("id"), f.where(F.lower("p_type").contains("small")).select("id", F.col("size").cast("long").alias("confidence")))
 
 
 from sparkstrata.plans import code, more  # noqa: E402, F401  (register their queries)
