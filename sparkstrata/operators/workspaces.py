@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkstrata.functions.text import base_name, folder, normalised_path, parse_commented_json
+from sparkstrata.operators.graph import cut_lineage
 from sparkstrata.operators.resolve import SCRIPT_ENDS, ancestors, package_name
 
 #: Folders that hold packages where no tool says so, and where one of the tools does.
@@ -56,7 +57,7 @@ def detect_workspaces(paths: DataFrame, configs: DataFrame) -> tuple[DataFrame,
     names the members. Folders without a named manifest are no packages.
     Broken and null files count as missing.
     """
-    dirs = folders_of(paths).persist()
+    dirs = cut_lineage(folders_of(paths), "folders")
     text = lambda name: configs.where(F.col("path") == name).select(F.col("content").alias("text_")).where("text_ is not null")
     as_json = lambda name, schema: text(name).select(parse_commented_json(F.col("text_"), schema).alias("j"), parse_commented_json(F.col("text_"), "map<string,string>").alias("any")).where("any is not null")
     stage = lambda df, n: df.select(F.lit(n).alias("stage"), F.explode("patterns").alias("pattern"))
@@ -71,7 +72,7 @@ def detect_workspaces(paths: DataFrame, configs: DataFrame) -> tuple[DataFrame,
     patterns = patterns.withColumn("base", bare).withColumn("is_open", F.col("pattern").contains("*"))
     below = patterns.where("is_open").join(dirs.where("name not like '.%' and name <> 'node_modules'"), patterns.base == F.col("parent")).select("stage", "dir")
     exact = patterns.where("not is_open").join(dirs, patterns.base == F.col("dir")).select("stage", "dir")
-    members = below.unionByName(exact).distinct()
+    members = cut_lineage(below.unionByName(exact).distinct(), "members")
     decides = members.agg(F.min("stage").alias("stage"))
     there = lambda df: df.agg((F.count("*") > 0).alias("x")).first().x
     found = decides.first().stage
@@ -105,7 +106,7 @@ def alias_entries(paths: DataFrame, configs: DataFrame) -> DataFrame:
     go first, of equal ones those of earlier sources. ``/*`` at the end of an
     alias makes it open and is cut off, so ``@/*`` has the prefix ``@``.
     """
-    dirs = folders_of(paths)
+    dirs = cut_lineage(folders_of(paths), "folders")
     tops = dirs.where("parent = ''").select("dir", "name")
     at = configs.select("content", folder(F.col("path")).alias("dir"), base_name(F.col("path")).alias("name"))
     sources = at.where("name in ('tsconfig.json', 'jsconfig.json') and dir not like '%/%'")
@@ -146,7 +147,7 @@ def resolve_aliases(imports: DataFrame, entries: DataFrame, paths: DataFrame) ->
     s = F.col("specifier")
     own = imports.where(~s.rlike(r"^[./]")).select("specifier").distinct()
     starts = F.transform(F.sequence(F.lit(0), F.length(s)), lambda n: F.substr(s, F.lit(1), n))
-    met = own.withColumn("prefix", F.explode(starts)).join(entries, "prefix")
+    met = cut_lineage(own.withColumn("prefix", F.explode(starts)).join(entries, "prefix"), "aliases")
     rest = F.when(F.col("is_wildcard"), F.substr(s, F.length("prefix") + 1)).otherwise("")
     tried = met.select("specifier", "nth", "is_explicit", rest.alias("rest"), F.posexplode("targets").alias("t", "target"))
     ends = F.posexplode(F.array(*[F.lit(e) for e in SCRIPT_ENDS])).alias("e", "end")

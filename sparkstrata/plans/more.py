@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkstrata.functions import classify as C
 from sparkstrata.functions import text as T
-from sparkstrata.operators import cluster, evaluate, graph, index
+from sparkstrata.operators import cluster, evaluate, graph, index, workspaces
 from sparkstrata.plans.queries import query
 from sparkstrata.plans.views import file_edges, files, functions, sql, supply, table
 from sparkstrata.sources import listing
@@ -265,3 +265,24 @@ def recent_events(spark, d):
 def distinct_jobs(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("owner"), F.upper("event_type").alias("repo"), "ts")
     return counters.distinct_jobs(e, "ts").select("job_id")
+
+
+@query(sql("files", """SELECT 'turbo' AS tool, true AS is_monorepo, b AS name, 'packages/' || b AS root, CASE WHEN (SELECT count(*) FROM files WHERE starts_with(id, 'brand_11/')) > 0 THEN 'brand_11' ELSE '' END AS dependencies
+    FROM (SELECT DISTINCT string_split(id, '/')[1] AS b FROM files)"""))
+def workspace_members(spark, d):
+    f = files(spark, d).select("id", F.element_at(F.split("id", "/"), 1).alias("brand"))
+    manifests = f.select("brand").distinct().select(F.concat(F.lit("packages/"), "brand", F.lit("/package.json")).alias("path"), F.format_string('{"name": "%s", "dependencies": {"brand_11": "1", "react": "2"}}', "brand").alias("content"))
+    configs = manifests.unionByName(spark.createDataFrame([("package.json", '{"workspaces": ["./packages/*"]}'), ("turbo.json", "{}")], "path string, content string"))
+    summary, packages = workspaces.detect_workspaces(f.select(F.concat(F.lit("packages/"), "id").alias("path")).unionByName(configs.select("path")), configs)
+    return packages.crossJoin(F.broadcast(summary)).select("tool", "is_monorepo", "name", "root", F.array_join("dependencies", ",").alias("dependencies"))  # one row
+
+
+@query(sql("files", """, i AS (SELECT id, '@b/' || regexp_replace(id, '\\.[^./]*$', '') AS specifier, regexp_matches(id, '\\.(ts|tsx|js)$') AS found FROM files)
+    SELECT specifier, CASE WHEN found THEN 'internal' ELSE 'unresolved' END AS kind, CASE WHEN found THEN id END AS path, CAST(NULL AS VARCHAR) AS name FROM i
+    UNION SELECT w, 'external', NULL, w FROM (SELECT DISTINCT string_split(p_name, ' ')[1] AS w FROM files)"""))
+def alias_resolution(spark, d):
+    f = files(spark, d)
+    imports = f.select(F.concat(F.lit("@b/"), F.regexp_replace("id", r"\.[^./]*$", "")).alias("specifier")).unionByName(f.select(F.element_at(F.split("p_name", " "), 1).alias("specifier")))
+    configs = spark.createDataFrame([("tsconfig.json", '{"compilerOptions": {"paths": {"@b/*": ["./*"], "@/*": ["src/*"]}}} // c')], "path string, content string")
+    paths = f.select(F.col("id").alias("path"))
+    return workspaces.resolve_aliases(imports, workspaces.alias_entries(paths, configs), paths)

@@ -775,7 +775,7 @@ def _named_files(spark, d):
 
 
 def _barrels(spark, d):
-    return files(spark, d).where("partkey = 50").select("id").withColumn("target", F.col("id"))
+    return files(spark, d).where("size = 50").select("id").withColumn("target", F.col("id"))
 
 
 @query()
