@@ -137,7 +137,9 @@ def facts(contents: DataFrame) -> DataFrame:
                 if rows := file_facts(x["path"] or "", x["content"] or "", x["language"] or ""):
                     yield pa.RecordBatch.from_pylist(rows, FACTS_ARROW)
 
-    return contents.select("path", "content", "language").mapInArrow(run, FACTS)
+    # reading a text takes far longer than moving it, and files may come in few partitions
+    n = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return contents.select("path", "content", "language").repartition(n, "path", "content").mapInArrow(run, FACTS)
 
 
 #: Forms of script functions in the order in which the first of a name wins.
