@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkstrata.functions.text import base_name, folder, normalised_path, parse_commented_json
-from sparkstrata.operators.graph import cut_lineage
+from sparkstrata.operators.graph import cut_lineage, dealt, merged
 from sparkstrata.operators.resolve import SCRIPT_ENDS, ancestors, package_name
 
 #: Folders that hold packages where no tool says so, and where one of the tools does.
@@ -146,14 +146,21 @@ def resolve_aliases(imports: DataFrame, entries: DataFrame, paths: DataFrame) ->
     """
     s = F.col("specifier")
     own = imports.where(~s.rlike(r"^[./]")).select("specifier").distinct()
-    starts = F.transform(F.sequence(F.lit(0), F.length(s)), lambda n: F.substr(s, F.lit(1), n))
-    met = cut_lineage(own.withColumn("prefix", F.explode(starts)).join(entries, "prefix"), "aliases")
+    entries = cut_lineage(entries, "entries")
+    lengths = entries.agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    starts = F.transform(F.filter("lengths", lambda n: n <= F.length(s)), lambda n: F.substr(s, F.lit(1), n))
+    met = own.crossJoin(F.broadcast(lengths)).select("specifier", F.explode(starts).alias("prefix")).join(entries, "prefix")  # one row
+    # an explicit entry decides, so those after the first are not tried
+    last = F.min(F.when(F.col("is_explicit"), F.col("nth"))).over(Window.partitionBy("specifier"))
+    met = cut_lineage(dealt(met, "specifier").withColumn("last", last).where("last is null or nth <= last").drop("last"), "aliases")
     rest = F.when(F.col("is_wildcard"), F.substr(s, F.length("prefix") + 1)).otherwise("")
-    tried = met.select("specifier", "nth", "is_explicit", rest.alias("rest"), F.posexplode("targets").alias("t", "target"))
+    tried = met.select("specifier", "nth", rest.alias("rest"), F.posexplode("targets").alias("t", "target"))
+    tried = dealt(tried.select("specifier", "nth", "t", normalised_path(F.concat_ws("/", "target", "rest")).alias("base")), "base")
+    # a path has a row for each end that it has, without it, so that what is tried needs none for each end
     ends = F.posexplode(F.array(*[F.lit(e) for e in SCRIPT_ENDS])).alias("e", "end")
-    tried = tried.select("specifier", "nth", "t", normalised_path(F.concat_ws("/", "target", "rest")).alias("base"), ends).withColumn("path", F.concat("base", "end"))
-    found = tried.join(paths.select("path").distinct(), "path").groupBy("specifier", "nth").agg(F.min_by("path", F.struct("t", "e")).alias("path"))
-    first = met.join(found, ["specifier", "nth"], "left").where("path is not null or is_explicit").groupBy("specifier").agg(F.min_by(F.struct("path"), "nth").alias("r"))
-    out = own.join(first, "specifier", "left")
+    bases = paths.select("path").distinct().select("path", ends).where(F.col("path").endswith(F.col("end"))).select("path", "e", F.substr("path", F.lit(1), F.length("path") - F.length("end")).alias("base"))
+    found = tried.join(merged(dealt(bases, "base")), "base").groupBy("specifier", "nth").agg(F.min_by("path", F.struct("t", "e")).alias("path"))
+    first = met.join(merged(found), ["specifier", "nth"], "left").where("path is not null or is_explicit").groupBy("specifier").agg(F.min_by(F.struct("path"), "nth").alias("r"))
+    out = own.join(merged(first), "specifier", "left")
     kind = F.when(F.col("r").isNull(), "external").when(F.col("r.path").isNull(), "unresolved").otherwise("internal")
     return out.select("specifier", kind.alias("kind"), F.col("r.path").alias("path"), F.when(kind == "external", package_name(s)).alias("name"))
