@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkstrata.functions.classify import in_penalty_folder, in_utility_folder, is_framework_file
-from sparkstrata.operators.graph import degrees
+from sparkstrata.operators.graph import dealt, degrees, merged
 
 #: Weight of each sign, and the score from which a file counts as dead.
 WEIGHTS = {
@@ -25,10 +25,10 @@ def unused_exports(functions: DataFrame, edges: DataFrame) -> DataFrame:
     """
     wild = F.coalesce(F.size("symbols") <= 0, F.lit(True)) | F.arrays_overlap("symbols", F.array(F.lit("*"), F.lit("default")))
     taken = edges.groupBy(F.col("target").alias("file")).agg(F.bool_or(wild).alias("wild"))
-    named = edges.select(F.col("target").alias("file"), F.explode("symbols").alias("name")).distinct()
+    named = dealt(edges.select(F.col("target").alias("file"), F.explode("symbols").alias("name")), "file", "name").distinct()
     exported = functions.where("is_exported").select("file", "name").distinct()
-    open_ = exported.join(taken.where("wild"), "file", "left_anti")
-    return open_.join(named, ["file", "name"], "left_anti")
+    open_ = exported.join(merged(taken.where("wild")), "file", "left_anti")
+    return open_.join(merged(named), ["file", "name"], "left_anti")
 
 
 def orphan_symbols(functions: DataFrame, call_edges: DataFrame, before_calls: bool = False) -> DataFrame:
@@ -37,7 +37,7 @@ def orphan_symbols(functions: DataFrame, call_edges: DataFrame, before_calls: bo
     With ``before_calls`` callers aren't looked at, as if none were known yet.
     """
     own = functions.where("not is_exported").where(~F.col("kind").isin("test", "constructor", "middleware", "route-handler"))
-    return own if before_calls else own.join(call_edges.select(F.col("target").alias("id")).distinct(), "id", "left_anti")
+    return own if before_calls else own.join(merged(call_edges.select(F.col("target").alias("id")).distinct()), "id", "left_anti")
 
 
 def dead_code(files: DataFrame, edges: DataFrame, functions: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

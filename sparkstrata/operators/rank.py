@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkstrata.functions.classify import is_low_signal, is_noise, is_test, schema_hit
 from sparkstrata.functions.text import base_name, ranker_tokens
-from sparkstrata.operators.graph import cut_lineage
+from sparkstrata.operators.graph import cut_lineage, dealt, merged
 
 #: Fixed values of the ranking.
 K1, B, STRONG, WEAK, NAME_TIMES, TEST_FACTOR, PATH_BONUS, NAME_BONUS = 1.2, 0.75, 3.0, 1.0, 3, 0.55, 50.0, 25.0
@@ -48,7 +48,7 @@ def bm25(terms: DataFrame, wanted: DataFrame, k1: float = K1, b: float = B) -> D
     mine = counts.join(asked, "term", "left_semi")
     df = mine.groupBy("term").agg(F.count("*").alias("df"))
     n, avg = F.greatest(F.col("n"), F.lit(1)), F.col("total") / F.greatest(F.col("n"), F.lit(1))
-    x = mine.join(df, "term").join(lengths, "id").crossJoin(F.broadcast(whole))  # one row
+    x = mine.join(df, "term").join(merged(lengths), "id").crossJoin(F.broadcast(whole))  # one row
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avg))
     scored = x.select("id", "term", part.alias("part")).join(wanted, "term")
@@ -72,7 +72,8 @@ def exact_matches(files: DataFrame, intents: DataFrame) -> DataFrame:
     paths = intents.select("query", F.explode(F.array_distinct("exact_paths")).alias("p")).withColumn("end", base_name(F.col("p"))).where("end <> ''")
     base = base_name(F.lower("id"))
     ends = F.transform(F.sequence(F.lit(1), F.length(base)), lambda n: F.substr(base, n))
-    own = files.select("id").where(F.length(base) > 0).distinct().withColumn("end", F.explode(ends))
+    # a file has a row for each character of its name, which no estimate knows before the rows are dealt out
+    own = dealt(files.select("id").where(F.length(base) > 0).distinct().withColumn("end", F.explode(ends)), "end")
     bonus = path_bonus(F.col("id"), F.array("p"))
     return own.join(paths, "end").groupBy("query", "id").agg(F.max(bonus).alias("bonus")).where("bonus > 0")
 
@@ -94,7 +95,8 @@ def rank_files(files: DataFrame, intents: DataFrame, limit: int = 40) -> DataFra
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """(id, to): distinct neighbours in either direction."""
-    return edges.select(F.col("source").alias("id"), F.col("target").alias("to")).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("to"))).distinct()
+    both = edges.select(F.col("source").alias("id"), F.col("target").alias("to")).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("to")))
+    return dealt(both, "id", "to").distinct()
 
 
 def graph_neighbours(edges: DataFrame, calls: DataFrame) -> DataFrame:
@@ -117,7 +119,7 @@ def expand(seeds: DataFrame, neighbours: DataFrame, known: DataFrame, most: int
     first = seeds.withColumn("n", F.row_number().over(w)).where(F.col("n") <= expanding)
     step = F.col("score") * DECAY * F.when(is_test(F.col("to")), TEST_DECAY).otherwise(1.0)
     near = first.join(neighbours, "id").where("id <> to").where(~is_noise(F.col("to")) & ~is_low_signal(F.col("to")))
-    near = near.join(known.select(F.col("id").alias("to")).distinct(), "to", "left_semi").select("query", F.col("to").alias("id"), step.alias("score")).where(F.col("score") >= LEAST)
+    near = near.join(merged(known.select(F.col("id").alias("to")).distinct()), "to", "left_semi").select("query", F.col("to").alias("id"), step.alias("score")).where(F.col("score") >= LEAST)
     total = seeds.select("query", "id", "score").unionByName(near).groupBy("query", "id").agg(F.sum("score").alias("score"))
     return total.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkstrata.functions.classify import NODE_BUILTINS
 from sparkstrata.functions.text import base_name, folder, normalised_path, shared_prefix_length, strings
+from sparkstrata.operators.graph import dealt, merged
 
 #: Ends that complete a script import, in order; names of include folders; most files of a Go package.
 SCRIPT_ENDS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
@@ -31,16 +32,16 @@ def longest_prefix(files: DataFrame, packages: DataFrame) -> DataFrame:
 
     A prefix join is an equi-join on the file's ancestors; root "." is skipped.
     """
-    up = files.select("id", F.explode(ancestors(F.col("id"))).alias("root"))
+    up = dealt(files.select("id"), "id").select("id", F.explode(ancestors(F.col("id"))).alias("root"))
     hit = up.join(packages.where("root <> '.'").select("root", F.col("name").alias("package")), "root")
     best = hit.groupBy("id").agg(F.max_by("package", F.struct(F.length("root"), "package")).alias("package"))
-    return files.select("id").join(best, "id", "left")
+    return files.select("id").join(merged(best), "id", "left")
 
 
 def existing(candidates: DataFrame, paths: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, path): the first candidate (keys, candidate, ord) of each key that is a path."""
     own = paths.select(F.col("path").alias("candidate")).distinct()
-    return candidates.join(own, "candidate").groupBy(*keys).agg(F.min_by("candidate", F.struct("ord", "candidate")).alias("path"))
+    return candidates.join(merged(own), "candidate").groupBy(*keys).agg(F.min_by("candidate", F.struct("ord", "candidate")).alias("path"))
 
 
 def package_name(specifier: Column) -> Column:
@@ -81,11 +82,11 @@ def resolve_scripts(imports: DataFrame, paths: DataFrame, aliases: DataFrame | N
     ends = spark.createDataFrame(list(enumerate(SCRIPT_ENDS)), "n int, end string")
     candidates = base.crossJoin(F.broadcast(ends)).select("dir", "specifier", F.concat("base", "end").alias("candidate"), (F.col("rank") * 100 + F.col("n")).alias("ord"))
     found = existing(candidates, paths, ["dir", "specifier"])
-    out = keys.join(found, ["dir", "specifier"], "left").join(explicit.withColumn("ex", F.lit(True)), ["dir", "specifier"], "left")
+    out = keys.join(merged(found), ["dir", "specifier"], "left").join(explicit.withColumn("ex", F.lit(True)), ["dir", "specifier"], "left")
     unresolved = F.col("is_relative") | F.coalesce("ex", F.lit(False))
     kind = F.when(F.col("is_builtin"), "external").when(F.col("path").isNotNull(), "internal").when(unresolved, "unresolved").otherwise("external")
     name = F.when(kind == "external", F.when(F.col("is_builtin"), F.regexp_replace(s, "^node:", "")).otherwise(package_name(s)))
-    return x.join(out.select("dir", "specifier", kind.alias("kind"), "path", name.alias("name")), ["dir", "specifier"]).select("file", "specifier", "kind", "path", "name")
+    return x.join(merged(out.select("dir", "specifier", kind.alias("kind"), "path", name.alias("name"))), ["dir", "specifier"]).select("file", "specifier", "kind", "path", "name")
 
 
 def alias_table(configs: DataFrame) -> DataFrame:
@@ -246,11 +247,11 @@ def requested_paths(requested: DataFrame, paths: DataFrame) -> DataFrame:
     norm = F.trim(F.regexp_replace(F.regexp_replace("requested", r"\\", "/"), r"^\./", ""))
     asked = requested.select("requested").distinct().withColumn("norm", norm).withColumn("low", F.lower("norm")).withColumn("base", base_name(F.col("low")))
     own = paths.select("path", F.lower("path").alias("low_path")).distinct().withColumn("name", base_name(F.col("low_path")))
-    equal = asked.join(own.select("path"), F.col("norm") == F.col("path"), "left_semi").select("requested", F.col("norm").alias("path"))
+    equal = asked.join(merged(own.select("path")), F.col("norm") == F.col("path"), "left_semi").select("requested", F.col("norm").alias("path"))
     # what ends with a request has a name that ends with the request's name
-    ends = own.withColumn("base", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.substr("name", n))))
-    rest = asked.where("base <> ''").join(equal.select("requested"), "requested", "left_anti")
-    hits = rest.join(ends, "base").withColumn("named", F.col("name") == F.col("base")).withColumn("ends", F.col("low_path").endswith(F.col("low")))
+    ends = dealt(own.withColumn("base", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.substr("name", n)))), "base")
+    rest = asked.where("base <> ''").join(merged(equal.select("requested")), "requested", "left_anti")
+    hits = rest.join(merged(ends), "base").withColumn("named", F.col("name") == F.col("base")).withColumn("ends", F.col("low_path").endswith(F.col("low")))
     first = lambda c: F.min(F.when(F.col(c), F.col("path")))
     found = hits.groupBy("requested").agg(F.count_if("named").alias("n"), first("named").alias("named"), first("ends").alias("ends"))
     found = found.select("requested", F.when(F.col("n") == 1, F.col("named")).otherwise(F.coalesce("ends", "named")).alias("path")).where("path is not null")
