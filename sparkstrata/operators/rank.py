@@ -72,10 +72,10 @@ def exact_matches(files: DataFrame, intents: DataFrame) -> DataFrame:
     paths = intents.select("query", F.explode(F.array_distinct("exact_paths")).alias("p")).withColumn("end", base_name(F.col("p"))).where("end <> ''")
     base = base_name(F.lower("id"))
     ends = F.transform(F.sequence(F.lit(1), F.length(base)), lambda n: F.substr(base, n))
-    # a file has a row for each character of its name, which no estimate knows before the rows are dealt out
-    own = dealt(files.select("id").where(F.length(base) > 0).distinct().withColumn("end", F.explode(ends)), "end")
+    own = files.select("id").where(F.length(base) > 0).distinct().withColumn("end", F.explode(ends))
     bonus = path_bonus(F.col("id"), F.array("p"))
-    return own.join(paths, "end").groupBy("query", "id").agg(F.max(bonus).alias("bonus")).where("bonus > 0")
+    # a file has a row for each character of its name, which no estimate knows; the paths are words of the queries at hand
+    return own.join(F.broadcast(paths), "end").groupBy("query", "id").agg(F.max(bonus).alias("bonus")).where("bonus > 0")
 
 
 def rank_files(files: DataFrame, intents: DataFrame, limit: int = 40) -> DataFrame:
@@ -151,7 +151,7 @@ def traverse(files: DataFrame, intents: DataFrame, neighbours: DataFrame, barrel
     best = ranked.groupBy("query").agg(F.max("score").alias("best"))
     first = ranked.where(F.col("rank") <= KEYWORD_SEEDS).join(best, "query").select("query", "id", (SEED_KEYWORD + SEED_KEYWORD_SPAN * F.col("score") / F.col("best")).alias("score"))
     pool = first.join(exact, ["query", "id"], "full").select("query", "id", F.when(F.col("exact"), SEED_EXACT).otherwise(F.col("score")).alias("score"))
-    keyword = pool.join(barrels.select("id").distinct(), "id", "left_anti").select("query", "id", F.lit("keyword").alias("source"), "score")
+    keyword = pool.join(merged(barrels.select("id").distinct()), "id", "left_anti").select("query", "id", F.lit("keyword").alias("source"), "score")
     barrel = pool.join(barrels, "id").select("query", F.coalesce("target", "id").alias("id"), F.lit("barrel").alias("source"), F.lit(SEED_BARREL).alias("score")).distinct()
     seeds = keyword.unionByName(barrel)
     if pr_files is not None:
@@ -181,13 +181,13 @@ def expand_categories(seeds: DataFrame, index: DataFrame, categories: list[str],
     """
     own = cut_lineage(seeds.select("id").distinct(), "seeds")
     index = cut_lineage(index, "index")
-    near = lambda e: e.join(own, "id", "left_semi").select(F.col("to").alias("id")).distinct()
+    near = lambda e: e.join(merged(own), "id", "left_semi").select(F.col("to").alias("id")).distinct()
     imports = near(index.select("id", F.explode("imports").alias("to")))
     importers = near(index.select("id", F.explode("imported_by").alias("to")))
     callers = callees = index.select("id").where(F.lit(False))
     if calls is not None:
         pairs = cut_lineage(calls.select("file", F.substring_index("call", "::", 1).alias("to")).where("file <> `to`").distinct(), "calls")
-        callers = pairs.join(own.select(F.col("id").alias("to")), "to", "left_semi").select(F.col("file").alias("id")).distinct()
+        callers = pairs.join(merged(own.select(F.col("id").alias("to"))), "to", "left_semi").select(F.col("file").alias("id")).distinct()
         callees = near(pairs.select(F.col("file").alias("id"), "to").where("`to` <> ''"))
     around = imports.unionByName(importers).distinct()
     hit = schema_hit(F.col("id"), F.col("semantic_role"), F.col("is_barrel"), F.col("n_structures"), F.col("n_functions"), F.size("imported_by"), F.size("imports"))
@@ -204,16 +204,16 @@ def expand_categories(seeds: DataFrame, index: DataFrame, categories: list[str],
         elif c in ("callees", "implementations", "imports"):
             found = imports.unionByName(callees).distinct()
         elif c in ("schemas", "configuration", "tests"):
-            found = around.join(pool, "id", "left_semi")
+            found = around.join(merged(pool), "id", "left_semi")
         elif c in CATEGORY_SCORES:
             found = around
         else:
             continue
-        got = found.join(known, "id", "left_semi").select("id", F.lit(CATEGORY_SCORES[c]).alias("score"), F.lit(c).alias("category"), F.lit(n).alias("n"))
+        got = found.join(merged(known), "id", "left_semi").select("id", F.lit(CATEGORY_SCORES[c]).alias("score"), F.lit(c).alias("category"), F.lit(n).alias("n"))
         every = got if every is None else every.unionByName(got)
         if c in ("schemas", "configuration", "tests"):
             none_yet = every.agg((F.count("*") == 0).alias("none_yet"))
-            other = pool.join(known, "id", "left_semi").crossJoin(F.broadcast(none_yet)).where("none_yet")  # one row
+            other = pool.join(merged(known), "id", "left_semi").crossJoin(F.broadcast(none_yet)).where("none_yet")  # one row
             every = every.unionByName(other.select("id", F.lit(CATEGORY_ELSEWHERE).alias("score"), F.lit(c).alias("category"), F.lit(n).alias("n")))
     if every is None:
         return index.select("id", F.lit(0.0).alias("score"), F.lit("").alias("category")).where(F.lit(False))
