@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkstrata.functions.classify import is_low_signal, is_noise, is_test
 from sparkstrata.functions.text import STOPWORDS, line_slice, strip_boilerplate, strings
 from sparkstrata.operators import budget, rank
+from sparkstrata.operators.graph import cut_lineage
 
 #: Words of a chat message that name nothing.
 CHAT_STOPWORDS = (
@@ -67,10 +68,11 @@ def chat_context(intents: DataFrame, files: DataFrame, neighbours: DataFrame, ba
     own = intents.withColumn("entities", useful_entities(F.col("entities")))
     found = rank.traverse(files, own, neighbours, barrels).select("query", "id", "score")
     open_file = own.select("query", F.lit(current).alias("id"), F.lit(CURRENT).alias("score"))
-    ranked = found.unionByName(open_file).groupBy("query", "id").agg(F.max("score").alias("score"))
+    # both are few rows of many; written, they have their true size where they are joined with all functions and contents
+    ranked = cut_lineage(found.unionByName(open_file).groupBy("query", "id").agg(F.max("score").alias("score")), "ranked")
     chosen = budget.select_functions(ranked.select(F.col("id").alias("file")).distinct().withColumn("source", F.lit("keyword")), functions.select("file", "function_id", "name", "is_exported", "ord"), [])
     spans = functions.select("file", "function_id", "start_line", "end_line")
-    bodies = chosen.join(spans, ["file", "function_id"]).join(contents, "file")
+    bodies = cut_lineage(chosen, "chosen").join(spans, ["file", "function_id"]).join(contents, "file")
     body = line_slice(F.col("content"), F.col("start_line"), F.least("end_line", F.col("start_line") + 699))
     x = bodies.select(F.col("file").alias("id"), "function_id", "nth", body.alias("body")).join(ranked, "id")
     return budget.char_budget(x, ["query"], [F.desc("score"), "id", "nth"], F.length("body"), most).select("query", "id", "function_id", "body", "score", "acc")
