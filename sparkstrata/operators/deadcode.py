@@ -56,7 +56,7 @@ def dead_code(files: DataFrame, edges: DataFrame, functions: DataFrame, threshol
     own = functions.groupBy(F.col("file").alias("id")).agg(F.count("*").alias("n_functions"), F.count_if("is_exported").alias("n_exported"))
     x = files
     for other in (d, alive, unused, own):
-        x = x.join(other, "id", "left")
+        x = x.join(merged(other), "id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     c_family = F.coalesce(F.col("language").isin("c", "cpp"), F.lit(False))
     c_source = c_family & (F.col("kind") != "declaration")

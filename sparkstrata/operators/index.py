@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkstrata.functions.classify import semantic_role
 from sparkstrata.functions.text import index_tokens, strings
+from sparkstrata.operators.graph import merged
 
 #: Parts of a path that add a token.
 HINTS = {"route": ["route"], "middleware": ["middleware"], "service": ["service"], "controller": ["controller"], "auth": ["auth"],
@@ -32,7 +33,7 @@ def retrieval_index(files: DataFrame, edges: DataFrame, functions: DataFrame, st
     re_exports = edges.where("kind = 're-export'").groupBy(F.col("source").alias("id")).agg(F.array_sort(F.collect_set("target")).alias("targets"))
     x = files.select("id", "is_barrel")
     for other in (import_lists(edges), n_f, n_s, re_exports):
-        x = x.join(other, "id", "left")
+        x = x.join(merged(other), "id", "left")
     none = F.array().cast("array<string>")
     nf, ns = F.coalesce("n_functions", F.lit(0)), F.coalesce("n_structures", F.lit(0))
     barrel = F.coalesce("is_barrel", F.lit(False)) | ((nf == 0) & (ns == 0) & F.col("targets").isNotNull())
