@@ -71,9 +71,13 @@ def ranker_tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(spaced), r"\s+"), lambda x: F.length(x) > 1)
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is used: what stands inside a lambda is worked out anew for each element, and what is used twice twice."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _telling(tokens: Column, stopwords: list[str]) -> Column:
-    stop = strings(stopwords)
-    return F.filter(tokens, lambda x: (F.length(x) > 2) & ~F.array_contains(stop, x))
+    return F.filter(tokens, lambda x: (F.length(x) > 2) & ~x.isin(*stopwords))
 
 
 def issue_tokens(c: Column) -> Column:
@@ -130,19 +134,26 @@ def search_intent(title: Column, body: Column, comments: Column, split_strong: b
     ``split_strong`` identifiers are split before they are lower-cased.
     """
     text = F.concat_ws(" ", title, title, body, F.array_join(F.slice(comments, 1, 5), " "))
-    codes, tokens, paths, strong = code_identifiers(text), issue_tokens(text), explicit_paths(text), strong_identifiers(text)
-    if split_strong:
-        strong = F.array_distinct(F.concat(strong, codes))
-    parts = F.flatten(F.transform(strong, lambda x: F.split(F.lower(camel_spaced(x)), " ")))
-    weak = F.filter(tokens, lambda x: ~F.array_contains(parts, x))
-    entities = F.array_distinct(F.concat(codes, tokens))
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "(?s)```.*?```", " "), "[^a-zA-Z0-9]", " "), r"\s+", " "))
-    code_signal = (F.size(codes) > 0) | (F.size(strong) > 0) | (F.size(paths) > 0)
-    vague = ~code_signal & ((F.size(entities) < 2) | (F.length(plain) < 80))
-    return F.struct(
-        F.slice(entities, 1, 20).alias("entities"), paths.alias("exact_paths"), strong.alias("strong_identifiers"),
-        F.slice(weak, 1, 20).alias("weak_terms"), vague.alias("is_vague"),
-    )
+
+    def read(t: Column) -> Column:
+        return F.struct(code_identifiers(t).alias("codes"), issue_tokens(t).alias("tokens"), explicit_paths(t).alias("paths"), strong_identifiers(t).alias("strong"))
+
+    def joined(x: Column) -> Column:
+        strong = F.array_distinct(F.concat(x["strong"], x["codes"])) if split_strong else x["strong"]
+        parts = F.flatten(F.transform(strong, lambda s: F.split(F.lower(camel_spaced(s)), " ")))
+        return F.struct(x["codes"].alias("codes"), x["tokens"].alias("tokens"), x["paths"].alias("paths"), strong.alias("strong"), parts.alias("parts"), F.array_distinct(F.concat(x["codes"], x["tokens"])).alias("entities"))
+
+    def intent(x: Column) -> Column:
+        weak = F.filter(x["tokens"], lambda t: ~F.array_contains(x["parts"], t))
+        code_signal = (F.size(x["codes"]) > 0) | (F.size(x["strong"]) > 0) | (F.size(x["paths"]) > 0)
+        vague = ~code_signal & ((F.size(x["entities"]) < 2) | (F.length(plain) < 80))
+        return F.struct(
+            F.slice(x["entities"], 1, 20).alias("entities"), x["paths"].alias("exact_paths"), x["strong"].alias("strong_identifiers"),
+            F.slice(weak, 1, 20).alias("weak_terms"), vague.alias("is_vague"),
+        )
+
+    return bound(text, lambda t: bound(read(t), lambda x: bound(joined(x), intent)))
 
 
 def token_similarity(q: Column, t: Column) -> Column:
