@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkstrata.sources.native import native_facts
-from sparkstrata.sources.script import script_facts
+from sparkstrata.sources.script import TEST_CALL, script_facts
 
 SCHEMA = (
     "file string, what string, name string, kind string, start_line int, end_line int, is_exported boolean, is_async boolean, parent string, "
@@ -111,6 +111,13 @@ def broken_python_rows(file: str, text: str) -> list[dict]:
     return [r | {"analysis_confidence": "low"} for r in out]
 
 
+def _tells(call: dict) -> bool:
+    """Whether a call can give a row of its own: others only show among the texts of their functions, and are most of a file's facts."""
+    name = call["name"] or ""
+    last = name.rpartition(".")[2]
+    return last in TELLING or call["first_text"] is not None and (name in ("import", "require") or TEST_CALL.match(name) is not None)
+
+
 def file_facts(file: str, text: str, language: str) -> list[dict]:
     """The facts of one file, in order."""
     if language in ("typescript", "javascript"):
@@ -119,6 +126,7 @@ def file_facts(file: str, text: str, language: str) -> list[dict]:
         except RecursionError:  # nested beyond what one walk can follow
             facts, sound = [], False
         out = [x | {"file": file, "analysis_confidence": "high" if sound else "low"} for x in facts]
+        return [x | {"ord": k} for k, x in enumerate(out) if x["what"] != "call" or _tells(x)]
     elif language == "python":
         out = [x | {"form": "row"} for x in python_rows(file, text)]
     elif language in ("go", "c", "cpp"):
@@ -128,14 +136,28 @@ def file_facts(file: str, text: str, language: str) -> list[dict]:
     return [x | {"ord": k} for k, x in enumerate(out)]
 
 
+#: Facts from which on a batch is passed on.
+BATCH = 4096
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.get(f.name) for x in rows], f.type) for f in FACTS_ARROW], schema=FACTS_ARROW)
+
+
 def facts(contents: DataFrame) -> DataFrame:
     """The facts of each file (path, content, language), one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in b.to_pylist():
-                if rows := file_facts(x["path"] or "", x["content"] or "", x["language"] or ""):
-                    yield pa.RecordBatch.from_pylist(rows, FACTS_ARROW)
+            rows: list[dict] = []
+            for file, text, language in zip(*(b.column(k).to_pylist() for k in range(3))):
+                rows += file_facts(file or "", text or "", language or "")
+                # files share a batch, as each batch has a cost of its own for each column
+                if len(rows) >= BATCH:
+                    yield _batch(rows)
+                    rows = []
+            if rows:
+                yield _batch(rows)
 
     # reading a text takes far longer than moving it, and files may come in few partitions
     n = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -147,6 +169,7 @@ FORMS = ["declaration", "arrow", "expression", "method", "exports", "getter", "s
 #: Calls that start a server, and calls that register a route.
 STARTUP = ["listen", "createServer", "start", "bootstrap"]
 ROUTES = ["get", "post", "put", "patch", "delete", "head", "options", "all", "use", "route", "handle"]
+TELLING = {*STARTUP, *ROUTES}
 
 
 def called_names(texts):
@@ -184,8 +207,7 @@ def rows_of(found: DataFrame) -> DataFrame:
     fields = [*FIELDS, "visibility", "is_recovered"]
 
     def row(on, **values):
-        kept = {x: values.get(x, c[x]) for x in fields}
-        return F.when(on, F.struct(*[v.alias(k) for k, v in kept.items()], values.get("pass_", F.lit(0)).alias("pass"), values.get("once", F.lit(None).cast("string")).alias("once")))
+        return on, values
 
     function, call, statement = c["what"] == "function", c["what"] == "call", c["what"] == "statement"
     script = c["form"].isNull() | (c["form"] != "row")
@@ -215,7 +237,19 @@ def rows_of(found: DataFrame) -> DataFrame:
         row(script & call & last.isin(*STARTUP), what=F.lit("startup"), name=F.lit("listen"), once=F.lit("startup"), pass_=one),
         row(script & call & last.isin(*ROUTES) & c["name"].contains("."), what=F.lit("routes"), name=F.lit("register"), once=F.lit("routes"), pass_=one),
     ]
-    out = found.select(F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("r")).select("r.*")
+    # first the numbers of the rows that a fact gives, then their fields: whole rows in one expression are more code than the JVM compiles
+    given = found.withColumn("made", F.explode(F.array(*[F.when(on, F.lit(k)) for k, (on, _) in enumerate(made)]))).where("made is not null")
+
+    def field(name, other):
+        value = other
+        for k, (_, values) in enumerate(made):
+            if name in values:
+                value = F.when(F.col("made") == k, values[name]).otherwise(value)
+        return value
+
+    out = given.select(
+        *[field(x, c[x]).alias(x) for x in fields], field("pass_", F.lit(0)).alias("pass"), field("once", F.lit(None).cast("string")).alias("once"),
+    )
     # only rows that may stand once are numbered together; all others have a key of their own
     key = F.coalesce(F.concat(F.lit("1"), "once"), F.concat(F.lit("0"), F.col("ord").cast("string"), F.lit("/"), F.col("pass").cast("string"), F.lit("/"), F.col("what")))
     first = F.row_number().over(Window.partitionBy("file", "what", key).orderBy("pass", "ord"))

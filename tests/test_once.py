@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkstrata.functions import text as T
+from sparkstrata.sources import extract
 
 
 def test_search_intent_reads_a_text_once(spark):
@@ -13,3 +14,16 @@ def test_search_intent_reads_a_text_once(spark):
     r = got.first()
     assert r.exact_paths == ["smallring1.ts", "src/core/a.go", "a.go"] and r.strong_identifiers == ["hotbolt", "smallring1", "loadsmallring", "smallring"]
     assert r.weak_terms == ["cannot", "open", "small", "ring1", "cannot", "open", "small", "ring1", "hot", "bolt", "src", "core", "fails", "load", "small", "ring", "small", "ring", "run", "small"]
+
+
+def test_facts_are_numbered_before_rows_are_made(spark):
+    text = "function a() { b(); c.d(1); }\napp.get('/x', e);\nit('works', () => f());\nimport('./y');\n"
+    assert [x["name"] for x in extract.file_facts("a.js", text, "javascript") if x["what"] == "call"] == ["app.get", "it", "import"]
+    rows = extract.extract(spark.createDataFrame([("a.js", text, "javascript")], "path string, content string, language string"))
+    assert "namedlambdavariable()) IS NOT NULL" not in (plan := rows._jdf.queryExecution().optimizedPlan().toString()) and "lambdafunction(isnotnull(" not in plan
+    got = {(r.what, r.name) for r in rows.collect()}
+    assert got == {
+        ("function", "a"), ("local", "a"), ("structure", "get(/x)"), ("routes", "register"), ("function", "it(works)"), ("structure", "it(works)"), ("test-case", "works"), ("import", "./y"), ("structure", "import(./y)"),
+    }
+    calls = {r.name: r.calls for r in rows.collect() if r.what == "function"}
+    assert calls["a"] == ["b", "d"]
