@@ -67,8 +67,8 @@ def query_tokens(c: Column) -> Column:
 
 def ranker_tokens(c: Column) -> Column:
     """Terms of a document or query for ranking: split at capitals and marks, longer than one character; repeats stay."""
-    spaced = F.regexp_replace(camel_spaced(c, digits=True), "[^a-zA-Z0-9]", " ")
-    return F.filter(F.split(F.lower(spaced), r"\s+"), lambda x: F.length(x) > 1)
+    # one pass over the text: capitals with what follows them, or what stands alone, of two characters at least
+    return F.transform(F.regexp_extract_all(c, F.lit("[A-Z]++[a-z0-9]++|[a-z0-9]{2,}+|[A-Z]{2,}+"), 0), F.lower)
 
 
 def bound(value: Column, body) -> Column:

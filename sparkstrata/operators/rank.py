@@ -42,10 +42,25 @@ def bm25(terms: DataFrame, wanted: DataFrame, k1: float = K1, b: float = B) -> D
     document counts come from them, and the join keeps the query terms alone.
     """
     counts = cut_lineage(terms.groupBy("id", "term").agg(F.count("*").alias("tf")), "terms")
-    lengths = counts.groupBy("id").agg(F.sum("tf").alias("dl"))
+    mine = counts.join(wanted.select("term").distinct(), "term", "left_semi")
+    return _scores(mine, counts.groupBy("id").agg(F.sum("tf").alias("dl")), wanted, k1, b)
+
+
+def bm25_of_texts(texts: DataFrame, wanted: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """`bm25` of texts whose terms are arrays (id, terms): a length is the size of an array, and terms that no query has are dropped before any are counted.
+
+    Texts without terms count as no documents; those of one id are one document.
+    """
+    own = cut_lineage(texts.select("id", "terms"), "terms")
+    lengths = own.groupBy("id").agg(F.sum(F.size("terms")).alias("dl")).where("dl > 0")
+    asked = F.broadcast(wanted.select("term").distinct())  # the words of the queries at hand
+    mine = own.select("id", F.explode("terms").alias("term")).join(asked, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return _scores(mine, lengths, wanted, k1, b)
+
+
+def _scores(mine: DataFrame, lengths: DataFrame, wanted: DataFrame, k1: float, b: float) -> DataFrame:
+    """Scores by counts of the query terms (id, term, tf) and all documents' lengths (id, dl)."""
     whole = lengths.agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
-    asked = wanted.select("term").distinct()
-    mine = counts.join(asked, "term", "left_semi")
     df = mine.groupBy("term").agg(F.count("*").alias("df"))
     n, avg = F.greatest(F.col("n"), F.lit(1)), F.col("total") / F.greatest(F.col("n"), F.lit(1))
     x = mine.join(df, "term").join(merged(lengths), "id").crossJoin(F.broadcast(whole))  # one row

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkstrata.functions import text as T
+from sparkstrata.operators import rank
 from sparkstrata.sources import extract
 
 
@@ -27,3 +28,14 @@ def test_facts_are_numbered_before_rows_are_made(spark):
     }
     calls = {r.name: r.calls for r in rows.collect() if r.what == "function"}
     assert calls["a"] == ["b", "d"]
+
+
+def test_terms_of_texts_are_read_once_and_counted_for_queries_alone(spark):
+    df = spark.createDataFrame([("getURL2Path a_b x Kelvin AB A 9 42 aB1 éXy",)], "t string").select(T.ranker_tokens(F.col("t")).alias("r"))
+    assert df.first().r == ["get", "url2", "path", "elvin", "ab", "42", "b1", "xy"]
+    assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
+    texts = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b", "c"]), (2, ["a"]), (3, []), (4, None)], "id long, terms array<string>")
+    wanted = spark.createDataFrame([("q", "a", 1.0), ("q", "c", 2.0), ("r", "b", 1.0)], "query string, term string, weight double")
+    got = {(r.query, r.id): round(r.bm25, 9) for r in rank.bm25_of_texts(texts, wanted).collect()}
+    plain = {(r.query, r.id): round(r.bm25, 9) for r in rank.bm25(texts.select("id", F.explode("terms").alias("term")), wanted).collect()}
+    assert got == plain and set(got) == {("q", 1), ("q", 2), ("r", 1), ("r", 2)}
