@@ -3,10 +3,10 @@
 Pages are paired by URL path within each host: a page's partner is the one of
 the nearest pages of another path before and after it in path order whose path
 has the longest common start. The text lines (blocks) of both are aligned by a
-longest common subsequence. Lines that the pages share are the site's and not
-the article's, and go, except inside an element that the page itself marks as
-its article: there a shared line is a line that two articles have. Elements
-whose tag, role, class or id says that they are menus, headers, footers,
+longest common subsequence, on every page. Lines that the pages share are the
+site's and not the article's, and go. Of elements that the page itself marks as
+articles those stay that the partner hasn't got as a whole, and these keep their
+shared lines too, which two articles have. Elements whose tag, role, class or id says that they are menus, headers, footers,
 sidebars, notices, adverts, forms or reader comments go as a whole, because such
 parts may also differ from page to page.
 """
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkstrata.llm.common import arrow_schema, materialize, record_batch
+from sparkstrata.llm.common import arrow_schema, materialize, record_batch, sliced
 from sparkstrata.llm.ordered import in_one_task, in_ranges
 
 TOKEN = re.compile(
@@ -58,7 +58,7 @@ PARTS = {
 FRAME = {"has", "with", "no", "without", "layout", "page", "wrapper", "container", "body", "site", "main", "content"}
 NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-SITE, OPEN, MARKED = 0, 1, 2  # not the article's; neither marked; inside a marked article
+SITE, OPEN, MARKED = 0, 1, 2  # not the article's; neither marked; inside the first marked article (3: the second, ...)
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -69,9 +69,9 @@ def _zone(tag: str, attributes: str, zone: int) -> int:
     """Zone of the content of an element inside ``zone``."""
     if zone == SITE or tag in NOT_TEXT:
         return SITE
-    if tag == "header" and zone != MARKED:
+    if tag == "header" and zone < MARKED:
         return SITE
-    marked = MARKED if tag in ("article", "main") else zone
+    marked = max(zone, MARKED) if tag in ("article", "main") else zone
     if not attributes.strip() or tag in ("html", "body"):
         return marked
     own = _attributes(attributes)
@@ -82,15 +82,20 @@ def _zone(tag: str, attributes: str, zone: int) -> int:
     names = {x.lower() for x in NAMES.findall(f"{own.get('class', '')} {own.get('id', '')}")}
     if names & PARTS and (not names & FRAME or names & {"comment", "comments", "cookie", "ad", "ads"}) and tag != "main":
         return SITE
-    return MARKED if role in ("main", "article") or own.get("itemprop") == "articleBody" else marked
+    return max(zone, MARKED) if role in ("main", "article") or own.get("itemprop") == "articleBody" else marked
 
 
 def lines(page: str) -> list[tuple[str, int]]:
-    """(text, zone) of each non-empty block in page order: references decoded, white space runs made one space."""
+    """(text, zone) of each non-empty block in page order: references decoded, white space runs made one space.
+
+    Marked elements are numbered from ``MARKED`` on: the outermost ones, and
+    articles inside one that is no article.
+    """
     out: list[tuple[str, int]] = []
     buffer: list[str] = []
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int, bool]] = []
     zone, at, n = OPEN, 0, len(page)
+    inside, number = False, MARKED  # in an article; the next marked element's number
 
     def end_block() -> None:
         if buffer:
@@ -130,12 +135,14 @@ def lines(page: str) -> list[tuple[str, int]]:
             continue
         if not closes:
             if not m[3].endswith("/") or tag == "article":
-                stack.append((tag, zone))
-                zone = _zone(tag, m[3], zone)
+                stack.append((tag, zone, inside))
+                outer, zone = zone, _zone(tag, m[3], zone)
+                if zone >= MARKED and (outer < MARKED or tag == "article" and not inside):
+                    zone, number, inside = number, number + 1, tag == "article"
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    zone = stack[k][1]
+                    _, zone, inside = stack[k]
                     del stack[k:]
                     break
     end_block()
@@ -180,20 +187,21 @@ def _common_start(a: str, b: str) -> int:
     return n
 
 
-def main_text(own: list[tuple[str, int]], hashes: list[int], partner: list[int] | None) -> str:
-    """The blocks that stay, joined by an empty line.
+def kept_lines(zones: list[int], hashes: list[int], partner: list[int] | None) -> list[bool]:
+    """Which lines of a page stay, by its difference from the partner (no lines: it has none).
 
-    Where a page marks its article, the article's blocks stay. Otherwise the
-    blocks stay that are no named part of the site and that the partner hasn't
-    got; if the partner has them all, the pages are copies and nothing is taken
-    away for that.
+    The lines stay that are no named part of the site and that the partner
+    hasn't got. Where the page marks articles, those stay of which such a line
+    is left, with their shared lines and without what lies outside them. If
+    the partner has all lines, or all articles, the pages are copies and nothing
+    is taken away for that.
     """
-    marked = any(z == MARKED for _, z in own)
     shared = common_lines(hashes, partner) if partner else set()
-    stays = [z == MARKED or not marked and z == OPEN and k not in shared for k, (_, z) in enumerate(own)]
-    if not marked and not any(stays):
-        stays = [z == OPEN for _, z in own]
-    return "\n\n".join(t for (t, _), keep in zip(own, stays) if keep)
+    left = [z != SITE and k not in shared for k, z in enumerate(zones)]
+    if articles := {z for z in zones if z >= MARKED}:
+        own = {z for z, stays in zip(zones, left) if stays and z >= MARKED} or articles
+        return [z in own for z in zones]
+    return left if any(left) else [z != SITE for z in zones]
 
 
 #: Pages of one path that wait in memory for the next path.
@@ -226,41 +234,42 @@ def extract(pages: DataFrame) -> DataFrame:
     Tags that never end, or that end what wasn't begun, are passed over, and text
     after an unclosed script or comment is no text. No rows give no rows.
 
-    Pages are parsed where they lie. A page that marks its article needs no
-    partner and is no more than line hashes to others; only these and the lines
-    of the other pages are dealt by ranges of host and path. Pages that wait for a path of another range,
-    or of whose path there are many, are passed on with their lines, and get
-    their partners from the ends of the ranges.
+    Pages are parsed where they lie, and hashes of their lines are dealt by
+    ranges of host and path. Pages that wait for a path of another range, or of
+    whose path there are many, are passed on, and get their partners from the
+    ends of the ranges. What comes back for each page says which of its lines
+    stay, and these are read from the page itself.
     """
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^#]*)", 1)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    keyed = pages.select(host.alias("host"), path.alias("path"), F.col("page_id").cast("long"), F.xxhash64(html).alias("hash"), F.col("url").cast("string"), html.alias("html"))
+    page_id, own_url = F.col("page_id").cast("long"), F.col("url").cast("string")
+    # rows that agree on both are one page, whose lines stay or go alike
+    ids = (F.xxhash64(html).alias("hash"), F.xxhash64(page_id, F.lit("of"), own_url).alias("place"))
+    keyed = pages.select(host.alias("host"), path.alias("path"), page_id.alias("page_id"), *ids, html.alias("html"))
     columns = "page_id long, url string, text string, n_chars long"
     # kind 0: a result; 1: a page that waits; 2: an end of a range; 3: a page after many of one path
-    read = f"{columns}, host string, path string, hash long, hashes binary, zones binary, lines array<string>"
-    schema = f"{columns}, kind int, part int, run long, side int, host string, path string, hashes binary, zones binary, lines array<string>, before_path string, before binary"
-    arrow, plain, parsed_as = arrow_schema(schema), arrow_schema(columns), arrow_schema(read)
+    read = "page_id long, host string, path string, hash long, place long, hashes binary, zones binary"
+    decided = "hash long, place long, stays binary"
+    schema = f"{decided}, kind int, part int, run long, side int, host string, path string, hashes binary, zones binary, before_path string, before binary"
+    arrow, plain, parsed_as, stays_as = arrow_schema(schema), arrow_schema(columns), arrow_schema(read), arrow_schema(decided)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                rows: dict[str, list] = {k: [] for k in parsed_as.names}
-                for page in part.column("html").to_pylist():
-                    own = lines(page)
-                    marked = any(z == MARKED for _, z in own)
-                    text = main_text(own, [], None) if marked else None
-                    hashes = np.array([xxhash.xxh64_intdigest(t) for t, _ in own], np.uint64)
-                    for k, v in (("text", text), ("n_chars", len(text) if marked else None), ("hashes", hashes.tobytes()), ("zones", None if marked else bytes(z for _, z in own)), ("lines", None if marked else [t for t, _ in own])):
-                        rows[k].append(v)
-                rows |= {k: part.column(k) for k in ("page_id", "url", "host", "path", "hash")}
-                yield record_batch(rows, parsed_as)
+        for part in sliced(batches, 256):
+            hashes, zones = [], []
+            for page in part.column("html").to_pylist():
+                own = lines(page)
+                hashes.append(np.array([xxhash.xxh64_intdigest(t) for t, _ in own], np.uint64).tobytes())
+                zones.append(np.array([z for _, z in own], np.int32).tobytes())
+            yield record_batch({k: part.column(k) for k in parsed_as.names[:5]} | {"hashes": hashes, "zones": zones}, parsed_as)
+
+    def stays(zones: bytes, hashes: list[int], partner: list[int] | None) -> bytes:
+        return np.packbits(np.array(kept_lines(np.frombuffer(zones, np.int32).tolist(), hashes, partner), bool)).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
-        held: list[dict] = []  # unmarked pages of the path at hand, which wait for the next path
+        held: list[dict] = []  # pages of the path at hand, which wait for the next path
         before: list[dict | None] = [None, None]  # the last pages of the two paths before
         row: dict | None = None
         part, number, many = 0, -1, False
@@ -271,24 +280,17 @@ def extract(pages: DataFrame) -> DataFrame:
             return out
 
         def known(x: dict | None) -> tuple | None:
-            return x and (x["host"], x["path"], x["own"])
-
-        def result(x: dict, partner: list[int] | None) -> None:
-            text = main_text(x["lines"], x["own"], partner)
-            rows.append({"page_id": x["page_id"], "url": x["url"], "text": text, "n_chars": len(text), "kind": 0})
+            return x and (x["host"], x["path"], _hashes(x["hashes"]))
 
         def end(x: dict, side: int, n: int, kind: int = 2) -> None:
-            rows.append({"kind": kind, "part": part, "run": n, "side": side, "host": x["host"], "path": x["path"], "hashes": np.array(x["own"], np.uint64).tobytes()})
+            rows.append({"kind": kind, "part": part, "run": n, "side": side, "host": x["host"], "path": x["path"], "hashes": x["hashes"]})
 
         def wait() -> None:
             """Pass on the pages that wait."""
+            last = before[1]
             for x in held:
-                last = before[1]
-                rows.append({
-                    "page_id": x["page_id"], "url": x["url"], "kind": 1, "part": part, "run": number, "host": x["host"], "path": x["path"],
-                    "hashes": np.array(x["own"], np.uint64).tobytes(), "zones": bytes(z for _, z in x["lines"]), "lines": [t for t, _ in x["lines"]],
-                    "before_path": last and last["host"] + "\x00" + last["path"], "before": last and np.array(last["own"], np.uint64).tobytes(),
-                })
+                own = {k: x[k] for k in ("hash", "place", "host", "path", "hashes", "zones")}
+                rows.append(own | {"kind": 1, "part": part, "run": number, "before_path": last and last["host"] + "\x00" + last["path"], "before": last and last["hashes"]})
             held.clear()
 
         def next_path(x: dict) -> None:
@@ -296,8 +298,10 @@ def extract(pages: DataFrame) -> DataFrame:
             if row is not None:
                 if number == 0:
                     wait()
+                near = [known(before[1]), known(x)]
                 for y in held:
-                    result(y, _nearest(y["host"], y["path"], [known(before[1]), known(x)]))
+                    partner = _nearest(y["host"], y["path"], near)
+                    rows.append({"hash": y["hash"], "place": y["place"], "stays": stays(y["zones"], _hashes(y["hashes"]), partner), "kind": 0})
                 held.clear()
                 if many or number == 0:
                     end(x, 1, number, 3)
@@ -306,22 +310,18 @@ def extract(pages: DataFrame) -> DataFrame:
             if number < 2:
                 end(x, number, number)
 
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                for x in b.slice(at, 256).to_pylist():
-                    x["own"] = _hashes(x["hashes"])
-                    part = x["part"]
-                    if row is None or (x["host"], x["path"]) != (row["host"], row["path"]):
-                        next_path(x)
-                    row = x
-                    if x["zones"] is not None:
-                        x["lines"] = list(zip(x["lines"], x["zones"]))
-                        held.append(x)
-                    if len(held) >= WAITING:
-                        wait()
-                        many = True
-                if rows:
-                    yield batch()
+        for b in sliced(batches, 256):
+            for x in b.to_pylist():
+                part = x["part"]
+                if row is None or (x["host"], x["path"]) != (row["host"], row["path"]):
+                    next_path(x)
+                row = x
+                held.append(x)
+                if len(held) >= WAITING:
+                    wait()
+                    many = True
+            if rows:
+                yield batch()
         if row is not None:
             wait()
             end(row, 3, number)
@@ -349,14 +349,22 @@ def extract(pages: DataFrame) -> DataFrame:
             rows = []
             for x in b.to_pylist():
                 near = [(*at.split("\x00", 1), _hashes(its)) for at, its in ((x["before_path"], x["before"]), (x["after_path"], x["after"])) if at is not None]
-                text = main_text(list(zip(x["lines"], x["zones"])), _hashes(x["hashes"]), _nearest(x["host"], x["path"], near))
-                rows.append((x["page_id"], x["url"], text, len(text)))
+                rows.append((x["hash"], x["place"], stays(x["zones"], _hashes(x["hashes"]), _nearest(x["host"], x["path"], near))))
             if rows:
-                yield record_batch(dict(zip(plain.names, zip(*rows))), plain)
+                yield record_batch(dict(zip(stays_as.names, zip(*rows))), stays_as)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 256):
+            found = []
+            for page, bits in zip(b.column("html").to_pylist(), b.column("stays").to_pylist()):
+                own = lines(page)
+                keep = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).tolist()
+                found.append("\n\n".join(t for (t, _), k in zip(own, keep) if k))
+            yield record_batch({"page_id": b.column("page_id"), "url": b.column("url"), "text": found, "n_chars": list(map(len, found))}, plain)
 
     found = "part int, run long, after boolean, at string, its binary"
-    parsed = materialize(keyed.mapInArrow(parse, read), "lines")
-    dealt = in_ranges(parsed.select("page_id", "url", "host", "path", "hash", "hashes", "zones", "lines"), ["host", "path", "page_id", "hash"], ["url"])
+    parsed = keyed.mapInArrow(parse, read)
+    dealt = in_ranges(materialize(parsed, "lines"), ["host", "path", "page_id", "hash"], ["place"])
     done = materialize(dealt.mapInArrow(run, schema), "pages")
     far = in_one_task(done.where("kind = 2").select("part", "run", "side", "host", "path", "hashes"), "part", "side").mapInArrow(partners, found)
     near = done.where("kind = 3").select("part", "run", F.lit(True).alias("after"), F.concat("host", F.lit("\x00"), "path").alias("at"), F.col("hashes").alias("its"))
@@ -365,6 +373,7 @@ def extract(pages: DataFrame) -> DataFrame:
     waiting = done.where("kind = 1").withColumnsRenamed({"before_path": "own_path", "before": "own_before"})
     waiting = waiting.join(one(False, "far_path", "far"), ["part", "run"], "left").join(one(True, "after_path", "after"), ["part", "run"], "left")
     waiting = waiting.withColumn("before_path", F.coalesce("own_path", "far_path")).withColumn("before", F.coalesce("own_before", "far"))
-    late = waiting.select("page_id", "url", "host", "path", "hashes", "zones", "lines", "before_path", "before", "after_path", "after").mapInArrow(finish, columns)
-    out = parsed.where("zones is null").select(*plain.names)
-    return out.unionByName(done.where("kind = 0").select(*plain.names)).unionByName(late)
+    late = waiting.select("hash", "place", "host", "path", "hashes", "zones", "before_path", "before", "after_path", "after").mapInArrow(finish, decided)
+    each = done.where("kind = 0").select(*stays_as.names).unionByName(late).groupBy("hash", "place").agg(F.min("stays").alias("stays"))
+    whole = pages.select(page_id.alias("page_id"), own_url.alias("url"), html.alias("html"), *ids)
+    return whole.join(each, ["hash", "place"]).select("page_id", "url", "html", "stays").mapInArrow(cut, columns)

@@ -455,3 +455,12 @@ def test_common_lines_is_longest():
         assert len(found) == table[-1][-1]
         rest = iter(b)
         assert all(a[k] in rest for k in sorted(found))
+
+
+def test_partner_decides_which_marked_elements_are_the_article(spark):
+    page = lambda k: f"<body><div>Site {k}</div><main><div>Section</div><article><h1>Story {k}</h1><p>Shared words</p></article><article><p>Read this too</p></article></main></body>"
+    copy = "<body><article><p>Told twice</p></article></body>"
+    rows = [(k, f"http://h/x/{k}", page(k)) for k in range(5)] + [(k, f"http://copies/{k}", copy) for k in (7, 8)] + [(9, "http://lone/x", page(9))] * 2
+    got = [(r.page_id, r.text) for r in page_difference.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()]
+    assert len(got) == len(rows)
+    assert dict(got) == {k: f"Story {k}\n\nShared words" for k in range(5)} | {7: "Told twice", 8: "Told twice", 9: "Section\n\nStory 9\n\nShared words\n\nRead this too"}
