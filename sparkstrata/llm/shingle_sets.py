@@ -3,14 +3,15 @@
 Candidates come from ``TABLES`` independent fingerprints of a set, each the
 combined minima of ``ROWS`` random orders of its shingles: two sets of similarity
 s have one in common with probability 1 - (1 - s^5)^32, at 0.8 all but 3 in a
-million pairs, above it fewer miss. Documents that tables join, directly or by
-others, are brought together, and there every pair is decided by the exact
-similarity of the whole sets.
+million pairs, above it fewer miss. A caller adds the candidates of its own
+fingerprints. Documents that either join, directly or by others, are brought
+together, and there every pair is decided by the exact similarity of the whole
+sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ ODD = _random.integers(0, 1 << 64, TABLES * ROWS, np.uint64) | np.uint64(1)
 FLIP = _random.integers(0, 1 << 64, TABLES * ROWS, np.uint64)
 
 
-def shingle_set(text: bytes, k: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes of the lower-cased ``k``-word shingles of a UTF-8 text; a text of fewer words is one shingle, one without words has none."""
+def shingle_hashes(text: bytes, k: int = 5) -> np.ndarray:
+    """64-bit hashes of the lower-cased ``k``-word shingles of a UTF-8 text, each as often as it occurs; a text of fewer words is one shingle, one without words has none."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -46,7 +47,7 @@ def shingle_set(text: bytes, k: int = 5) -> np.ndarray:
         return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[: n - 1] + 1])
-    return np.unique(np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts.tolist(), ends[k - 1 :].tolist())), np.uint64, n))
+    return np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts.tolist(), ends[k - 1 :].tolist())), np.uint64, n)
 
 
 def set_print(shingles: np.ndarray) -> int:
@@ -158,12 +159,18 @@ def _bit_table(near: DataFrame) -> bytes:
     return bytes(out)
 
 
-def copy_groups(docs: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+def _one_print(hashes: np.ndarray) -> int:
+    return 0
+
+
+def copy_groups(docs: DataFrame, k: int = 5, block: int = BLOCK, sketch: Callable[[np.ndarray], int] = _one_print, close: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, component_id): groups of whole texts whose ``k``-word shingle sets have a Jaccard similarity of 0.8 or more.
 
     component_id is the smallest doc_id that links reach, the document's own
-    included. Texts without words (null, empty) have equal sets and are one
-    group. Equal sets count once in the search, so exact copies cost no pairs. A
+    included. ``sketch`` makes an unsigned 64-bit fingerprint of a text's shingle
+    hashes and ``close`` links (u, v) of distinct ones (fp, id); sets that they
+    join are compared like those that the tables join. Texts without words (null,
+    empty) have equal sets and are one group. Equal sets count once in the search, so exact copies cost no pairs. A
     row without doc_id takes the component of its set's other documents and never
     names one. No rows give no rows.
     """
@@ -171,18 +178,26 @@ def copy_groups(docs: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
     plain = id_text(docs)
 
     def fingerprints(batch: pa.RecordBatch) -> dict:
-        sets = [shingle_set(t, k) for t in texts(batch)]
-        return {"doc_id": batch.column("doc_id"), "print": [set_print(s) for s in sets], "keys": [table_keys(s).tobytes() for s in sets]}
+        hashes = [shingle_hashes(t, k) for t in texts(batch)]
+        sets = [np.unique(h) for h in hashes]
+        fp = np.array([sketch(h) for h in hashes], np.uint64).view(np.int64)
+        return {"doc_id": batch.column("doc_id"), "print": [set_print(s) for s in sets], "fp": fp, "keys": [table_keys(s).tobytes() for s in sets]}
 
     def keyed(batch: pa.RecordBatch) -> dict:
         keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64)
         return {"key": keys, "print": np.repeat(batch.column("print").to_numpy(), TABLES)}
 
-    prints = materialize(map_batches(plain, fingerprints, "doc_id long, print long, keys binary"), "prints")
+    prints = materialize(map_batches(plain, fingerprints, "doc_id long, print long, fp long, keys binary"), "prints")
     distinct = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("id")).where("id is not null"), "distinct")
     first = prints.join(distinct.withColumnRenamed("id", "doc_id"), ["print", "doc_id"]).select("print", "keys")
     tables = map_batches(first, keyed, "key long, print long").repartition(n, "key").sortWithinPartitions("key", "print")
-    near = connected_components(tables.mapInArrow(_chains, "u long, v long"))
+    candidates = tables.mapInArrow(_chains, "u long, v long")
+    if close is not None:
+        sketched = prints.where("doc_id is not null").select("fp", "print").distinct()
+        heads = materialize(sketched.groupBy("fp").agg(F.min("print").alias("id")), "heads")
+        alike = sketched.join(heads, "fp").where("print <> id").select(F.col("id").alias("u"), F.col("print").alias("v"))
+        candidates = candidates.unionByName(alike).unionByName(close(heads))
+    near = connected_components(candidates)
     near = materialize(near.withColumnRenamed("node", "print").join(distinct, "print"), "near")
     held = docs.sparkSession.sparkContext.broadcast(_bit_table(near))
 
@@ -192,7 +207,7 @@ def copy_groups(docs: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
         batch = batch.filter(pa.array(batch.column("doc_id").is_valid()))
         slot = _slots(batch.column("doc_id").to_numpy(), 8 * len(table))
         batch = batch.filter(pa.array((table[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)))
-        sets = [shingle_set(t, k) for t in texts(batch)]
+        sets = [np.unique(shingle_hashes(t, k)) for t in texts(batch)]
         return {"doc_id": batch.column("doc_id"), "print": [set_print(s) for s in sets], "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
 
     sets = map_batches(plain, whole, "doc_id long, print long, n long, shingles binary")

@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +22,6 @@ from sparkstrata.llm.common import arrow_schema, group_labels, id_text, map_batc
 from sparkstrata.llm.components import connected_components
 
 RADIUS = 3
-SEED = 42
 #: A bucket of more fingerprints is dealt out again by masks over its free bits.
 BUCKET = 1024
 
@@ -47,17 +45,14 @@ def _signed(x: int) -> int:
 
 def fingerprint(text: bytes, k: int = 3) -> int:
     """64-bit SimHash of the lower-cased ``k``-word shingles of a UTF-8 text, each as often as it occurs."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    n = len(words) - k + 1
-    if n <= 1:
-        return digest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[: n - 1] + 1])
-    h = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts.tolist(), ends[k - 1 :].tolist())), np.uint64, n)
+    return sketch(shingle_sets.shingle_hashes(text, k))
+
+
+def sketch(h: np.ndarray) -> int:
+    """64-bit SimHash of hashes: the bits that more than half of them have."""
+    n = len(h)
+    if n == 1:
+        return int(h[0])
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         part = h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -176,9 +171,12 @@ def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
     """``docs`` with one document of each group of near copies, that of the smallest doc_id.
 
     Near copies are texts whose ``k``-word shingle sets have a Jaccard similarity
-    of 0.8 or more, which fingerprints within ``RADIUS`` bits don't reach. Rows without doc_id can't be told apart and stay, as do rows that repeat the
-    kept document's doc_id.
+    of 0.8 or more. Texts whose SimHash of these shingles differs in at most
+    ``RADIUS`` bits are found by the covering tables; pairs at 0.8 differ in some
+    ten bits, which no covering of use reaches, so tables of minima find the rest.
+    The whole sets decide on both. Rows without doc_id can't be told apart and
+    stay, as do rows that repeat the kept document's doc_id.
     """
-    groups = shingle_sets.copy_groups(docs, k)
+    groups = shingle_sets.copy_groups(docs, k, sketch=sketch, close=near_edges)
     gone = materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     return docs.join(gone, docs.doc_id.cast("long") == gone.gone, "left_anti")

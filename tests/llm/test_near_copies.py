@@ -1,5 +1,6 @@
 import hashlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -266,3 +267,15 @@ def test_suffix_nodes_are_repeats():
     for k, x in zip(order, least):
         assert x == min(o for key, o in zip(keys, owner) if key[:5] == keys[k][:5])
     assert [len(x) for x in substring_dedup.suffix_nodes(words, start[:0], owner[:0], 5)] == [0, 0]
+
+
+def test_pipeline_takes_candidates_from_covering_tables(spark, monkeypatch):
+    """Where the tables of minima find nothing, fingerprints within 3 bits still do, and the sets decide."""
+    monkeypatch.setattr(shingle_sets, "table_keys", lambda s: np.arange(32) + shingle_sets.set_print(s))
+    base = [f"w{x}" for x in np.random.default_rng(5).integers(0, 5000, 900)]
+    phrase = " ".join(["five words say it all"] * 400)
+    texts = [" ".join(base), " ".join(base[:-1] + ["other"]), " ".join(base[::-1]), phrase + " " + " ".join(base[:60]), phrase + " " + " ".join(base[60:120])]
+    prints = [plain_fingerprint(t, 5) for t in texts]
+    assert prints[0] != prints[1] and (prints[0] ^ prints[1]).bit_count() <= 3 and (prints[3] ^ prints[4]).bit_count() <= 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {0, 2, 3, 4}
