@@ -2,6 +2,7 @@
 
 from sparkstrata.operators import deadcode, graph, rank, resolve, workspaces
 from sparkstrata.plans import views
+from sparkstrata.plans.queries import QUERIES
 
 
 def plan_of(df) -> str:
@@ -68,3 +69,19 @@ def test_unused_exports_merge(spark, tmp_path):
     spark.createDataFrame([("b", "a", ["x"]), ("c", "b", ["*"])], "source string, target string, symbols array<string>").write.parquet(str(tmp_path / "e"))
     got = deadcode.unused_exports(spark.read.parquet(str(tmp_path / "f")), spark.read.parquet(str(tmp_path / "e")))
     assert [tuple(r) for r in got.collect()] == [("a", "y")] and "BroadcastHashJoin" not in plan_of(got)
+
+
+def test_tasks_of_call_resolution_grow_in_number_with_the_input(spark, monkeypatch):
+    """lineitem at scale 0.001 has 6,000 rows: 12 tasks of 500 for each step on edges and calls, where shuffles have 4."""
+    monkeypatch.setattr(graph, "TASK_ROWS", 500)
+    d = "/root/testdata/sf0.001"
+    n = -(-views.n_items(spark, d) // 500)
+    assert n > 4
+    for name in ("call_resolution", "orphan_symbols"):
+        df = QUERIES[name](spark, d)
+        edges = [x for x in plan_of(df).split("\n") if "REPARTITION_BY_NUM" in x and "p_partkey" not in x]
+        assert len(edges) > 8 and all(f", {n}), REPARTITION_BY_NUM" in x for x in edges), edges
+        got = sorted(map(tuple, df.collect()))
+        with monkeypatch.context() as m:
+            m.setattr(graph, "TASK_ROWS", 200_000)
+            assert got == sorted(map(tuple, QUERIES[name](spark, d).collect())) and got
