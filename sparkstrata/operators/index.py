@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkstrata.functions.classify import semantic_role
 from sparkstrata.functions.text import index_tokens, strings
-from sparkstrata.operators.graph import merged
+from sparkstrata.operators.graph import dealt, merged
 
 #: Parts of a path that add a token.
 HINTS = {"route": ["route"], "middleware": ["middleware"], "service": ["service"], "controller": ["controller"], "auth": ["auth"],
@@ -22,24 +22,32 @@ def import_lists(edges: DataFrame) -> DataFrame:
     return out.join(into, "id", "full").select("id", F.coalesce("imports", none).alias("imports"), F.coalesce("imported_by", none).alias("imported_by"))
 
 
-def retrieval_index(files: DataFrame, edges: DataFrame, functions: DataFrame, structures: DataFrame) -> DataFrame:
+def retrieval_index(files: DataFrame, edges: DataFrame, functions: DataFrame, structures: DataFrame, rows: int = 0) -> DataFrame:
     """A row for each file: is_barrel, barrel_targets, semantic_role, imports, imported_by, n_functions, n_structures.
 
     A barrel is marked by the parser or has neither functions nor structures but
-    a re-export. Edges are taken as they are, also those to unknown files.
+    a re-export. Edges are taken as they are, also those to unknown files. Ids
+    may be numbers; then ``files`` has their ``path`` too, and so has the index.
+    ``rows`` is about how many edges there are. An edge is shuffled by each of
+    its ends once, and not by its source where edges are dealt out by it.
     """
+    named = [c for c in ["path"] if c in files.columns]
     n_f = functions.groupBy(F.col("file").alias("id")).agg(F.count("*").alias("n_functions"))
     n_s = structures.groupBy(F.col("file").alias("id")).agg(F.count("*").alias("n_structures"))
-    re_exports = edges.where("kind = 're-export'").groupBy(F.col("source").alias("id")).agg(F.array_sort(F.collect_set("target")).alias("targets"))
-    x = files.select("id", "is_barrel")
-    for other in (import_lists(edges), n_f, n_s, re_exports):
+    again = F.col("kind") == "re-export"
+    out = edges.groupBy(F.col("source").alias("id")).agg(
+        F.array_sort(F.collect_set("target")).alias("imports"), F.array_sort(F.collect_set(F.when(again, F.col("target")))).alias("targets"), F.max(again).alias("re_exports")
+    )
+    into = dealt(edges.select("source", "target"), "target", rows=rows).groupBy(F.col("target").alias("id")).agg(F.array_sort(F.collect_set("source")).alias("imported_by"))
+    x = files.select("id", *named, "is_barrel")
+    for other in (out, into, n_f, n_s):
         x = x.join(merged(other), "id", "left")
-    none = F.array().cast("array<string>")
+    none = F.array().cast(out.schema["imports"].dataType)
     nf, ns = F.coalesce("n_functions", F.lit(0)), F.coalesce("n_structures", F.lit(0))
-    barrel = F.coalesce("is_barrel", F.lit(False)) | ((nf == 0) & (ns == 0) & F.col("targets").isNotNull())
+    barrel = F.coalesce("is_barrel", F.lit(False)) | ((nf == 0) & (ns == 0) & F.coalesce("re_exports", F.lit(False)))
     return x.select(
-        "id", barrel.alias("is_barrel"), F.when(barrel, F.coalesce("targets", none)).otherwise(none).alias("barrel_targets"),
-        semantic_role(F.col("id"), barrel).alias("semantic_role"), F.coalesce("imports", none).alias("imports"),
+        "id", *named, barrel.alias("is_barrel"), F.when(barrel, F.coalesce("targets", none)).otherwise(none).alias("barrel_targets"),
+        semantic_role(F.col(*named or ["id"]), barrel).alias("semantic_role"), F.coalesce("imports", none).alias("imports"),
         F.coalesce("imported_by", none).alias("imported_by"), nf.cast("long").alias("n_functions"), ns.cast("long").alias("n_structures"),
     )
 

@@ -189,28 +189,41 @@ def expand_categories(seeds: DataFrame, index: DataFrame, categories: list[str],
     """(id, score, category): files that the categories add to seeds (id), later categories overwriting earlier ones.
 
     ``index`` is a retrieval index, ``calls`` has (file, call) with called
-    functions as file::name: callers of a seed's functions are usages, the files
-    of what its functions call are callees. Schemas and tests are looked for
-    among all files at score 80 if nothing at all has been found so far. Only
-    known files that are no noise are given. Unknown categories give nothing.
+    functions as file::name, or (file, to) with their files: callers of a seed's
+    functions are usages, the files of what its functions call are callees.
+    Schemas and tests are looked for among all files at score 80 if nothing at
+    all has been found so far. Only known files that are no noise are given.
+    Unknown categories give nothing. Where the index has ``path``, ids may be
+    numbers and paths are given.
+
+    Lists are kept of seeds alone, and calls are looked up by seeds before
+    anything is made of them; what is written then has a row for each file.
     """
+    wanted = [x.lower().strip() for x in categories]
     own = cut_lineage(seeds.select("id").distinct(), "seeds")
-    index = cut_lineage(index, "index")
-    near = lambda e: e.join(merged(own), "id", "left_semi").select(F.col("to").alias("id")).distinct()
-    imports = near(index.select("id", F.explode("imports").alias("to")))
-    importers = near(index.select("id", F.explode("imported_by").alias("to")))
-    callers = callees = index.select("id").where(F.lit(False))
+    path = F.col("path" if "path" in index.columns else "id")
+    hit = schema_hit(path, F.col("semantic_role"), F.col("is_barrel"), F.col("n_structures"), F.col("n_functions"), F.size("imported_by"), F.size("imports"))
+    files = index.join(merged(own.withColumn("is_seed", F.lit(True))), "id", "left").select(
+        "id", path.alias("path"), hit.isNotNull().alias("is_schema"), path.rlike(CATEGORY_TEST).alias("is_test"), is_noise(path).alias("is_noise"),
+        *[F.when(F.col("is_seed"), F.col(c)).alias(c) for c in ("imports", "imported_by")],
+    )
+    files = cut_lineage(files, "index")
+    near = lambda c: cut_lineage(files.select(F.explode(c).alias("id")).distinct(), c)
+    imports, importers = near("imports"), near("imported_by")
+    callers = callees = files.select("id").where(F.lit(False))
     if calls is not None:
-        pairs = cut_lineage(calls.select("file", F.substring_index("call", "::", 1).alias("to")).where("file <> `to`").distinct(), "calls")
-        callers = pairs.join(merged(own.select(F.col("id").alias("to"))), "to", "left_semi").select(F.col("file").alias("id")).distinct()
-        callees = near(pairs.select(F.col("file").alias("id"), "to").where("`to` <> ''"))
+        named = "call" in calls.columns
+        pairs = calls.select("file", F.substring_index("call", "::", 1).alias("to") if named else "to").where("file <> `to`")
+        if {"usages", "callers"} & {*wanted}:
+            callers = cut_lineage(pairs.join(merged(own.select(F.col("id").alias("to"))), "to", "left_semi").select(F.col("file").alias("id")).distinct(), "callers")
+        if {"callees", "implementations", "imports"} & {*wanted}:
+            pairs = pairs.where("`to` <> ''") if named else pairs
+            callees = cut_lineage(pairs.join(merged(own.select(F.col("id").alias("file"))), "file", "left_semi").select(F.col("to").alias("id")).distinct(), "callees")
     around = imports.unionByName(importers).distinct()
-    hit = schema_hit(F.col("id"), F.col("semantic_role"), F.col("is_barrel"), F.col("n_structures"), F.col("n_functions"), F.size("imported_by"), F.size("imports"))
-    schemas = index.where(hit.isNotNull()).select("id")
-    tests = index.where(F.col("id").rlike(CATEGORY_TEST)).select("id")
-    known = index.select("id").where(~is_noise(F.col("id"))).distinct()
+    schemas, tests = files.where("is_schema").select("id"), files.where("is_test").select("id")
+    known = files.where("not is_noise").select("id").distinct()
     every: DataFrame | None = None
-    for n, c in enumerate(x.lower().strip() for x in categories):
+    for n, c in enumerate(wanted):
         pool = schemas if c in ("schemas", "configuration") else tests
         if c in ("usages", "callers"):
             found = importers.unionByName(callers).distinct()
@@ -231,5 +244,6 @@ def expand_categories(seeds: DataFrame, index: DataFrame, categories: list[str],
             other = pool.join(merged(known), "id", "left_semi").crossJoin(F.broadcast(none_yet)).where("none_yet")  # one row
             every = every.unionByName(other.select("id", F.lit(CATEGORY_ELSEWHERE).alias("score"), F.lit(c).alias("category"), F.lit(n).alias("n")))
     if every is None:
-        return index.select("id", F.lit(0.0).alias("score"), F.lit("").alias("category")).where(F.lit(False))
-    return every.groupBy("id").agg(F.max_by(F.struct("score", "category"), "n").alias("r")).select("id", "r.score", "r.category")
+        return files.select(F.col("path").alias("id"), F.lit(0.0).alias("score"), F.lit("").alias("category")).where(F.lit(False))
+    best = every.groupBy("id").agg(F.max_by(F.struct("score", "category"), "n").alias("r"))
+    return best.join(merged(files.select("id", "path").distinct()), "id").select(F.col("path").alias("id"), "r.score", "r.category")
