@@ -1,9 +1,11 @@
-"""The retrieval index and what is expanded from it by numbers for files, which leave far less to shuffles and disks than paths."""
+"""Numbers for files and functions, which leave far less to shuffles and disks than paths: the retrieval index, what is expanded from it, and the callers of functions."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from sparkstrata.operators import index, rank
+import __spark_entry__ as entry
+from sparkstrata.operators import graph, index, rank
 from sparkstrata.plans import views
 from sparkstrata.plans.queries import QUERIES
 
@@ -73,3 +75,41 @@ def test_files_have_numbers_only_where_these_tell_them_apart(spark, tmp_path, ex
     assert sorted(map(tuple, QUERIES["category_expansion"](spark, str(tmp_path)).collect())) == sorted(map(tuple, expanded.collect()))
     counts = lambda df: sorted((r.id, r.is_barrel, r.semantic_role, r.n_functions, r.n_structures, r.n_targets) for r in df.collect())
     assert counts(QUERIES["retrieval_index"](spark, str(tmp_path))) == counts(idx.withColumn("n_targets", F.size("barrel_targets")))
+
+
+@pytest.mark.parametrize("numbers", [False, True])
+def test_all_callers_are_given_in_the_order_of_functions(spark, numbers):
+    at = {"z": 1, "y": 2, "x": 3, "a": 4, "gone": 9}
+    of = at.get if numbers else str
+    kind = "long" if numbers else "string"
+    functions = spark.createDataFrame([(of(k), at[k], f"l{k}") for k in ("a", "x", "y", "z", "z")], f"id {kind}, ord long, label string")
+    pairs = [("a", "x"), ("z", "x"), ("y", "x"), ("a", "x"), ("x", "a"), ("gone", "a"), ("x", "gone"), ("y", "a")]
+    edges = spark.createDataFrame([(of(s), of(t)) for s, t in pairs], f"source {kind}, target {kind}")
+    got = graph.called_by(functions if numbers else functions.drop("label"), edges)
+    assert got.columns == ["id", "n_callers", "nth", "caller"]
+    name = lambda k: f"l{k}" if numbers else k
+    want = [(name("x"), 3, n, name(c)) for n, c in ((1, "z"), (2, "y"), (3, "a"))] + [(name("a"), 3, 1, name("y")), (name("a"), 3, 2, name("x")), (name("a"), 3, 3, None if numbers else "gone")]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [*want, (name("y"), 0, None, None), (name("z"), 0, None, None)]))
+
+
+def test_called_by_gives_every_call_edge(spark):
+    d = "/root/testdata/sf0.001"
+    edges = {(r.source, r.target) for r in QUERIES["call_resolution"](spark, d).collect()}
+    rows = QUERIES["called_by"](spark, d).collect()
+    assert {(r.caller, r.id) for r in rows if r.caller} == edges and len(edges) > 100
+    assert {r.id for r in rows} == {r.id for r in views.functions(spark, d).collect()}
+
+
+@pytest.mark.parametrize("extra", [[], [(3, "cold nut")], [(1, "hot ring")], [(5, None)]])
+def test_called_by_equals_sql_on_odd_parts(spark, tmp_path, extra):
+    parts = [(k, n, "Brand#1", "SMALL", k, 1.0) for k, n in [(1, "hot ring"), (2, "big bolt"), (3, "hot ring"), (4, "big bolt"), *extra]]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    items = [(o, p, 1, n) for o, ps in enumerate([[1, 2, 3, 1], [4, 8, 1], [5, 1, 2, 5, 4, 3], [1, 2]]) for n, p in enumerate(ps)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["called_by"])
+    columns = [c[0] for c in want.description]
+    got = QUERIES["called_by"](spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
